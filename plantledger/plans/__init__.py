@@ -1,4 +1,4 @@
 """Registered queries and the SQL each one is compared with."""
 
-from plantledger.plans import paper_jobs  # noqa: F401
+from plantledger.plans import paper_jobs, proof_jobs  # noqa: F401
 from plantledger.plans.registry import JOBS  # noqa: F401
