@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TARE_LB = 50.0
+# Name fragments of measured and of aggregate units.
+MEASURE_NAMES = ("lb", "kg", "pound", "ft", "foot", "feet")
+AGGREGATE_NAMES = ("thousand", "million")
 POUND_NAMES = ("lb", "lbs", "pound", "pounds")
 
 
 def unit_class(uom: Column) -> Column:
     """``measure`` (weight or length), ``aggregate`` (thousands, millions) or ``discrete``."""
-    name = F.lower(F.coalesce(uom, F.lit("")))
-    return (F.when(name.rlike("lb|kg|pound|ft|foot|feet"), "measure")
-            .when(name.rlike("thousand|million"), "aggregate").otherwise("discrete"))
+    return (F.when(_names_any(uom, MEASURE_NAMES), "measure").when(_names_any(uom, AGGREGATE_NAMES), "aggregate")
+            .otherwise("discrete"))
+
+
+def _names_any(uom: Column, names: tuple[str, ...]) -> Column:
+    lowered = F.lower(F.coalesce(uom, F.lit("")))
+    return reduce(lambda a, b: a | b, [lowered.contains(name) for name in names])
 
 
 def pieces_of(quantity: Column, uom: Column, count_per_unit: Column) -> Column:
     """Pieces behind one line: a measured lot is one piece, thousands and millions go through the
     product's count per unit, all else is the rounded quantity; never below one."""
     qty = F.coalesce(quantity, F.lit(0.0))
-    kind = unit_class(uom)
     factor = F.when(F.lower(uom).contains("million"), F.lit(1_000_000.0)).otherwise(F.lit(1000.0))
     usable = F.coalesce(count_per_unit, F.lit(0)) != 0
-    converted = F.bround(qty * factor / F.when(usable, count_per_unit.cast("double")))
-    pieces = (F.when(kind == "measure", F.lit(1.0))
-              .when(kind == "aggregate", F.coalesce(F.greatest(F.lit(1.0), converted), F.lit(1.0)))
-              .otherwise(F.greatest(F.lit(1.0), F.bround(qty))))
+    converted = F.rint(qty * factor / F.when(usable, count_per_unit.cast("double")))
+    pieces = (F.when(_names_any(uom, MEASURE_NAMES), F.lit(1.0))
+              .when(_names_any(uom, AGGREGATE_NAMES), F.coalesce(F.greatest(F.lit(1.0), converted), F.lit(1.0)))
+              .otherwise(F.greatest(F.lit(1.0), F.rint(qty))))
     return pieces.cast("bigint")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 def batch_of(lot: Column) -> Column:
     """Batch name of a lot: everything before the last ``-``."""
-    return F.regexp_replace(lot, "-[^-]*$", "")
+    tail = F.length(F.substring_index(lot, "-", -1))
+    return F.when(lot.contains("-"), F.substring(lot, F.lit(1), F.length(lot) - tail - 1)).otherwise(lot)
 
 
 def display_id(package: Column) -> Column:

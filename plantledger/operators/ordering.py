@@ -32,6 +32,10 @@ def heaviest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row["n"] or 0)
 
 
+def _fits(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
+    return heaviest_group(df, keys) <= (GROUP_LIMIT if limit is None else limit)
+
+
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     spread = df.repartitionByRange(*[F.col(k) for k in keys], *_sort(order))
     return settled(spread.withColumn(SLICE, F.spark_partition_id()))
@@ -45,10 +49,15 @@ def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Colum
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", group_limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no",
+    group_limit: int | None = None, sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``out`` = 1, 2, ... within each key group in the given total order."""
-    if heaviest_group(df, keys) <= group_limit:
+    """Add ``out`` = 1, 2, ... within each key group in the given total order.
+
+    ``sized_by`` may name a cheaper frame with the same keys and at least as many rows per group (say,
+    the plain lines that ``df`` is grouped from) to measure instead of ``df``.
+    """
+    if _fits(df if sized_by is None else sized_by, keys, group_limit):
         window = W.partitionBy(*keys).orderBy(*_sort(order))
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     sliced = _sliced(df, keys, order)
@@ -65,11 +74,11 @@ def number_rows(
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
-    out: str = "previous", group_limit: int = GROUP_LIMIT,
+    out: str = "previous", group_limit: int | None = None, sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add struct ``out`` with ``columns`` of the row before in its group (NULL for the first row)."""
     taken = F.struct(*columns)
-    if heaviest_group(df, keys) <= group_limit:
+    if _fits(df if sized_by is None else sized_by, keys, group_limit):
         window = W.partitionBy(*keys).orderBy(*_sort(order))
         return df.withColumn(out, F.lag(taken).over(window))
     sliced = _sliced(df, keys, order)
@@ -92,7 +101,8 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: boo
 
 
 def text_list(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, per_row: int = 500, group_limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], value: str, out: str, per_row: int = 500,
+    group_limit: int | None = None, sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Sorted distinct ``value`` joined with ``', '`` per key, ``per_row`` values to a row.
 
@@ -100,7 +110,7 @@ def text_list(
     no task ever builds a text of unbounded length.
     """
     distinct = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-    numbered = number_rows(distinct, keys, [value], "_n", group_limit)
+    numbered = number_rows(distinct, keys, [value], "_n", group_limit, df if sized_by is None else sized_by)
     page = (F.floor((F.col("_n") - 1) / F.lit(per_row)) + 1).cast("bigint")
     return (numbered.withColumn("page", page).groupBy(*keys, "page")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]),

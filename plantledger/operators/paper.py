@@ -19,6 +19,7 @@ def _picked(lines: DataFrame, products: DataFrame) -> DataFrame:
     return (joined
             .withColumn("batch", F.coalesce(X.batch_of(F.col("lot_name")), F.lit("")))
             .withColumn("unit_label", F.coalesce("packaging_name", "uom"))
+            .withColumn("_fall", F.when(F.col("package_name").isNotNull(), -F.col("quantity")).otherwise(F.lit(0.0)))
             .withColumn("pieces", Q.pieces_of(F.col("quantity"), F.col("uom"), F.col("count_per_unit"))))
 
 
@@ -33,15 +34,16 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
     (product, batch) in order of first appearance among its lines by falling quantity. The unit totals
     of the pallet, its dimensions and weight repeat on its rows.
     """
-    picked = _picked(lines, products)
-    on_pallet = picked.filter(F.col("package_name").isNotNull()).withColumn("_fall", -F.col("quantity"))
+    picked = _picked(lines, products.select("product_id", "product_name", "count_per_unit", "packaging_name"))
+    on_pallet = picked.filter(F.col("package_name").isNotNull())
     loose = picked.filter(F.col("package_name").isNull())
 
     contents = on_pallet.groupBy("picking_id", "package_name", "product_id", "batch").agg(
         F.sum("pieces").alias("pieces"), _first("_fall", *LINE_ORDER, "unit_label", "product_name").alias("_first"))
     contents = (contents.withColumn("unit_label", F.col("_first.unit_label"))
                 .withColumn("product_name", F.col("_first.product_name")))
-    contents = number_rows(contents, ["picking_id", "package_name"], ["_first", "product_id", "batch"], "content_no")
+    contents = number_rows(contents, ["picking_id", "package_name"], ["_first", "product_id", "batch"], "content_no",
+                           sized_by=lines)
 
     labels = on_pallet.groupBy("picking_id", "package_name", "unit_label").agg(
         F.sum("pieces").alias("n"), _first("_fall", *LINE_ORDER).alias("_at"))
@@ -56,10 +58,10 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
         X.pallet_number(F.col("package_name")).alias("_number"),
         X.dims_text(F.col("length"), F.col("width"), F.col("height")).alias("dims"),
         X.weight_text(F.col("gross_weight_lb")).alias("weight"))
-    pallets = number_rows(pallets, ["picking_id"], ["_prefix", "_number", "package_name"], "row_no")
+    pallets = number_rows(pallets, ["picking_id"], ["_prefix", "_number", "package_name"], "row_no", sized_by=lines)
     n_pallets = packages.groupBy("picking_id").agg(F.count(F.lit(1)).alias("_pallets"))
 
-    loose = number_rows(loose, ["picking_id"], [*LINE_ORDER, "pieces"], "_loose_no")
+    loose = number_rows(loose, ["picking_id"], [*LINE_ORDER, "pieces"], "_loose_no", sized_by=lines)
     loose_rows = loose.join(n_pallets, "picking_id", "left").select(
         "picking_id", (F.coalesce("_pallets", F.lit(0)) + F.col("_loose_no")).alias("row_no"),
         F.lit(NO_PALLET).alias("pallet"), F.lit(1).cast("bigint").alias("content_no"), "product_name",
@@ -91,26 +93,28 @@ def pick_totals(lines: DataFrame, products: DataFrame, packages: DataFrame) -> D
 
 def order_summary(lines: DataFrame, products: DataFrame) -> DataFrame:
     """One row per (product, batch) over pallets and loose lines, in checklist order."""
-    package = F.col("package_name")
-    ranked = (_picked(lines, products)
-              .withColumn("_loose", F.when(package.isNull(), 1).otherwise(0))
-              .withColumn("_prefix", F.when(package.isNotNull(), X.pallet_prefix(package)).otherwise(""))
-              .withColumn("_number", F.when(package.isNotNull(), X.pallet_number(package)).otherwise(0))
-              .withColumn("_fall", F.when(package.isNotNull(), -F.col("quantity")).otherwise(F.lit(0.0))))
-    groups = ranked.groupBy("picking_id", "product_id", "batch").agg(
+    measured = products.select("product_id", "count_per_unit", "packaging_name")
+    per_package = _picked(lines, measured).groupBy("picking_id", "product_id", "batch", "package_name").agg(
         F.sum("pieces").alias("pieces"),
-        F.count_distinct("package_name").alias("on_pallets"),
-        _first("_loose", "_prefix", "_number", "_fall", *LINE_ORDER).alias("_at"),
-        _first(*LINE_ORDER, "uom", "product_name", "display_name", "packaging_name", "packaging_qty").alias("_row"))
-    numbered = number_rows(groups, ["picking_id"], ["_at", "product_id", "batch"], "position")
-    row = F.col("_row")
-    usable = row["packaging_name"].isNotNull() & (F.coalesce(row["packaging_qty"], F.lit(0)) != 0)
-    return numbered.select(
-        "picking_id", "position", F.coalesce(row["product_name"], F.lit("")).alias("product_name"),
-        X.first_line(row["display_name"]).alias("description"),
-        X.other_lines(row["display_name"]).alias("more_lines"),
+        _first("_fall", *LINE_ORDER).alias("_seen"), _first(*LINE_ORDER, "uom").alias("_line"))
+    package = F.col("package_name")
+    on_pallet = package.isNotNull()
+    groups = (per_package
+              .withColumn("_at", F.struct(
+                  F.when(on_pallet, 0).otherwise(1), F.when(on_pallet, X.pallet_prefix(package)).otherwise(""),
+                  F.when(on_pallet, X.pallet_number(package)).otherwise(0), "_seen"))
+              .groupBy("picking_id", "product_id", "batch")
+              .agg(F.sum("pieces").alias("pieces"), F.count("package_name").alias("on_pallets"),
+                   F.min("_at").alias("_at"), F.min("_line").alias("_line")))
+    numbered = number_rows(groups, ["picking_id"], ["_at", "product_id", "batch"], "position", sized_by=lines)
+    usable = F.col("packaging_name").isNotNull() & (F.coalesce("packaging_qty", F.lit(0)) != 0)
+    return numbered.join(products, "product_id", "left").select(
+        "picking_id", "position", F.coalesce("product_name", F.lit("")).alias("product_name"),
+        X.first_line(F.col("display_name")).alias("description"),
+        X.other_lines(F.col("display_name")).alias("more_lines"),
         F.when(F.col("batch") != "", F.col("batch")).otherwise("-").alias("lot"),
-        "pieces", F.when(usable, row["packaging_name"]).otherwise(row["uom"]).alias("unit_label"), "on_pallets")
+        "pieces", F.when(usable, F.col("packaging_name")).otherwise(F.col("_line.uom")).alias("unit_label"),
+        "on_pallets")
 
 
 def delivery_lines(
@@ -118,7 +122,7 @@ def delivery_lines(
 ) -> DataFrame:
     """Packing slip: ordered and shipped per move, batch lots, pallet count or packs."""
     batches = lines.select("picking_id", "product_id", X.batch_of(F.col("lot_name")).alias("batch"))
-    lots = text_list(batches, ["picking_id", "product_id"], "batch", "lots", lots_per_row)
+    lots = text_list(batches, ["picking_id", "product_id"], "batch", "lots", lots_per_row, sized_by=lines)
     n = F.col("n_pallets")
     packed = (F.when(n == 1, "1 pallet").when(n > 1, F.concat(n.cast("string"), F.lit(" pallets")))
               .when(F.col("packaging_name").isNotNull() & (F.coalesce("packaging_qty", F.lit(0)) != 0),

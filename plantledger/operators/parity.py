@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -116,43 +117,41 @@ def drift_status(tables: DataFrame) -> DataFrame:
     return rows.unionByName(total)
 
 
-def json_paths(df: DataFrame, key: str, column: str, volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 6) -> DataFrame:
+def json_paths(df: DataFrame, key: str, column: str, volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4) -> DataFrame:
     """(key, path, value) for every leaf of the JSON text in ``column``.
 
     Volatile keys keep their path and lose their value. Elements of object lists are named by their first
     identifying field instead of their position, so list order does not count. Containers deeper than
     ``depth`` come out as text.
     """
-    spark = df.sparkSession
+    def child(path: Column, node: Column) -> Column:
+        return F.struct(path.alias("_path"), node.alias("_node"))
+
+    def field(entry: Column) -> Column:
+        erased = F.lower(entry["key"]).rlike("|".join(re.escape(fragment) for fragment in volatile))
+        node = F.when(erased, F.parse_json(F.lit('"<VOLATILE>"'))).otherwise(entry["value"])
+        return child(F.concat("_path", F.lit("."), entry["key"]), node)
+
+    def element(node: Column, position: Column) -> Column:
+        named = F.coalesce(*[F.concat(F.lit(f"{k}="), F.try_variant_get(node, f"$.{k}", "string"))
+                             for k in ELEMENT_KEYS], position.cast("string"))
+        return child(F.concat("_path", F.lit("["), named, F.lit("]")), node)
+
     level = df.select(F.col(key).alias("_key"), F.lit("$").alias("_path"), F.try_parse_json(column).alias("_node"))
-    leaves = None
-    for step in range(depth + 1):
+    for _ in range(depth):
         kind = F.substring(F.schema_of_variant("_node"), 1, 5)
-        inner = kind.isin("OBJEC", "ARRAY")
-        stop = level.filter(~inner | F.col("_node").isNull()) if step < depth else level
-        text = F.coalesce(F.try_variant_get("_node", "$", "string"), F.to_json("_node"))
-        found = stop.select("_key", "_path", text.alias("_value"))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if step == depth:
-            break
-        nodes = level.filter(inner).alias("n")
-        children = nodes.lateralJoin(spark.tvf.variant_explode(F.col("n._node").outer()))
-        in_object = F.col("key").isNotNull()
-        named = F.coalesce(*[F.concat(F.lit(f"{k}="), F.try_variant_get("value", f"$.{k}", "string"))
-                             for k in ELEMENT_KEYS], F.col("pos").cast("string"))
-        erased = F.lit(False)
-        for fragment in volatile:
-            erased = erased | F.lower("key").contains(fragment)
-        path = F.when(in_object, F.concat("_path", F.lit("."), "key")).otherwise(
-            F.concat("_path", F.lit("["), named, F.lit("]")))
-        level = children.select(
-            "_key", path.alias("_path"),
-            F.when(in_object & erased, F.parse_json(F.lit('"<VOLATILE>"'))).otherwise(F.col("value")).alias("_node"))
-    return leaves.select(F.col("_key").alias(key), F.col("_path").alias("path"), F.col("_value").alias("value"))
+        fields = F.map_entries(F.try_variant_get("_node", "$", "map<string,variant>"))
+        elements = F.try_variant_get("_node", "$", "array<variant>")
+        children = (F.when(kind == "OBJEC", F.transform(fields, field))
+                    .when(kind == "ARRAY", F.transform(elements, element))
+                    .otherwise(F.array(child(F.col("_path"), F.col("_node")))))
+        level = level.select("_key", F.inline(children))
+    text = F.coalesce(F.try_variant_get("_node", "$", "string"), F.to_json("_node"))
+    return level.select(F.col("_key").alias(key), F.col("_path").alias("path"), text.alias("value"))
 
 
 def json_diff(source: DataFrame, target: DataFrame, key: str, column: str,
-              volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 6) -> DataFrame:
+              volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4) -> DataFrame:
     """Paths added, removed or changed between two sets of JSON documents.
 
     Leaves are compared as multisets: source counts one, target minus one, and what does not cancel differs.
