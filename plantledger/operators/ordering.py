@@ -102,15 +102,16 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: boo
 
 def text_list(
     df: DataFrame, keys: Sequence[str], value: str, out: str, per_row: int = 500,
-    group_limit: int | None = None, sized_by: DataFrame | None = None,
+    group_limit: int | None = None, sized_by: DataFrame | None = None, order: Sequence[str] = (),
 ) -> DataFrame:
-    """Sorted distinct ``value`` joined with ``', '`` per key, ``per_row`` values to a row.
+    """Distinct ``value`` in ``order`` (its own, if none is given) joined with ``', '`` per key,
+    ``per_row`` values to a row.
 
     A key with more values continues on further rows (``page`` 1, 2, ...), so nothing is cut off and
     no task ever builds a text of unbounded length.
     """
-    distinct = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-    numbered = number_rows(distinct, keys, [value], "_n", group_limit, df if sized_by is None else sized_by)
+    distinct = df.filter(F.col(value).isNotNull()).select(*keys, value, *order).distinct()
+    numbered = number_rows(distinct, keys, list(order) or [value], "_n", group_limit, df if sized_by is None else sized_by)
     page = (F.floor((F.col("_n") - 1) / F.lit(per_row)) + 1).cast("bigint")
     return (numbered.withColumn("page", page).groupBy(*keys, "page")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]),
