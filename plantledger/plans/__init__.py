@@ -1,4 +1,4 @@
 """Registered queries and the SQL each one is compared with."""
 
-from plantledger.plans import pallet_jobs, paper_jobs, production_jobs, proof_jobs, stock_jobs  # noqa: F401
+from plantledger.plans import check_jobs, pallet_jobs, paper_jobs, production_jobs, proof_jobs, report_jobs, stock_jobs  # noqa: F401
 from plantledger.plans.registry import JOBS  # noqa: F401
