@@ -197,7 +197,6 @@ def q_check_matrix(spark, folder):
               q_pallet_verify)
     rows = None
     for suite in suites:
-        # counted per stage, outcome and severity before the union, so the matrix adds up a few rows
         part = suite(spark, folder).select("stage", "ok", "severity")
         rows = part if rows is None else rows.unionByName(part)
     return checks.matrix(rows)
