@@ -53,7 +53,7 @@ def number_text(x: Column) -> Column:
     plain = F.regexp_replace(scientific.cast("double").cast("decimal(20,10)").cast("string"), "\\.?0+$", "")
     power = exponent.try_cast("int")
     return (F.when(value.isNull(), F.lit(None).cast("string"))
-            .when(value == 0, F.lit("0"))
+            .when((value == F.floor(value)) & (F.abs(value) < 1_000_000), value.cast("bigint").cast("string"))
             .when((power < -4) | (power >= 6), F.concat(mantissa, F.lit("e"), exponent))
             .otherwise(plain))
 

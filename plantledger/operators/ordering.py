@@ -32,8 +32,9 @@ def heaviest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row["n"] or 0)
 
 
-def _fits(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
-    return heaviest_group(df, keys) <= (GROUP_LIMIT if limit is None else limit)
+def _fits(size: DataFrame | int, keys: Sequence[str], limit: int | None) -> bool:
+    rows = size if isinstance(size, int) else heaviest_group(size, keys)
+    return rows <= (GROUP_LIMIT if limit is None else limit)
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -50,12 +51,12 @@ def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Colum
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no",
-    group_limit: int | None = None, sized_by: DataFrame | None = None,
+    group_limit: int | None = None, sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1, 2, ... within each key group in the given total order.
 
-    ``sized_by`` may name a cheaper frame with the same keys and at least as many rows per group (say,
-    the plain lines that ``df`` is grouped from) to measure instead of ``df``.
+    ``sized_by`` saves measuring ``df`` itself: a cheaper frame with the same keys and at least as many rows
+    per group (say, the plain lines ``df`` is grouped from), or a bound measured before.
     """
     if _fits(df if sized_by is None else sized_by, keys, group_limit):
         window = W.partitionBy(*keys).orderBy(*_sort(order))
@@ -74,7 +75,7 @@ def number_rows(
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
-    out: str = "previous", group_limit: int | None = None, sized_by: DataFrame | None = None,
+    out: str = "previous", group_limit: int | None = None, sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Add struct ``out`` with ``columns`` of the row before in its group (NULL for the first row)."""
     taken = F.struct(*columns)
@@ -102,7 +103,7 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: boo
 
 def text_list(
     df: DataFrame, keys: Sequence[str], value: str, out: str, per_row: int = 500,
-    group_limit: int | None = None, sized_by: DataFrame | None = None, order: Sequence[str] = (),
+    group_limit: int | None = None, sized_by: DataFrame | int | None = None, order: Sequence[str] = (),
 ) -> DataFrame:
     """Distinct ``value`` in ``order`` (its own, if none is given) joined with ``', '`` per key,
     ``per_row`` values to a row.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantledger.functions import quantities as Q
 from plantledger.functions import text as X
-from plantledger.operators.ordering import number_rows, text_list
+from plantledger.operators.ordering import heaviest_group, number_rows, text_list
 
 LINE_ORDER = ("order_id", "unit_no", "part_id", "supplier_id", "ship_date", "price")
 NO_PALLET = "NO PALLET"
@@ -35,18 +35,23 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
     of the pallet, its dimensions and weight repeat on its rows.
     """
     picked = _picked(lines, products.select("product_id", "product_name", "count_per_unit", "packaging_name"))
+    # rows of the largest picking bound its pallets, its loose lines and the contents of each pallet
+    largest = heaviest_group(lines, ["picking_id"])
     on_pallet = picked.filter(F.col("package_name").isNotNull())
     loose = picked.filter(F.col("package_name").isNull())
 
-    contents = on_pallet.groupBy("picking_id", "package_name", "product_id", "batch").agg(
-        F.sum("pieces").alias("pieces"), _first("_fall", *LINE_ORDER, "unit_label", "product_name").alias("_first"))
+    # both per-pallet breakdowns come from one aggregate, which Spark computes once
+    base = on_pallet.groupBy("picking_id", "package_name", "product_id", "batch", "unit_label").agg(
+        F.sum("pieces").alias("pieces"), _first("_fall", *LINE_ORDER).alias("_seen"),
+        F.first("product_name").alias("product_name"))
+    contents = base.groupBy("picking_id", "package_name", "product_id", "batch").agg(
+        F.sum("pieces").alias("pieces"), _first("_seen", "unit_label", "product_name").alias("_first"))
     contents = (contents.withColumn("unit_label", F.col("_first.unit_label"))
                 .withColumn("product_name", F.col("_first.product_name")))
     contents = number_rows(contents, ["picking_id", "package_name"], ["_first", "product_id", "batch"], "content_no",
-                           sized_by=lines)
-
-    labels = on_pallet.groupBy("picking_id", "package_name", "unit_label").agg(
-        F.sum("pieces").alias("n"), _first("_fall", *LINE_ORDER).alias("_at"))
+                           sized_by=largest)
+    labels = base.groupBy("picking_id", "package_name", "unit_label").agg(
+        F.sum("pieces").alias("n"), F.min("_seen").alias("_at"))
     # labels are packaging and unit names, a short fixed vocabulary, so one list per pallet stays small
     units = labels.groupBy("picking_id", "package_name").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_at", "unit_label", "n"))),
@@ -58,10 +63,10 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
         X.pallet_number(F.col("package_name")).alias("_number"),
         X.dims_text(F.col("length"), F.col("width"), F.col("height")).alias("dims"),
         X.weight_text(F.col("gross_weight_lb")).alias("weight"))
-    pallets = number_rows(pallets, ["picking_id"], ["_prefix", "_number", "package_name"], "row_no", sized_by=lines)
+    pallets = number_rows(pallets, ["picking_id"], ["_prefix", "_number", "package_name"], "row_no", sized_by=largest)
     n_pallets = packages.groupBy("picking_id").agg(F.count(F.lit(1)).alias("_pallets"))
 
-    loose = number_rows(loose, ["picking_id"], [*LINE_ORDER, "pieces"], "_loose_no", sized_by=lines)
+    loose = number_rows(loose, ["picking_id"], [*LINE_ORDER, "pieces"], "_loose_no", sized_by=largest)
     loose_rows = loose.join(n_pallets, "picking_id", "left").select(
         "picking_id", (F.coalesce("_pallets", F.lit(0)) + F.col("_loose_no")).alias("row_no"),
         F.lit(NO_PALLET).alias("pallet"), F.lit(1).cast("bigint").alias("content_no"), "product_name",
@@ -153,16 +158,17 @@ def sale_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     """
     order = ["line_no", "product_id", "supplier_id", "ship_date", "price"]
     is_product = F.col("display_type").isNull()
-    positioned = number_rows(lines, ["order_id"], order, "position")
-    counted = number_rows(lines.filter(is_product).select("order_id", *order), ["order_id"], order, "row_no")
-    counted = counted.groupBy("order_id", *order).agg(F.min("row_no").alias("row_no"))
+    largest = heaviest_group(lines, ["order_id"])
+    positioned = number_rows(lines.withColumn("_extra", ~is_product), ["order_id"], order, "position", sized_by=largest)
+    # products sort before sections and notes here, so their numbers are 1, 2, ... among products
+    positioned = number_rows(positioned, ["order_id"], ["_extra", *order], "row_no", sized_by=largest)
     totals = lines.filter(is_product).groupBy("order_id").agg(
         F.round(F.sum("price_subtotal"), 2).alias("untaxed"), F.round(F.sum("tax"), 2).alias("tax_amount"),
         F.max(F.col("discount") > 0).alias("display_discount"))
     packs = F.try_divide("product_uom_qty", "packaging_qty")
     packaging = F.when(F.col("packaging_name").isNotNull(),
                        F.concat(F.lit(" ("), X.number_text(packs), F.lit(" "), "packaging_name", F.lit(")")))
-    return (positioned.join(counted, ["order_id", *order], "left").join(totals, "order_id", "left")
+    return (positioned.join(totals, "order_id", "left")
             .join(products, "product_id", "left")
             .select("order_id", "position", F.coalesce("display_type", F.lit("product")).alias("display_type"),
                     F.when(is_product, F.col("row_no")).otherwise(F.lit(0)).cast("bigint").alias("row_no"),

@@ -139,12 +139,10 @@ def json_paths(df: DataFrame, key: str, column: str, volatile: Sequence[str] = V
 
     level = df.select(F.col(key).alias("_key"), F.lit("$").alias("_path"), F.try_parse_json(column).alias("_node"))
     for _ in range(depth):
-        kind = F.substring(F.schema_of_variant("_node"), 1, 5)
         fields = F.map_entries(F.try_variant_get("_node", "$", "map<string,variant>"))
         elements = F.try_variant_get("_node", "$", "array<variant>")
-        children = (F.when(kind == "OBJEC", F.transform(fields, field))
-                    .when(kind == "ARRAY", F.transform(elements, element))
-                    .otherwise(F.array(child(F.col("_path"), F.col("_node")))))
+        children = F.coalesce(F.transform(fields, field), F.transform(elements, element),
+                              F.array(child(F.col("_path"), F.col("_node"))))
         level = level.select("_key", F.inline(children))
     text = F.coalesce(F.try_variant_get("_node", "$", "string"), F.to_json("_node"))
     return level.select(F.col("_key").alias(key), F.col("_path").alias("path"), text.alias("value"))
