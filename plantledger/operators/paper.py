@@ -42,12 +42,10 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
 
     # both per-pallet breakdowns come from one aggregate, which Spark computes once
     base = on_pallet.groupBy("picking_id", "package_name", "product_id", "batch", "unit_label").agg(
-        F.sum("pieces").alias("pieces"), _first("_fall", *LINE_ORDER).alias("_seen"),
-        F.first("product_name").alias("product_name"))
+        F.sum("pieces").alias("pieces"), _first("_fall", *LINE_ORDER).alias("_seen"))
     contents = base.groupBy("picking_id", "package_name", "product_id", "batch").agg(
-        F.sum("pieces").alias("pieces"), _first("_seen", "unit_label", "product_name").alias("_first"))
-    contents = (contents.withColumn("unit_label", F.col("_first.unit_label"))
-                .withColumn("product_name", F.col("_first.product_name")))
+        F.sum("pieces").alias("pieces"), _first("_seen", "unit_label").alias("_first"))
+    contents = contents.withColumn("unit_label", F.col("_first.unit_label"))
     contents = number_rows(contents, ["picking_id", "package_name"], ["_first", "product_id", "batch"], "content_no",
                            sized_by=largest)
     labels = base.groupBy("picking_id", "package_name", "unit_label").agg(
@@ -74,7 +72,8 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
         F.when(F.col("batch") != "", F.col("batch")).otherwise("-").alias("batch"),
         F.concat(F.col("pieces").cast("string"), F.lit(" "), "unit_label").alias("units"),
         F.lit("-").alias("dims"), F.lit("-").alias("weight"))
-    pallet_rows = (contents.join(pallets.join(units, ["picking_id", "package_name"]), ["picking_id", "package_name"])
+    pallet_rows = (contents.join(products.select("product_id", "product_name"), "product_id", "left")
+                   .join(pallets.join(units, ["picking_id", "package_name"]), ["picking_id", "package_name"])
                    .select("picking_id", "row_no", X.display_id(F.col("package_name")).alias("pallet"), "content_no",
                            "product_name", X.number_text(F.col("pieces")).alias("qty"), "unit_label",
                            F.when(F.col("batch") != "", F.col("batch")).otherwise("-").alias("batch"),

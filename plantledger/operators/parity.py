@@ -54,11 +54,39 @@ def column_profile_diff(source: DataFrame, target: DataFrame) -> DataFrame:
           ("source_non_null", "source_distinct", "target_non_null", "target_distinct")])
 
 
+def fingerprint(text: Column) -> list[Column]:
+    """Two 60-bit numbers made from a text; equal texts give equal numbers in any engine."""
+    digest = F.md5(text)
+    return [F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)") for start in (1, 16)]
+
+
+def differing_keys(source: DataFrame, target: DataFrame, key: str, text: Column) -> DataFrame:
+    """Keys whose rows are not the same on both sides.
+
+    Only the key and two numbers per row are shuffled: source rows count plus, target rows minus, and keys
+    that do not come to zero differ. Wide rows are read again for those keys alone.
+    """
+    first, second = fingerprint(text)
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(key, F.lit(sign).alias("_n"), (first * sign).alias("_h1"), (second * sign).alias("_h2"))
+    sums = side(source, 1).unionByName(side(target, -1)).groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_h1", "_h2")])
+    return sums.filter((F.col("_n") != 0) | (F.col("_h1") != 0) | (F.col("_h2") != 0)).select(key)
+
+
+def _row_text(columns: Sequence[str]) -> Column:
+    """The row as text, columns in name order."""
+    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
+                              for c in sorted(columns)])
+
+
 def row_diff(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Every column that differs, by key; rows on one side only appear once as column ``(row)``."""
     columns = [c for c in source.columns if c != key and c in target.columns]
-    a = source.select(key, F.struct(*_as_text(source, columns)).alias("a"))
-    b = target.select(key, F.struct(*_as_text(target, columns)).alias("b"))
+    suspects = differing_keys(source, target, key, _row_text(columns))
+    a = source.join(suspects, key, "left_semi").select(key, F.struct(*_as_text(source, columns)).alias("a"))
+    b = target.join(suspects, key, "left_semi").select(key, F.struct(*_as_text(target, columns)).alias("b"))
     both = a.join(b, key, "full_outer")
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("a")[c].alias("source_value"),
                                F.col("b")[c].alias("target_value")) for c in columns])
@@ -73,12 +101,6 @@ def row_diff(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.inline(found))
 
 
-def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Number made from the row's columns in name order; equal rows give equal numbers in any engine."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in sorted(columns)]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("decimal(20,0)")
-
-
 def window_parity(
     source: DataFrame, target: DataFrame, ts: str, columns: Sequence[str], value: str,
     window: str = "600 seconds", slide: str = "300 seconds",
@@ -89,7 +111,7 @@ def window_parity(
     source is first reduced to one row per slide step; windows are then added up from the steps.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        steps = (df.select(ts, F.col(value).cast("decimal(18,4)").alias("_v"), row_hash(df, columns).alias("_h"))
+        steps = (df.select(ts, F.col(value).cast("decimal(18,4)").alias("_v"), fingerprint(_row_text(columns))[0].alias("_h"))
                  .groupBy(F.window(ts, slide).getField("start").alias("_step"))
                  .agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_v"), F.sum("_h").alias("_h")))
         return (steps.groupBy(F.window("_step", window, slide).getField("start").alias("window_start"))
@@ -117,46 +139,53 @@ def drift_status(tables: DataFrame) -> DataFrame:
     return rows.unionByName(total)
 
 
-def json_paths(df: DataFrame, key: str, column: str, volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4) -> DataFrame:
-    """(key, path, value) for every leaf of the JSON text in ``column``.
+def json_leaves(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4) -> Column:
+    """Array of (path, value) for every leaf of a JSON text.
 
     Volatile keys keep their path and lose their value. Elements of object lists are named by their first
     identifying field instead of their position, so list order does not count. Containers deeper than
     ``depth`` come out as text.
     """
+    erased_names = "|".join(re.escape(fragment) for fragment in volatile)
+
     def child(path: Column, node: Column) -> Column:
-        return F.struct(path.alias("_path"), node.alias("_node"))
+        return F.struct(path.alias("path"), node.alias("node"))
 
-    def field(entry: Column) -> Column:
-        erased = F.lower(entry["key"]).rlike("|".join(re.escape(fragment) for fragment in volatile))
-        node = F.when(erased, F.parse_json(F.lit('"<VOLATILE>"'))).otherwise(entry["value"])
-        return child(F.concat("_path", F.lit("."), entry["key"]), node)
+    def field(path: Column, entry: Column) -> Column:
+        node = F.when(F.lower(entry["key"]).rlike(erased_names), F.parse_json(F.lit('"<VOLATILE>"'))).otherwise(entry["value"])
+        return child(F.concat(path, F.lit("."), entry["key"]), node)
 
-    def element(node: Column, position: Column) -> Column:
+    def element(path: Column, node: Column, position: Column) -> Column:
         named = F.coalesce(*[F.concat(F.lit(f"{k}="), F.try_variant_get(node, f"$.{k}", "string"))
                              for k in ELEMENT_KEYS], position.cast("string"))
-        return child(F.concat("_path", F.lit("["), named, F.lit("]")), node)
+        return child(F.concat(path, F.lit("["), named, F.lit("]")), node)
+
+    def children(n: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(n["node"], "$", "map<string,variant>"))
+        elements = F.try_variant_get(n["node"], "$", "array<variant>")
+        return F.coalesce(F.transform(fields, lambda e: field(n["path"], e)),
+                          F.transform(elements, lambda e, i: element(n["path"], e, i)), F.array(n))
 
-    level = df.select(F.col(key).alias("_key"), F.lit("$").alias("_path"), F.try_parse_json(column).alias("_node"))
+    nodes = F.array(child(F.lit("$"), F.try_parse_json(text)))
     for _ in range(depth):
-        fields = F.map_entries(F.try_variant_get("_node", "$", "map<string,variant>"))
-        elements = F.try_variant_get("_node", "$", "array<variant>")
-        children = F.coalesce(F.transform(fields, field), F.transform(elements, element),
-                              F.array(child(F.col("_path"), F.col("_node"))))
-        level = level.select("_key", F.inline(children))
-    text = F.coalesce(F.try_variant_get("_node", "$", "string"), F.to_json("_node"))
-    return level.select(F.col("_key").alias(key), F.col("_path").alias("path"), text.alias("value"))
+        nodes = F.flatten(F.transform(nodes, children))
+    return F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), F.coalesce(
+        F.try_variant_get(n["node"], "$", "string"), F.to_json(n["node"])).alias("value")))
 
 
 def json_diff(source: DataFrame, target: DataFrame, key: str, column: str,
               volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4) -> DataFrame:
     """Paths added, removed or changed between two sets of JSON documents.
 
-    Leaves are compared as multisets: source counts one, target minus one, and what does not cancel differs.
+    Documents are compared by the fingerprint of their sorted leaves; those that differ are taken apart and
+    their leaves compared as multisets: source counts one, target minus one, what does not cancel differs.
     """
-    a = json_paths(source, key, column, volatile, depth).withColumn("_sign", F.lit(1))
-    b = json_paths(target, key, column, volatile, depth).withColumn("_sign", F.lit(-1))
-    net = (a.unionByName(b).groupBy(key, "path", "value").agg(F.sum("_sign").alias("_net"))
+    leaves = json_leaves(F.col(column), volatile, depth)
+    suspects = differing_keys(source, target, key, F.to_json(F.array_sort(leaves)))
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.join(suspects, key, "left_semi").select(key, F.inline(leaves)).withColumn("_sign", F.lit(sign))
+    net = (side(source, 1).unionByName(side(target, -1)).groupBy(key, "path", "value").agg(F.sum("_sign").alias("_net"))
            .filter(F.col("_net") != 0))
     sides = net.groupBy(key, "path").agg(
         F.bool_or(F.col("_net") > 0).alias("_in_a"), F.bool_or(F.col("_net") < 0).alias("_in_b"),

@@ -48,25 +48,26 @@ def canonical_text(texts: pd.Series) -> pd.Series:
 def text_drift(source: DataFrame, target: DataFrame, key: str, column: str) -> DataFrame:
     """Normalised text compared by key: OK, DRIFT or missing, both sizes, and changed lines.
 
-    Lines end at line breaks and between tags; they are compared as multisets of line hashes, first
-    summed per (key, line) over both sides. Documents whose normalised texts agree never get split.
+    Keys, sizes and fingerprints meet first; only documents that differ are read again and split. Lines end
+    at line breaks and between tags and are compared as multisets, summed per (key, line) over both sides.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, canonical_text(F.col(column)).alias(name))
-    both = side(source, "_a").join(side(target, "_b"), key, "full_outer")
-    state = (F.when(F.col("_b").isNull(), "missing in target").when(F.col("_a").isNull(), "missing in source")
-             .when(F.col("_a") == F.col("_b"), "OK").otherwise("DRIFT"))
-    judged = both.select(key, state.alias("status"), F.coalesce(F.length("_a"), F.lit(0)).cast("bigint").alias("source_size"),
-                         F.coalesce(F.length("_b"), F.lit(0)).cast("bigint").alias("target_size"), "_a", "_b")
-
-    def lines(name: str, sign: int) -> DataFrame:
-        cut = F.split(F.regexp_replace(name, ">\\s*<", ">\n<"), "\n")
-        return judged.filter(F.col("status") == "DRIFT").select(
-            key, F.explode(cut).alias("_line")).select(key, F.md5("_line").alias("_line"), F.lit(sign).alias("_sign"))
-    net = lines("_a", 1).unionByName(lines("_b", -1)).groupBy(key, "_line").agg(F.sum("_sign").alias("_net"))
+        normal = df.select(key, canonical_text(F.col(column)).alias("_text"))
+        return normal.select(key, F.sha2("_text", 256).alias(f"_{name}"), F.length("_text").cast("bigint").alias(f"{name}_size"))
+    both = side(source, "source").join(side(target, "target"), key, "full_outer")
+    status = (F.when(F.col("_target").isNull(), "missing in target").when(F.col("_source").isNull(), "missing in source")
+              .when(F.col("_source") == F.col("_target"), "OK").otherwise("DRIFT"))
+    judged = both.select(key, status.alias("status"), F.coalesce("source_size", F.lit(0)).alias("source_size"),
+                         F.coalesce("target_size", F.lit(0)).alias("target_size"))
+    drifting = judged.filter(F.col("status") == "DRIFT").select(key)
+
+    def lines(df: DataFrame, sign: int) -> DataFrame:
+        text = df.join(drifting, key, "left_semi").select(key, canonical_text(F.col(column)).alias("_text"))
+        cut = F.split(F.regexp_replace("_text", ">\\s*<", ">\n<"), "\n")
+        return text.select(key, F.explode(cut).alias("_line")).select(key, F.md5("_line").alias("_line"), F.lit(sign).alias("_sign"))
+    net = lines(source, 1).unionByName(lines(target, -1)).groupBy(key, "_line").agg(F.sum("_sign").alias("_net"))
     changed = net.groupBy(key).agg(F.sum(F.abs("_net")).alias("changed_lines"))
-    return (judged.drop("_a", "_b").join(changed, key, "left")
-            .withColumn("changed_lines", F.coalesce("changed_lines", F.lit(0))))
+    return judged.join(changed, key, "left").withColumn("changed_lines", F.coalesce("changed_lines", F.lit(0)))
 
 
 def definition_snapshot(df: DataFrame, stable: Sequence[str]) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from plantledger.functions import quantities as Q
 from plantledger.functions import text as X
-from plantledger.operators.ordering import latest
 from plantledger.sources.tables import table
 
 LINE_ORDER = ("order_id", "unit_no", "part_id", "supplier_id", "ship_date", "price")
@@ -42,14 +41,12 @@ def move_line(spark: SparkSession, folder: str) -> DataFrame:
 
 def move(lines: DataFrame) -> DataFrame:
     """One stock move per (picking, product): ordered, shipped, unit and supplier of its first line."""
-    first = latest(lines.select("picking_id", "product_id", *LINE_ORDER, "uom"),
-                   ["picking_id", "product_id"], LINE_ORDER, newest=False)
-    sums = lines.groupBy("picking_id", "product_id").agg(
+    return lines.groupBy("picking_id", "product_id").agg(
         F.sum("quantity").alias("ordered"),
         F.coalesce(F.sum(F.when(F.col("state") == "done", F.col("quantity"))), F.lit(0.0)).alias("shipped"),
         F.count_distinct("package_name").alias("n_pallets"),
-    )
-    return sums.join(first.select("picking_id", "product_id", "uom", "supplier_id"), ["picking_id", "product_id"])
+        F.min(F.struct(*LINE_ORDER, "uom")).alias("_first"),
+    ).select("picking_id", "product_id", "ordered", "shipped", "n_pallets", "_first.uom", "_first.supplier_id")
 
 
 def package(lines: DataFrame) -> DataFrame:
