@@ -396,7 +396,7 @@ UNION ALL SELECT event_id, '$.extra', 'added', '', 'x' FROM n WHERE event_id % 1
 UNION ALL SELECT event_id, '$.rolls[roll_id=R2].w', 'changed', CAST(event_id * 2 AS VARCHAR), CAST(event_id * 2 + 1 AS VARCHAR)
 FROM n WHERE event_id % 113 = 0""")
 def q_json_diff(spark, folder):
-    return parity.json_diff(_documents(spark, folder, False), _documents(spark, folder, True), "event_id", "doc")
+    return parity.json_diff(_documents(spark, folder, False), _documents(spark, folder, True), "event_id", "doc", depth=3)
 
 
 def _altered_pages(spark, folder):

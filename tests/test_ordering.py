@@ -10,6 +10,19 @@ from plantledger.operators import ordering as O
 from plantledger.operators import pallets
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_slices(spark):
+    """Adaptive execution would merge this little data into one slice."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_heavy_group_spans_slices(skewed):
+    sliced = O._sliced(skewed, ["k"], ["ts", "id"])
+    assert sliced.filter("k = 'hot'").select(O.SLICE).distinct().count() >= 4
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     random.seed(3)
