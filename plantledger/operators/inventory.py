@@ -114,3 +114,13 @@ def search(products: DataFrame, text: str, n: int = 30) -> DataFrame:
     return (products.filter(F.col("name").ilike(f"%{text}%"))
             .select("product_id", "name", exact.alias("exact"))
             .orderBy(F.desc("exact"), "product_id").limit(n))
+
+
+def newest_with_free_stock(productions: DataFrame, quants: DataFrame, least: float) -> DataFrame:
+    """Newest order whose finished lot has at least ``least`` free and unpacked in stock, over all orders.
+
+    ``productions``: production_id, lot. ``quants``: lot, quantity, package_name.
+    """
+    free = (quants.filter(F.col("package_name").isNull() & (F.col("quantity") > 0)).groupBy("lot")
+            .agg(F.sum("quantity").alias("free")).filter(F.col("free") >= least))
+    return productions.join(free, "lot").orderBy(F.desc("production_id"), "lot").limit(1)

@@ -139,14 +139,15 @@ def drift_status(tables: DataFrame) -> DataFrame:
     return rows.unionByName(total)
 
 
-def json_leaves(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4) -> Column:
+def json_leaves(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4, suffix_only: bool = False) -> Column:
     """Array of (path, value) for every leaf of a JSON text.
 
-    Volatile keys keep their path and lose their value. Elements of object lists are named by their first
+    Volatile keys keep their path and lose their value; a key is volatile if it contains one of the fragments
+    anywhere, or ends with one under ``suffix_only``. Elements of object lists are named by their first
     identifying field instead of their position, so list order does not count. Containers deeper than
     ``depth`` come out as text.
     """
-    erased_names = "|".join(re.escape(fragment) for fragment in volatile)
+    erased_names = "(" + "|".join(re.escape(fragment) for fragment in volatile) + ")" + ("$" if suffix_only else "")
 
     def child(path: Column, node: Column) -> Column:
         return F.struct(path.alias("path"), node.alias("node"))
@@ -174,13 +175,13 @@ def json_leaves(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, depth: in
 
 
 def json_diff(source: DataFrame, target: DataFrame, key: str, column: str,
-              volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4) -> DataFrame:
+              volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4, suffix_only: bool = False) -> DataFrame:
     """Paths added, removed or changed between two sets of JSON documents.
 
     Documents are compared by the fingerprint of their sorted leaves; those that differ are taken apart and
     their leaves compared as multisets: source counts one, target minus one, what does not cancel differs.
     """
-    leaves = json_leaves(F.col(column), volatile, depth)
+    leaves = json_leaves(F.col(column), volatile, depth, suffix_only)
     suspects = differing_keys(source, target, key, F.to_json(F.array_sort(leaves)))
 
     def side(df: DataFrame, sign: int) -> DataFrame:

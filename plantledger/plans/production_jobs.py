@@ -59,7 +59,8 @@ FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id, sum(l_quantity) AS
     coalesce(any_value(CASE WHEN packaging_name = 'Roll' THEN packaging_qty END), 1)::DOUBLE AS per_roll
   FROM lineitem LEFT JOIN product ON product_id = l_partkey GROUP BY ALL)""", "product")
 def q_pack_plan(spark, folder):
-    return production.pack_plan(_ordered(spark, folder), S.product(spark, folder), 25)
+    packaging = S.product(spark, folder).withColumn("sequence", F.lit(1))
+    return production.pack_plan(_ordered(spark, folder), packaging, 25)
 
 
 @job("""WITH hopper AS (

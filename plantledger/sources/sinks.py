@@ -47,3 +47,20 @@ def swap_in(df: DataFrame, label: str) -> str:
     path = fresh_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def write_snapshot(packagings: DataFrame, products: DataFrame, values: DataFrame, path: str) -> None:
+    """Snapshot of packagings, each with its product's code, and of saved values, as JSON lines."""
+    coded = packagings.join(products.select("product_id", "product_code"), "product_id", "left")
+    coded.write.mode("errorifexists").json(f"{path}/packagings")
+    values.write.mode("errorifexists").json(f"{path}/saved_values")
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """Check or audit results for other tools, as JSON lines."""
+    results.write.mode("overwrite").json(path)
+
+
+def write_marker(touched: DataFrame, path: str, run_id: str) -> None:
+    """Ids a run touched, kept under its own id until they are restored; an existing one is not overwritten."""
+    touched.write.mode("errorifexists").parquet(f"{path}/run_id={run_id}")

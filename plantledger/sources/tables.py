@@ -102,3 +102,11 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     packagings = doc.select(F.inline("packagings"))
     values = doc.select(F.inline("saved_values"))
     return packagings, values
+
+
+def read_snapshot_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A snapshot written as JSON lines (see ``sinks.write_snapshot``)."""
+    packaging = SNAPSHOT_SCHEMA["packagings"].dataType.elementType
+    value = SNAPSHOT_SCHEMA["saved_values"].dataType.elementType
+    return (spark.read.schema(packaging).json(f"{path}/packagings"),
+            spark.read.schema(value).json(f"{path}/saved_values"))

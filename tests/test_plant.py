@@ -8,15 +8,15 @@ from plantledger.operators import checks, pallets, paper, production, trace
 
 def test_blend_of_one_layer_set(spark):
     """A five-layer film of 100 lb: the shares below are layer and hopper shares multiplied out."""
-    shares = {"Butene1-BF": [9.8, 15.0, 17.0, 8.6], "Frac1-A": [3.0, 3.0], "Color Repro": [38.0], "Exceed 1012RA": [1.0],
-              "conANTIBLOCK": [0.2, 0.4], "con-brown1": [2.0], "conSLIP": [2.0]}
+    shares = {"base": [9.8, 15.0, 17.0, 8.6], "filler": [3.0, 3.0], "repro": [38.0], "film": [1.0],
+              "antiblock": [0.2, 0.4], "brown": [2.0], "slip": [2.0]}
     hoppers = [(name, share / 100) for name, parts in shares.items() for share in parts]
     blend = spark.createDataFrame([(1, [(1.0, hoppers)])],
                                   "product_id int, layers array<struct<share:double,hoppers:array<struct<material_id:string,share:double>>>>")
     rolls = spark.createDataFrame([("W", 1, 60.0), ("W", 1, 40.0)], "work_order string, product_id int, weight double")
     got = {r.material_id: round(r.consumed, 2) for r in production.blend_allocate(rolls, blend).collect()}
-    assert got == {"Butene1-BF": 50.40, "Frac1-A": 6.00, "Color Repro": 38.00, "Exceed 1012RA": 1.00, "conANTIBLOCK": 0.60,
-                   "con-brown1": 2.00, "conSLIP": 2.00}
+    assert got == {"base": 50.40, "filler": 6.00, "repro": 38.00, "film": 1.00, "antiblock": 0.60,
+                   "brown": 2.00, "slip": 2.00}
 
 
 def test_bom_demand(spark, rows):
@@ -30,7 +30,8 @@ def test_bom_demand(spark, rows):
 
 def test_pack_plan(spark, rows):
     orders = spark.createDataFrame([(1, 5, 3500.0), (2, 6, 26.0)], "order_id int, product_id int, quantity double")
-    packs = spark.createDataFrame([(5, "ROLL", 70), (6, "Case", 10)], "product_id int, packaging_name string, packaging_qty int")
+    packs = spark.createDataFrame([(5, "ROLL", 70, 2), (5, "roll", 10, 3), (6, "Case", 10, 1)],
+                                  "product_id int, packaging_name string, packaging_qty int, sequence int")
     assert rows(production.pack_plan(orders, packs, 25), "order_id", "rolls", "pallets") == [(1, 50, 2), (2, 26, 2)]
 
 
@@ -118,10 +119,10 @@ def test_pick_sheet_natural_order_and_totals(spark, rows):
 
 
 def test_trace_backward_flags(spark, rows):
-    used = spark.createDataFrame([("F", "resin", "5615421-01", 2.5), ("F", "resin", None, 0.5), ("F", "slip", None, 1.0),
+    used = spark.createDataFrame([("F", "resin", "L-0042", 2.5), ("F", "resin", None, 0.5), ("F", "slip", None, 1.0),
                                   ("F", "repro", "FIX_DATA_7_AUTO", 1.0)], "order_no string, product_id string, lot_name string, quantity double")
     assert rows(trace.backward(used), "product_id", "total", "lots", "traced") == [
-        ("repro", 1.0, "FIX_DATA_7_AUTO", False), ("resin", 3.0, "(no lot), 5615421-01", True), ("slip", 1.0, "(no lot)", False)]
+        ("repro", 1.0, "FIX_DATA_7_AUTO", False), ("resin", 3.0, "(no lot), L-0042", True), ("slip", 1.0, "(no lot)", False)]
 
 
 def test_trace_forward_needs_a_done_delivery(spark, rows):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plantledger.functions import text as X
 from plantledger.operators import inventory, migrate, parity, quality, textjobs
 from plantledger.sources import sinks
-from plantledger.sources.tables import by_ids, missing_and_extra, read_snapshot, search
+from plantledger.sources.tables import by_ids, missing_and_extra, read_snapshot, read_snapshot_folder, search
 
 
 def test_orphans_then_null_then_none(spark, rows):
@@ -123,3 +123,27 @@ def test_sources_and_sinks(spark, rows, tmp_path):
     path.write_text(json.dumps(doc, indent=1))
     packagings, values = read_snapshot(spark, str(path))
     assert rows(packagings, "id", "name", "qty") == [(1, "Roll", 70.0)] and rows(values) == [("MO/1", 2.5)]
+    products = spark.createDataFrame([(5, "C5")], "product_id bigint, product_code string")
+    sinks.write_snapshot(packagings.drop("product_code"), products, values, str(tmp_path / "snap"))
+    again, _ = read_snapshot_folder(spark, str(tmp_path / "snap"))
+    assert rows(again, "id", "product_code", "qty") == [(1, "C5", 70.0)]
+    sinks.write_marker(df.select("id"), str(tmp_path / "m"), "r1")
+    with pytest.raises(Exception):
+        sinks.write_marker(df.select("id"), str(tmp_path / "m"), "r1")
+    log = sinks.action_log(df, "id", F.col("v"), F.lit("done"), F.lit(""))
+    sinks.write_report(log, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 3
+
+
+def test_volatile_suffix_option(spark):
+    a = spark.createDataFrame([(1, '{"batch_attr":1,"seen_at":1}')], "k int, doc string")
+    b = spark.createDataFrame([(1, '{"batch_attr":2,"seen_at":2}')], "k int, doc string")
+    assert parity.json_diff(a, b, "k", "doc").count() == 0
+    assert parity.json_diff(a, b, "k", "doc", suffix_only=True).select("path").collect() == [("$.batch_attr",)]
+
+
+def test_newest_with_free_stock(spark, rows):
+    made = spark.createDataFrame([(1, "L1"), (2, "L2"), (3, "L3")], "production_id int, lot string")
+    quants = spark.createDataFrame([("L1", 9.0, None), ("L2", 3.0, None), ("L2", 1.0, None), ("L3", 9.0, "P"), ("L3", 3.0, None)],
+                                   "lot string, quantity double, package_name string")
+    assert rows(inventory.newest_with_free_stock(made, quants, 4.0), "production_id", "free") == [(2, 4.0)]
