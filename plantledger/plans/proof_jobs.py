@@ -408,9 +408,10 @@ def _altered_pages(spark, folder):
         .when(key % 5 == 1, F.concat(html, F.lit(" \r\n"))).otherwise(html))
 
 
-NORMAL = """regexp_replace(replace(replace(replace(replace(
-  trim(replace(html, chr(13) || chr(10), chr(10)), ' ' || chr(10)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
-  '[ \\t]+\\n', chr(10), 'g')"""
+# the entity decoder also reads &amp without its semicolon (cut-off text has it)
+NORMAL = """regexp_replace(regexp_replace(replace(replace(replace(
+  trim(replace(html, chr(13) || chr(10), chr(10)), ' ' || chr(10)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
+  '&amp;?', '&', 'g'), '[ \\t]+\\n', chr(10), 'g')"""
 
 
 @job(f"""WITH altered AS (
