@@ -19,12 +19,12 @@ ELEMENT_KEYS = ("id", "wo_number", "pallet_id", "roll_id", "name")
 
 def count_parity(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table on both sides and whether they agree."""
-    a = stacked_counts(source.items()).withColumnRenamed("n_rows", "source_rows")
-    b = stacked_counts(target.items()).withColumnRenamed("n_rows", "target_rows")
-    both = a.join(b, "table_name", "full_outer")
-    n, m = F.coalesce("source_rows", F.lit(0)), F.coalesce("target_rows", F.lit(0))
-    return both.select("table_name", n.alias("source_rows"), m.alias("target_rows"),
-                       F.when(n == m, "OK").otherwise("MISMATCH").alias("status"))
+    counted = stacked_counts(source.items()).withColumn("_side", F.lit("source")).unionByName(
+        stacked_counts(target.items()).withColumn("_side", F.lit("target")))
+    per_table = counted.groupBy("table_name").agg(*[
+        F.coalesce(F.sum(F.when(F.col("_side") == side, F.col("n_rows"))), F.lit(0)).alias(f"{side}_rows")
+        for side in ("source", "target")])
+    return per_table.withColumn("status", F.when(F.col("source_rows") == F.col("target_rows"), "OK").otherwise("MISMATCH"))
 
 
 def _as_text(df: DataFrame, columns: Sequence[str]) -> list[Column]:

@@ -101,11 +101,15 @@ def preflight(
 ) -> DataFrame:
     """Summary per table. Each input is (table_name, n); orphans, mismatches and duplicate keys
     block, mixed dates only warn, empty tables are left out."""
-    out = rows.select("table_name", F.col("n").alias("n_rows")).filter(F.col("n_rows") > 0)
-    for name, part in (("n_orphans", orphans), ("n_mismatched", mismatches), ("n_mixed_dates", mixed),
-                       ("n_duplicate_keys", duplicates)):
-        summed = part.groupBy("table_name").agg(F.sum("n").alias(name))
-        out = out.join(summed, "table_name", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    parts = {"n_rows": rows, "n_orphans": orphans, "n_mismatched": mismatches, "n_mixed_dates": mixed,
+             "n_duplicate_keys": duplicates}
+    long = None
+    for name, part in parts.items():
+        tagged = part.select("table_name", F.lit(name).alias("_what"), "n")
+        long = tagged if long is None else long.unionByName(tagged)
+    out = long.groupBy("table_name").agg(*[
+        F.coalesce(F.sum(F.when(F.col("_what") == name, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
+        for name in parts]).filter(F.col("n_rows") > 0)
     blockers = F.col("n_orphans") + F.col("n_mismatched") + F.col("n_duplicate_keys")
     return out.withColumn("status", F.when(blockers > 0, "BLOCKER").when(F.col("n_mixed_dates") > 0, "WARN")
                           .otherwise("OK"))
