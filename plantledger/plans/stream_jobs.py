@@ -1,4 +1,4 @@
-"""Replication, lag, queue and watch queries; the feed is events cut into files that arrive one by one."""
+"""Replication, lag, queue and watch queries; the feed is events cut into slices that arrive one by one."""
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -26,22 +26,20 @@ def _feed(spark, folder):
         F.when(F.col("event_id") % 97 != 0, F.date_trunc("minute", ts).cast("timestamp_ntz")).alias("ts"), slice_.alias("slice"))
 
 
-def _arriving(spark, feed):
-    """The feed as a file stream, its slices written one after the other and read one per micro-batch."""
+def _in_slices(spark, feed, run):
+    """Write the feed slice by slice; after each, ``run`` takes the stream up where it had stopped."""
     path = fresh_path(spark, "feed")
-    for i in range(SLICES):
-        part = feed.filter(F.col("slice") == i).drop("slice")
-        part.write.mode("append").parquet(f"{path}/part={i}")
     schema = feed.drop("slice").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
-    return stream, schema
+    for i in range(SLICES):
+        feed.filter(F.col("slice") == i).drop("slice").write.parquet(f"{path}/part={i}")
+        run(spark.readStream.schema(schema).parquet(f"{path}/part=*"))
+    return schema
 
 
 def _replicated(spark, folder, policy):
-    stream, schema = _arriving(spark, _feed(spark, folder))
     path = fresh_path(spark, "table")
     order = ["ts", "event_id"]
-    R.replicate(stream, path, ["user_id"], order, policy)
+    schema = _in_slices(spark, _feed(spark, folder), lambda stream: R.replicate(stream, path, ["user_id"], order, policy))
     current = R.read_table(spark, path, schema, ["user_id"], order, policy)
     return current.select("user_id", "event_id", "event_type", "value",
                           F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("ts"))
@@ -103,9 +101,9 @@ def q_state_watch(spark, folder):
     feed = table(spark, folder, "events").select(
         "user_id", "ts", "event_id", "event_type", "value",
         F.when(ts < F.lit("2024-01-11").cast("date"), 0).when(ts < F.lit("2024-01-21").cast("date"), 1).otherwise(2).alias("slice"))
-    stream, schema = _arriving(spark, feed)
     path = fresh_path(spark, "watch")
-    watching.watch(stream, path, "user_id", ["ts", "event_id"], ["event_type", "value"])
+    schema = _in_slices(spark, feed, lambda stream: watching.watch(
+        stream, path, "user_id", ["ts", "event_id"], ["event_type", "value"]))
     text = [StructField(c, StringType()) for c in ("field", "old_value", "new_value")]
     changes = StructType([schema["user_id"], schema["ts"], schema["event_id"], *text])
     return watching.read_changes(spark, path, changes).drop("ts")
