@@ -259,7 +259,8 @@ def pallet_sheet(lines: DataFrame, packages: DataFrame, products: DataFrame, lot
 def addresses(documents: DataFrame, partners: DataFrame) -> DataFrame:
     """Street printed for each role: the contact's own, or that of its commercial parent.
 
-    ``documents``: document_id and one partner column per role (bill_id, sold_id, ship_id).
+    ``documents``: document_id and one partner column per role (bill_id, sold_id, ship_id). Without an order
+    (NULL sold_id) the goods count as sold to the billed contact.
     """
     parents = partners.select(F.col("partner_id").alias("_parent"), F.col("street").alias("_parent_street"),
                               F.col("partner_name").alias("_parent_name"))
@@ -267,7 +268,7 @@ def addresses(documents: DataFrame, partners: DataFrame) -> DataFrame:
     resolved = (partners.join(parents, F.col("commercial_id") == F.col("_parent"), "left")
                 .select("partner_id", F.when(own, F.col("partner_name")).otherwise(F.col("_parent_name")).alias("name"),
                         F.coalesce("street", "_parent_street", F.lit("")).alias("street")))
-    out = documents
+    out = documents.withColumn("sold_id", F.coalesce("sold_id", "bill_id"))
     for role in ("bill", "sold", "ship"):
         side = resolved.select(F.col("partner_id").alias(f"{role}_id"), F.col("name").alias(f"{role}_name"),
                                F.col("street").alias(f"{role}_street"))

@@ -28,7 +28,7 @@ def pack_plan(orders: DataFrame, packaging: DataFrame, per_pallet: int) -> DataF
     """Rolls and pallets per order and product. The first roll packaging by ``sequence`` counts; without
     one, one unit is one roll."""
     roll = packaging.filter(F.lower("packaging_name") == "roll").groupBy("product_id").agg(
-        F.min_by(F.col("packaging_qty").cast("double"), F.col("sequence")).alias("per_roll"))
+        F.min(F.struct("sequence", "packaging_qty"))["packaging_qty"].cast("double").alias("per_roll"))
     planned = orders.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("quantity")) \
         .join(roll, "product_id", "left").withColumn("per_roll", F.coalesce("per_roll", F.lit(1.0)))
     rolls = Q.full_rolls(F.col("quantity"), F.col("per_roll"))

@@ -219,11 +219,12 @@ def q_pallet_sheet(spark, folder):
 SELECT o_orderkey AS document_id, b.name AS bill_name, b.street AS bill_street, s.name AS sold_name,
   s.street AS sold_street, h.name AS ship_name, h.street AS ship_street
 FROM orders LEFT JOIN resolved b ON b.partner_id = o_custkey
-  LEFT JOIN resolved s ON s.partner_id = o_custkey - o_custkey % 10
+  LEFT JOIN resolved s ON s.partner_id = CASE WHEN o_orderkey % 8 = 0 THEN o_custkey ELSE o_custkey - o_custkey % 10 END
   LEFT JOIN resolved h ON h.partner_id = o_custkey - o_custkey % 10 + o_orderkey % 10""", "partner")
 def q_address_fallback(spark, folder):
     key, contact = F.col("o_orderkey"), F.col("o_custkey")
     documents = table(spark, folder, "orders").select(
-        key.alias("document_id"), contact.alias("bill_id"), (contact - contact % 10).alias("sold_id"),
+        key.alias("document_id"), contact.alias("bill_id"),
+        F.when(key % 8 != 0, contact - contact % 10).alias("sold_id"),
         (contact - contact % 10 + key % 10).alias("ship_id"))
     return paper.addresses(documents, S.partner(spark, folder))

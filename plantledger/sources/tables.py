@@ -58,7 +58,7 @@ def search(
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in ``ids`` (a one-column frame), once each."""
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+    return df.join(ids.select(key), key, "left_semi")
 
 
 def stacked_counts(frames: Iterable[tuple[str, DataFrame]]) -> DataFrame:

@@ -66,3 +66,10 @@ def test_cycle_goes_on_after_a_failure():
 def test_deleted_keys(spark, rows):
     a, b = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1,), (2,)], "k int")
     assert rows(R.deleted_keys(a, b, ["k"])) == [(2,)]
+
+
+def test_full_refresh_carries_deletes(spark, rows, tmp_path):
+    path = str(tmp_path / "full")
+    R.full_refresh(spark.createDataFrame([(1,), (2,)], "k int"), path)
+    R.full_refresh(spark.createDataFrame([(2,), (3,)], "k int"), path)
+    assert rows(spark.read.parquet(path)) == [(2,), (3,)]
