@@ -110,10 +110,10 @@ def document_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     contents = (source.select("_text").mapInArrow(partial(_chunks, id_bytes=id_bytes), "_hash binary, _chunk binary")
                 .distinct())
     # Several contents for one hash: none are to be expected at 16 bytes, and whatever there are is told apart.
-    shared = written(contents.groupBy("_hash").agg(F.count("*").alias("_n"), F.min("_chunk").alias("_first"))
-                     .where("_n > 1").select("_hash", "_first"), "shared-hashes")
-    if shared.isEmpty():
+    repeated = written(contents.groupBy("_hash").count().where("count > 1").select("_hash"), "repeated-hashes")
+    if repeated.isEmpty():
         return recipes.withColumn("_fix", F.lit(""))
+    shared = written(contents.join(repeated, "_hash", "left_semi").groupBy("_hash").agg(F.min("_chunk").alias("_first")), "shared-hashes")
     hit = (recipes.select("_raw", F.explode(F.expr(
         f"transform(sequence(0, length(_recipe) div {id_bytes} - 1), i -> substring(_recipe, i * {id_bytes} + 1, {id_bytes}))")).alias("_hash"))
         .join(shared, "_hash", "left_semi").select("_raw").distinct())

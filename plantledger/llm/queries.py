@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantledger.llm.bucket_digest import fingerprints
 from plantledger.llm.chunk_recipes import exact_duplicates
+from plantledger.llm.html_density import extract_pages
+from plantledger.llm.url_filter import Rule, judge_urls
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "text", "n_chars")
+
+
+@query()
+def op2_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("_id", "doc_id")
+
+
+URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+
+
+@query()
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.withColumnRenamed("_id", "page_id")
+
+
 @query(r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
