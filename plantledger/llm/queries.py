@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plantledger.llm.bucket_digest import fingerprints
 from plantledger.llm.chunk_recipes import exact_duplicates
+from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
 from plantledger.llm.url_filter import Rule, judge_urls
 
@@ -43,6 +44,21 @@ def op2_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("_id", "doc_id")
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Path of a vocabulary file of the public tokenizers installed beside Python."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.withColumnRenamed("_id", "doc_id")
+
+
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
 
