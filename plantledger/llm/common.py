@@ -31,10 +31,10 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     formed to leave a single row; all other rows pass through the join unchanged. A null id equals itself.
     """
     names = docs.columns
-    here = docs.withColumns({"_pl_raw": raw_digest(text_col)})
-    marks = kept.select(F.col("_id").alias("_pl_id"), F.col("_raw").alias("_pl_kept"), F.col("_rows").alias("_pl_rows"))
-    same = (F.col("_pl_raw") == F.col("_pl_kept")) & F.col(id_col).eqNullSafe(F.col("_pl_id"))
-    joined = here.join(marks, same)
-    alone = joined.where("_pl_rows = 1").select(*names)
-    one = joined.where("_pl_rows > 1").dropDuplicates(["_pl_id", "_pl_raw"]).select(*names)
-    return alone.unionByName(one)
+    inner = [f"_c{i}" for i in range(len(names))]  # names of the caller cannot clash with those used here
+    at = dict(zip(names, inner))
+    here = docs.toDF(*inner).withColumn("_text_raw", raw_digest(at[text_col]))
+    joined = here.join(kept, (F.col("_text_raw") == F.col("_raw")) & F.col(at[id_col]).eqNullSafe(F.col("_id")))
+    alone = joined.where("_rows = 1").select(*inner)
+    one = joined.where("_rows > 1").dropDuplicates(["_id", "_raw"]).select(*inner)
+    return alone.unionByName(one).toDF(*names)

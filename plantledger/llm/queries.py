@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantledger.llm.bucket_digest import fingerprints
 from plantledger.llm.chunk_recipes import exact_duplicates
 from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
+from plantledger.llm.secret_index import BASE, scan_secrets, span_text, spans_sql
 from plantledger.llm.url_filter import Rule, judge_urls
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("_id", "page_id")
 
 
+@query(spans_sql())
+def op8_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("_spans", lambda s: s["number"] < len(BASE))
+    return found.select(F.col("_id").alias("doc_id"), *(count(rule.kind) for rule in BASE), F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
+                        span_text(F.col("_spans")).alias("spans"))
+
+
 @query(r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
