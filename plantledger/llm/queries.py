@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantledger.llm.bucket_digest import fingerprints
+from plantledger.llm.byte_cnn import fitted, identify
 from plantledger.llm.chunk_recipes import exact_duplicates
 from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
@@ -60,6 +61,18 @@ def op4_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("_id", "doc_id")
 
 
+def held_out(number: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(number).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query()
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fitted(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    found = identify(docs, model)
+    return found.select(F.col("_id").alias("doc_id"), held_out("_id").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
 
