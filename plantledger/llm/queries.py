@@ -13,6 +13,7 @@ from plantledger.llm.chunk_recipes import exact_duplicates
 from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
 from plantledger.llm.secret_index import BASE, scan_secrets, span_text, spans_sql
+from plantledger.llm.shingle_join import near_duplicates
 from plantledger.llm.url_filter import Rule, judge_urls
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +107,9 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha2
 def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
