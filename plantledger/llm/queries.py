@@ -12,6 +12,7 @@ from plantledger.llm.byte_cnn import fitted, identify
 from plantledger.llm.chunk_recipes import exact_duplicates
 from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
+from plantledger.llm.repeated_spans import remove_repeats
 from plantledger.llm.secret_index import BASE, scan_secrets, span_text, spans_sql
 from plantledger.llm.shingle_join import near_duplicates
 from plantledger.llm.url_filter import Rule, judge_urls
@@ -113,3 +114,8 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query()
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
