@@ -12,6 +12,7 @@ from plantledger.llm.byte_cnn import fitted, identify
 from plantledger.llm.chunk_recipes import exact_duplicates
 from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
+from plantledger.llm.lattice_sampling import decoded, sample_segmentations
 from plantledger.llm.repeated_spans import remove_repeats
 from plantledger.llm.secret_index import BASE, scan_secrets, span_text, spans_sql
 from plantledger.llm.shingle_join import near_duplicates
@@ -119,3 +120,15 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query()
+def op5_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    model = tokenizer_path(PIECES)
+    found = sample_segmentations(turns, model, ["conv_id", "turn"])
+    return found.select(F.col("_key0").alias("conv_id"), F.col("_key1").alias("turn"), "sample", "ids", "n_pieces", "log_p", "score", "inclusion",
+                        F.sha2(decoded("ids", model).cast("binary"), 256).alias("decoded_sha256"))
