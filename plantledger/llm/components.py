@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
+    if labels.isEmpty():
+        return labels
     while True:
         seen = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("seen")))
         near = written(labels.join(seen, labels["node"] == seen["a"])

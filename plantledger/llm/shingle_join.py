@@ -205,7 +205,7 @@ def _may_link(units: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"_set": pa.array(out, pa.binary())})
 
 
-CANDIDATE = "shingle long, _set binary, n int, own int, shared binary, classes binary"
+CANDIDATE = "shingle long, at int, _set binary, n int, own int, shared binary, classes binary"
 
 
 def _prefixes(units: pa.Table, answers: pa.Table) -> pa.Table:
@@ -221,10 +221,10 @@ def _prefixes(units: pa.Table, answers: pa.Table) -> pa.Table:
             if size - own < _least(size):
                 continue
             shared, kind = shingles[at][~single[at]], classes[at][~single[at]]
-            out.append((None, name, size, own, _packed(shared << np.uint64(8)), kind.tobytes()))
-            for shingle in _prefix(shared, kind, size, own, 0).tolist():
-                out.append((shingle, name, size, own, None, None))
-    schema = pa.schema([("shingle", pa.int64()), ("_set", pa.binary()), ("n", pa.int32()), ("own", pa.int32()), ("shared", pa.binary()), ("classes", pa.binary())])
+            out.append((None, None, name, size, own, _packed(shared << np.uint64(8)), kind.tobytes()))
+            for at, shingle in enumerate(_prefix(shared, kind, size, own, 0).tolist(), own):
+                out.append((shingle, at, name, size, own, None, None))
+    schema = pa.schema([("shingle", pa.int64()), ("at", pa.int32()), ("_set", pa.binary()), ("n", pa.int32()), ("own", pa.int32()), ("shared", pa.binary()), ("classes", pa.binary())])
     return pa.Table.from_batches([_batch(out, schema)])
 
 
@@ -253,10 +253,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within_reach(a: str, b: str) -> Column:
-    """Whether two sets can be similar, by their sizes and by the shingles only one of them holds."""
+    """Whether two sets can be similar if this is their first common shingle: enough must be left from its place on in both.
+
+    The first common shingle of a similar pair passes, so the pair is found there; at most others it is not repeated.
+    """
     n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    most = F.least(n - F.col(f"{a}.own"), m - F.col(f"{b}.own"))
-    return most * (100 + PERCENT) >= (n + m) * PERCENT
+    left = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    return left * (100 + PERCENT) >= (n + m) * PERCENT
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
@@ -272,30 +275,33 @@ def _ordered_pair(a: str, b: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def set_links(candidates: DataFrame) -> DataFrame:
-    """(a, b): links that connect whatever sets are connected by similarity; no pair within a component is owed."""
+def set_components(candidates: DataFrame) -> DataFrame:
+    """(node, label) of every set that is similar to another: the components of similarity."""
     sets = candidates.where("shared is not null").dropDuplicates(["_set"])
-    posts = candidates.where("shingle is not null").select("shingle", "_set", "n", "own")
-    centres = written(posts.groupBy("shingle").agg(F.min(F.struct("own", "n", "_set")).alias("c"), F.max("_set").alias("x"), F.min("_set").alias("y"))
+    posts = candidates.where("shingle is not null").select("shingle", "at", "_set", "n", "own")
+    centres = written(posts.groupBy("shingle").agg(F.min(F.struct("own", "n", "_set", "at")).alias("c"), F.max("_set").alias("x"), F.min("_set").alias("y"))
                       .where("x <> y").select("shingle", "c.*"), "centres")
     p, c = posts.alias("p"), centres.alias("c")
     to_centre = (p.join(c, F.col("p.shingle") == F.col("c.shingle")).where(F.col("p._set") != F.col("c._set"))
                  .where(_within_reach("p", "c")).select(*_ordered_pair("p", "c")))
-    links = _verified(to_centre, sets, "centre")
-    labels = components(links)
-    named = written(posts.join(labels, posts["_set"] == labels["node"], "left")
-                    .select("shingle", "_set", "n", "own", F.coalesce("label", "_set").alias("label")), "labelled")
-    middle = (named.alias("p").join(c, (F.col("p.shingle") == F.col("c.shingle")) & (F.col("p._set") == F.col("c._set")))
-              .select("p.shingle", F.col("p._set").alias("centre"), F.col("p.label").alias("middle")))
-    middle = written(middle, "middles")
-    apart = (named.join(middle, "shingle").where("label <> middle")
-             .select("shingle", "_set", "n", "own", "label", "centre"))
-    apart = written(apart, "apart")
+    labels = components(_verified(to_centre, sets, "centre"))
+    shared = posts.join(centres.select("shingle", F.col("_set").alias("centre")), "shingle")
+    named = written(shared.join(labels, shared["_set"] == labels["node"], "left")
+                    .select("shingle", "at", "_set", "n", "centre", F.coalesce("label", "_set").alias("label")), "labelled")
+    middle = written(named.where("_set = centre").select("shingle", F.col("label").alias("middle")).distinct(), "middles")
+    apart = written(named.join(middle, "shingle").where("label <> middle").drop("middle"), "apart")
     o, q = apart.alias("o"), named.alias("q")
     across = (o.join(q, F.col("o.shingle") == F.col("q.shingle"))
               .where((F.col("o.label") != F.col("q.label")) & (F.col("q._set") != F.col("o.centre"))).where(_within_reach("o", "q"))
               .select(*_ordered_pair("o", "q")))
-    return links.union(_verified(across, sets, "across"))
+    # Links between components join whole components, so only their labels go through the search again.
+    more = _verified(across, sets, "across")
+    for side in "ab":
+        more = more.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    joined = components(more.select(*[F.coalesce(f"label_{s}", s).alias(s) for s in "ab"]))
+    low = joined.select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return labels.join(low, "label", "left").select("node", F.coalesce("low", "label").alias("label")).unionByName(
+        joined.join(labels.select("node"), "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("c._set", "s._text"))
     whole = written(texts.mapInArrow(partial(_whole_sets, label="whole"), UNIT), "whole-sets")
     candidates = written(whole.groupBy("unit").cogroup(_counted(whole).groupBy("unit")).applyInArrow(_prefixes, CANDIDATE), "prefixes")
-    labels = components(set_links(candidates))
+    labels = written(set_components(candidates), "set-labels")
     named = written(rows.join(labels, rows["_set"] == labels["node"], "left").select(
         "_id", "_raw", "_set", F.col("n").alias("n_shingles"), F.coalesce("label", "_set").alias("_group")), "groups")
     lowest = written(named.where("_group is not null").groupBy("_group").agg(F.min("_id").alias("component_id")), "components")
