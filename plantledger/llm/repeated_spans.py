@@ -1,12 +1,14 @@
 """Byte strings of 200 that occur again anywhere in a corpus, by refining buckets of q-grams.
 
 Every window of 200 bytes points to the smallest of its 32-grams, so equal windows point to equal places, and windows
-in a row that share the place are one run. Runs start in the bucket of their 32-gram. A bucket is refined by what stands in the
-buckets of later (and earlier) offsets: 32 bytes become 116, two overlapping 116 become 200, two overlapping 200 become the
-whole run. A place that is alone in both its 116-byte buckets drops out; a run whose whole text occurs again is
-settled at once; windows are told apart one by one only where a run is neither, or shares a bucket with such a run.
-
-Bucket identifiers are numbers that follow from the content (128 bits where they decide), so refining needs no exchange; what
+in a row that share the place are one run. A run is cut into pieces by how far its windows reach before the place, so
+that the windows of a piece have some 160 bytes in common. Pieces start in the bucket of their 32-gram; a bucket is refined
+by what stands in the buckets of later offsets: 32 bytes become the common bytes of a piece, become 200, two
+overlapping 200 become the whole run. A piece whose common bytes occur nowhere else drops out; a run whose whole
+text occurs again is settled at once; windows are told apart one by one only in pieces that are neither, and in one
+copy of each settled run that shares a bucket with such a piece.
+
+Bucket identifiers are numbers that follow from the content (96 bits where they decide), so refining needs no exchange; what
 is exchanged is how often an identifier occurs. A unit of documents asks once for each of its identifiers, so a
 string in very many documents weighs no more than the number of units. Texts are dealt to units once, in a table
 that is bucketed by unit, and stay where they are.
@@ -29,16 +31,19 @@ from plantledger.llm.common import text_or_empty, written
 from plantledger.session import fresh_path
 
 LENGTH, GRAM = 200, 32
-#: Every window reaches this far before or after its 32-gram at least.
-REACH = (LENGTH - GRAM) // 2
 PLACES = LENGTH - GRAM + 1
-BYTES_AT_ONCE = 1 << 19
+#: Windows of one piece reach before the place by one of so many lengths.
+REACHES = 43
+BYTES_AT_ONCE = 1 << 17
 SEPARATOR = b"\0"
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
-DEAD, SETTLED, OPEN, BESIDE_OPEN = 0, 1, 2, 3
-#: Kinds of identifiers: those that only sort out (48 bits are exchanged) and those that decide (128 bits).
+#: States of a piece. Of all runs with one text that occurs again one is the keeper: it speaks for the windows of all.
+DEAD, SETTLED, KEEPER, OPEN, BESIDE_OPEN = 0, 1, 2, 3, 4
+#: Kinds of identifiers: those that only sort out (48 bits are exchanged) and those that decide (96 bits).
 NARROW, WIDE = 0, 1
+#: Kind of the answers that name the wide identifiers whose keeper is in the unit: the first unit that holds them.
+KEPT = 3
 QUESTION = "kind int, range int, unit int, ids binary, held binary"
 ANSWER = "unit int, kind int, ids binary"
 
@@ -77,64 +82,74 @@ class Batch:
             up, down = _powers(k, size)
             self._sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(_values(k)[self.data] * up[:len(self.data)]))))
             self._down.append(down)
-        self.place, self.low, self.high, self.text = self._runs()
+        self.place, self.low, self.high = self._runs()
+        self.run, self.first, self.last, self._class = self._pieces()
 
     def grams(self, at: np.ndarray, k: int) -> np.ndarray:
         """Bucket of the 32 bytes from each place."""
         return (self._sums[k][at + GRAM] - self._sums[k][at]) * self._down[k][at]
 
     def _runs(self):
-        """Place, first and last start of the windows that point to it, and number of the text."""
+        """Place, first and last start of the windows that point to it."""
         n = len(self.data) - GRAM + 1
         if n < PLACES:
-            return [np.empty(0, np.int64)] * 4
-        rank = _mixed(self.grams(np.arange(n), 0)) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
-        padded = np.full(-(-n // PLACES) * PLACES, np.iinfo(np.uint64).max)
-        padded[:n] = rank
-        blocks = padded.reshape(-1, PLACES)
-        before = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-        after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        starts = n - PLACES + 1
-        point = (np.minimum(after[:starts], before[PLACES - 1:PLACES - 1 + starts]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            return [np.empty(0, np.int64)] * 3
+        least = _mixed((self._sums[0][GRAM:GRAM + n] - self._sums[0][:n]) * self._down[0][:n])
+        least &= np.uint64(0xFFFFFFFF00000000)
+        least |= np.arange(n, dtype=np.uint64)
+        width = 1
+        while 2 * width <= PLACES:  # least[i] is the smallest of the next ``width``
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = PLACES - width
+        if rest:
+            least = np.minimum(least[:-rest], least[rest:])
         counts = np.maximum(self.ends - self.begins - LENGTH + 1, 0)  # windows of each text
-        text = np.repeat(np.arange(len(counts)), counts)
-        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.begins[text]
-        point = point[start]
+        start = np.arange(counts.sum()) + np.repeat(self.begins - np.cumsum(counts) + counts, counts)
+        point = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], point[1:] != point[:-1]))) if len(point) else np.empty(0, np.int64)
         last = np.concatenate((new[1:], [len(point)])) - 1 if len(new) else new
-        return point[new], start[new], start[last], text[new]
+        return point[new], start[new], start[last]
+
+    def _pieces(self):
+        """Run, first and last window start, and class of reach of every piece; runs in order, far reaches first."""
+        far, near = (self.place - self.low) // REACHES, (self.place - self.high) // REACHES
+        counts = far - near + 1
+        run = np.repeat(np.arange(len(counts)), counts)
+        reach = far[run] - (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+        first = np.maximum(self.low[run], self.place[run] - reach * REACHES - REACHES + 1)
+        return run, first, np.minimum(self.high[run], self.place[run] - reach * REACHES), reach
+
+    def cores(self) -> np.ndarray:
+        """Buckets of the bytes that all windows of a piece, of any length, have in common."""
+        start = self.place[self.run] - self._class * REACHES
+        size = LENGTH - np.minimum(REACHES - 1, PLACES - 1 - self._class * REACHES)
+        found = _mixed(self._class.astype(np.uint64) + MIX[4])
+        for offset in (0, 32, 64, 96, size - GRAM):
+            found = _mixed(found * MIX[0] + self.grams(start + offset, 0) + MIX[1])
+        return _short(found)
 
-    def _half(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Bucket of GRAM + REACH bytes, refined from the 32-grams at later offsets."""
+    def _whole(self, at: np.ndarray, k: int) -> np.ndarray:
         found = np.zeros(len(at), np.uint64)
-        for offset in (0, 32, 64, REACH):
+        for offset in (0, 32, 64, 96, 128, 160, LENGTH - GRAM):
             found = _mixed(found * MIX[0] + self.grams(at + offset, k) + MIX[1])
         return found
 
-    def _whole(self, at: np.ndarray, k: int) -> np.ndarray:
-        return _mixed(self._half(at, k) * MIX[0] + _mixed(self._half(at + REACH, k) + MIX[4]))
-
-    def sides(self) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the bytes up to and from each run's 32-gram; 0 where the text does not reach so far."""
-        left, right = np.zeros(len(self.place), np.uint64), np.zeros(len(self.place), np.uint64)
-        if len(self.place):
-            there = np.flatnonzero(self.place - REACH >= self.begins[self.text])
-            left[there] = self._half(self.place[there] - REACH, 0) | np.uint64(1 << 8)
-            there = np.flatnonzero(self.place + GRAM + REACH <= self.ends[self.text])
-            right[there] = _mixed(self._half(self.place[there], 0) + MIX[1]) | np.uint64(1 << 8)
-        return left, right
-
     def spans(self, runs: np.ndarray) -> np.ndarray:
-        """128-bit buckets of the whole text that the windows of each run cover, and of where in it the place is."""
+        """96-bit buckets of the whole text that the windows of each run cover, and of where in it the place is."""
         low, high = self.low[runs], self.high[runs]
         form = ((high - low) * LENGTH + self.place[runs] - low).astype(np.uint64)
-        return np.stack([_mixed(self._whole(low, k) * MIX[0] + _mixed(self._whole(high, k) + form + MIX[k])) for k in range(2)], axis=1)
+        return _wide([_mixed(self._whole(low, k) * MIX[0] + _mixed(self._whole(high, k) + form + MIX[k])) for k in range(2)])
+
+    def windows(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of some pieces, and their 96-bit buckets."""
+        counts = self.last[pieces] - self.first[pieces] + 1
+        starts = np.repeat(self.first[pieces] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return starts, _wide([self._whole(starts, k) for k in range(2)])
+
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows of some runs, and their 128-bit buckets."""
-        counts = self.high[runs] - self.low[runs] + 1
-        starts = np.repeat(self.low[runs] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        return starts, np.stack([self._whole(starts, k) for k in range(2)], axis=1)
+def _wide(halves: list[np.ndarray]) -> np.ndarray:
+    return np.stack((halves[0], halves[1] >> np.uint64(32) << np.uint64(32)), axis=1)
 
 
 def batches_of(texts: list[bytes]) -> Iterator[Batch]:
@@ -158,15 +173,16 @@ class Ids(NamedTuple):
 
 
 def _pack(kind: int, ids: np.ndarray) -> bytes:
-    if kind == WIDE:
-        return np.ascontiguousarray(ids).tobytes()
+    if kind != NARROW:
+        return np.ascontiguousarray(ids[:, 0]).tobytes() + (ids[:, 1] >> np.uint64(32)).astype("<u4").tobytes()
     short = ids >> np.uint64(16)
     return (short >> np.uint64(32)).astype("<u2").tobytes() + short.astype("<u4").tobytes()
 
 
 def _unpack(kind: int, data: bytes) -> np.ndarray:
-    if kind == WIDE:
-        return np.frombuffer(data, np.uint64).reshape(-1, 2)
+    if kind != NARROW:
+        n = len(data) // 12
+        return np.stack((np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<u4", n, offset=8 * n).astype(np.uint64) << np.uint64(32)), axis=1)
     n = len(data) // 6
     return (np.frombuffer(data, "<u2", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(data, "<u4", n, offset=2 * n)) << np.uint64(16)
 
@@ -178,12 +194,12 @@ def _short(ids: np.ndarray) -> np.ndarray:
 def _counted(kind: int, ids: np.ndarray, weights: np.ndarray | None = None) -> Ids:
     """Distinct identifiers in order, with summed weights (1 if not given)."""
     weights = np.ones(len(ids), np.int64) if weights is None else weights
-    order = np.lexsort((ids[:, 1], ids[:, 0])) if kind == WIDE else np.argsort(ids, kind="stable")
+    order = np.lexsort((ids[:, 1], ids[:, 0])) if kind != NARROW else np.argsort(ids, kind="stable")
     ids, weights = ids[order], weights[order]
     if not len(ids):
         return Ids(kind, ids, weights)
     other = ids[1:] != ids[:-1]
-    first = np.flatnonzero(np.concatenate(([True], other.any(axis=1) if kind == WIDE else other)))
+    first = np.flatnonzero(np.concatenate(([True], other.any(axis=1) if kind != NARROW else other)))
     return Ids(kind, ids[first], np.add.reduceat(weights, first))
 
 
@@ -202,8 +218,16 @@ def _answer(table: pa.Table, least: int) -> pa.Table:
     parts = [_unpack(kind, x) for x in table.column("ids").to_pylist()]
     held = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("held").to_pylist()]).astype(np.int64)
     total = _counted(kind, np.concatenate(parts), held)
-    often = Ids(kind, total.ids[total.held >= least], total.held)
-    rows = [(unit, kind, _pack(kind, ids[_among(kind, ids, often.ids)])) for unit, ids in zip(units, parts)]
+    often = total.ids[total.held >= least]
+    free, rows = np.ones(len(often), bool), []
+    for unit, ids in sorted(zip(units, parts), key=lambda x: x[0]):
+        found = ids[_among(kind, ids, often)]
+        rows.append((unit, kind, _pack(kind, found)))
+        if kind == WIDE:
+            at = np.flatnonzero(free)
+            mine = at[_among(WIDE, often[at], found)]
+            free[mine] = False
+            rows.append((unit, KEPT, _pack(WIDE, often[mine])))
     return _table([r for r in rows if r[2]], [("unit", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary())])
 
 
@@ -214,14 +238,18 @@ def _among(kind: int, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
     if kind == NARROW:
         at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
         return known[at] == ids
-    both = np.concatenate((known, ids))
-    order = np.lexsort((np.concatenate((np.zeros(len(known)), np.ones(len(ids)))), both[:, 1], both[:, 0]))
-    ranked, is_known = both[order], order < len(known)
-    new = np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1)))
-    group = np.cumsum(new) - 1
-    out = np.empty(len(both), bool)
-    out[order] = is_known[np.flatnonzero(new)][group]  # of equal ones a known one sorts first
-    return out[len(known):]
+    lead = known[:, 0]
+    at = np.minimum(np.searchsorted(lead, ids[:, 0]), len(known) - 1)
+    found = (known[at] == ids).all(axis=1)
+    more = np.flatnonzero(~found & (lead[at] == ids[:, 0]))  # several known ones share the first half
+    while len(more):
+        at[more] += 1
+        more = more[at[more] < len(known)]
+        more = more[lead[at[more]] == ids[more, 0]]
+        hit = (known[at[more]] == ids[more]).all(axis=1)
+        found[more[hit]] = True
+        more = more[~hit]
+    return found
 
 
 def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
@@ -239,28 +267,25 @@ def _texts(table: pa.Table) -> list[bytes]:
 
 
 def _first_questions(table: pa.Table, ranges: int) -> pa.Table:
-    """Both 116-byte buckets and the whole text of every run of a unit."""
-    unit, sides, spans = table.column("unit")[0].as_py(), [], []
+    """The common bytes of every piece and the whole text of every run of a unit."""
+    unit, cores, spans = table.column("unit")[0].as_py(), [np.empty(0, np.uint64)], [np.empty((0, 2), np.uint64)]
     for batch in batches_of(_texts(table)):
-        left, right = batch.sides()
-        sides += [_short(left[left > 0]), _short(right[right > 0])]
+        cores.append(batch.cores())
         spans.append(batch.spans(np.arange(len(batch.place))))
-    rows = []
-    if spans and sum(map(len, spans)):
-        rows = [*_asked(unit, _counted(NARROW, np.concatenate(sides)), ranges), *_asked(unit, _counted(WIDE, np.concatenate(spans)), ranges)]
-    return _table(rows, QUESTION_FIELDS)
+    return _table([*_asked(unit, _counted(NARROW, np.concatenate(cores)), ranges), *_asked(unit, _counted(WIDE, np.concatenate(spans)), ranges)],
+                  QUESTION_FIELDS)
 
 
 def _answered(answers: pa.Table) -> dict[int, np.ndarray]:
     """Sorted identifiers of each kind."""
-    found = {NARROW: [np.empty(0, np.uint64)], WIDE: [np.empty((0, 2), np.uint64)]}
+    found = {NARROW: [np.empty(0, np.uint64)], WIDE: [np.empty((0, 2), np.uint64)], KEPT: [np.empty((0, 2), np.uint64)]}
     for kind, data in zip(answers.column("kind").to_pylist(), answers.column("ids").to_pylist()):
         if kind in found:
             found[kind].append(_unpack(kind, data))
     return {kind: _counted(kind, np.concatenate(parts)).ids for kind, parts in found.items()}
 
 
-#: The states of the runs of a unit travel with the answers, as a row of this kind.
+#: The states of the pieces of a unit travel with the answers, as a row of this kind.
 STATE = 2
 
 
@@ -272,41 +297,39 @@ def _states(answers: pa.Table) -> np.ndarray:
 
 
 def _second_questions(table: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
-    """States of the runs, and which buckets of settled runs hold an open one."""
+    """States of the pieces, and the buckets of open ones and keepers, to learn which keepers stand beside an open one."""
     if not table.num_rows:
         return _table([], QUESTION_FIELDS)
     unit, known = table.column("unit")[0].as_py(), _answered(answers)
-    states, ids, weights = [], [], []
+    states, ids, weights = [np.empty(0, np.uint8)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for batch in batches_of(_texts(table)):
-        sides = [_short(x) for x in batch.sides()]
-        again = [_among(NARROW, x, known[NARROW]) & (x > 0) for x in sides]
-        state = np.where(again[0] | again[1], OPEN, DEAD).astype(np.uint8)
-        runs = np.flatnonzero(state)
-        state[runs[_among(WIDE, batch.spans(runs), known[WIDE])]] = SETTLED
+        cores = batch.cores()
+        again = _among(NARROW, cores, known[NARROW])
+        runs = np.unique(batch.run[again])
+        spans = batch.spans(runs)
+        of_run = np.full(len(batch.place), DEAD, np.uint8)
+        of_run[runs[_among(WIDE, spans, known[WIDE])]] = SETTLED
+        of_run[runs[_among(WIDE, spans, known[KEPT])]] = KEEPER
+        state = np.where(of_run[batch.run] > DEAD, of_run[batch.run], np.where(again, OPEN, DEAD)).astype(np.uint8)
         states.append(state)
-        for side, held in zip(sides, again):
-            ids.append(side[held])
-            weights.append((state[held] == OPEN).astype(np.int64))
-    rows = [(STATE, -1, unit, np.concatenate(states).tobytes(), None)] if states else []
-    if ids:
-        rows += _asked(unit, _counted(NARROW, np.concatenate(ids), np.concatenate(weights)), ranges)
-    return _table(rows, QUESTION_FIELDS)
+        asks = state >= KEEPER
+        ids.append(cores[asks])
+        weights.append((state[asks] == OPEN).astype(np.int64))
+    return _table([(STATE, -1, unit, np.concatenate(states).tobytes(), None),
+                   *_asked(unit, _counted(NARROW, np.concatenate(ids), np.concatenate(weights)), ranges)], QUESTION_FIELDS)
 
 
 def _third_questions(table: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
-    """The windows of open runs and of settled runs beside them."""
+    """The windows of open pieces, and of keepers that share a bucket with one."""
     if not table.num_rows:
         return _table([], QUESTION_FIELDS)
     unit, known, state = table.column("unit")[0].as_py(), _answered(answers), _states(answers).copy()
-    at, parts = 0, []
+    at, parts = 0, [Ids(WIDE, np.empty((0, 2), np.uint64), np.empty(0, np.int64))]
     for batch in batches_of(_texts(table)):
-        here = state[at:at + len(batch.place)]
+        here = state[at:at + len(batch.run)]
         at += len(here)
-        settled = np.flatnonzero(here == SETTLED)
-        beside = np.zeros(len(settled), bool)
-        for side in batch.sides():
-            beside |= _among(NARROW, _short(side[settled]), known[NARROW]) & (side[settled] > 0)
-        here[settled[beside]] = BESIDE_OPEN
+        keepers = np.flatnonzero(here == KEEPER)
+        here[keepers[_among(NARROW, batch.cores()[keepers], known[NARROW])]] = BESIDE_OPEN
         parts.append(_counted(WIDE, batch.windows(np.flatnonzero(here >= OPEN))[1]))
     counted = _counted(WIDE, np.concatenate([p.ids for p in parts]), np.concatenate([p.held for p in parts]))
     return _table([(STATE, -1, unit, state.tobytes(), None), *_asked(unit, counted, ranges)], QUESTION_FIELDS)
@@ -317,12 +340,12 @@ def _removed(table: pa.Table, answers: pa.Table) -> pa.Table:
     numbers = table.column("_id").take(pa.array(order))
     known, state, at, rows = _answered(answers), _states(answers), 0, []
     for batch in batches_of(_texts(table)):
-        here = state[at:at + len(batch.place)]
+        here = state[at:at + len(batch.run)]
         at += len(here)
         edges = np.zeros(len(batch.data) + LENGTH + 1, np.int32)
-        runs = np.flatnonzero((here == SETTLED) | (here == BESIDE_OPEN))
-        np.add.at(edges, batch.low[runs], 1)
-        np.add.at(edges, batch.high[runs] + LENGTH, -1)
+        settled = np.flatnonzero((here != DEAD) & (here != OPEN))
+        np.add.at(edges, batch.first[settled], 1)
+        np.add.at(edges, batch.last[settled] + LENGTH, -1)
         starts, ids = batch.windows(np.flatnonzero(here == OPEN))
         starts = starts[_among(WIDE, ids, known[WIDE])]
         np.add.at(edges, starts, 1)
@@ -330,8 +353,11 @@ def _removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         gone = np.cumsum(edges)[:len(batch.data)] > 0
         for begin, end in zip(batch.begins.tolist(), batch.ends.tolist()):
             text, out = batch.data[begin:end], gone[begin:end]
-            runs_of = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
-            rows.append((end - begin, int(out.sum()), runs_of, hashlib.sha256(text[~out].tobytes()).hexdigest()))
+            if not out.any():
+                rows.append((end - begin, 0, 0, hashlib.sha256(text).hexdigest()))
+                continue
+            runs = int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1]))
+            rows.append((end - begin, int(out.sum()), runs, hashlib.sha256(text[~out].tobytes()).hexdigest()))
     found = _table(rows, [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     return found.add_column(0, "_id", numbers)
 
@@ -352,7 +378,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = (docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_text"), F.monotonically_increasing_id().alias("_row"))
              .withColumn("unit", F.pmod(F.xxhash64("_row"), F.lit(units)).cast("int")))
     name = f"dealt_{uuid.uuid4().hex}"
-    (dealt.repartition(units, "unit").write.format("parquet").bucketBy(units, "unit").option("path", fresh_path(spark, "dealt-texts")).saveAsTable(name))
+    (dealt.repartition(units, "unit").write.format("parquet").bucketBy(units, "unit").option("compression", "zstd").option("path", fresh_path(spark, "dealt-texts")).saveAsTable(name))
     texts = spark.table(name)
     kind = dict(texts.dtypes)["_id"]
 
