@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     label any of them saw, so that label trees join whole; rounds grow with the logarithm of the longest path. Minima are combined
     before each shuffle, and every table that is joined stands written, so a node with very many links is split.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(edges.select(F.explode(ways).alias("e")).select("e.*").distinct(), "edges")
     labels = written(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
     if labels.isEmpty():
         return labels
