@@ -9,6 +9,7 @@ says which sequence a piece goes to and where; no piece meets another.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -27,11 +28,13 @@ from plantledger.llm.common import raw_digest, text_or_empty, written
 CAPACITY = 2048
 #: Closes every document.
 END_ID = 0
-#: Most distinct words a worker remembers; then it starts afresh. It saves work only, ids never depend on it.
-WORDS_KEPT = 800_000
+#: A worker remembers words in two generations of this size: a full one becomes the old one, from which words still in
+#: use come back. It saves work only, ids never depend on it.
+WORDS_KEPT = 150_000
 #: A word of one token that stands between words which are encoded together.
 MARK = "|"
 STOPS = b".,;:!?"
+LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 ROWS_AT_ONCE = 256
 
 
@@ -45,15 +48,35 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self._tokenizer = Tokenizer.from_file(path)
+        # For words of Latin letters alone the steps before the merges change nothing but the case.
+        self._letters = Tokenizer(self._tokenizer.model)
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        self._closes[[i for piece, i in self._tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
         self._mark = self._ids(MARK)[0]
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[bytes]) -> None:
+        decoded = [w.decode() for w in words]
+        plain = [LETTERS.fullmatch(w) is not None for w in decoded]
+        self._learn_letters([w for w, p in zip(words, plain) if p], [w.lower() for w, p in zip(decoded, plain) if p])
+        self._learn_any([w for w, p in zip(words, plain) if not p])
+
+    def _learn_letters(self, words: list[bytes], lower: list[str]) -> None:
+        ids = np.array(self._letters.encode_batch_fast([" ".join(lower)], add_special_tokens=False)[0].ids, dtype="<u4")
+        body, begin = ids.tobytes(), 0
+        for word, end in zip(words, (np.flatnonzero(self._closes[ids]) * 4 + 4).tolist(), strict=True):
+            self._known[word] = body[begin:end]
+            begin = end
+
+    def _learn_any(self, words: list[bytes]) -> None:
         """Encodes words in one text, a mark after each; where the mark is also a part of some word, one by one."""
         for at in range(0, len(words), 500):
             some = words[at:at + 500]
@@ -72,10 +95,14 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         # Lower case leaves special tokens written in capitals alone, so texts that may hold one stay as they are.
         words = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        known = self._known
-        if len(known) > WORDS_KEPT:
-            known.clear()
+        if len(self._known) > WORDS_KEPT:
+            self._known, self._old = {}, self._known
+        known, old = self._known, self._old
         new = {w for line in words for w in line if w not in known}
+        back = [w for w in new if w in old]
+        new.difference_update(back)
+        for word in back:
+            known[word] = old[word]
         ended = [w for w in new if w[-1] in STOPS and len(w) > 1 and 97 <= w[-2] <= 122]
         new.difference_update(ended)
         new.update(w for word in ended for w in (word[:-1], word[-1:]) if w not in known)

@@ -35,7 +35,7 @@ WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 SHARPNESS = 1.0
 SAMPLES = 3
 #: Most word lattices a worker remembers; then it starts afresh.
-WORDS_KEPT = 50_000
+WORDS_KEPT = 20_000
 ROWS_AT_ONCE = 64
 
 
