@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plantledger.functions.values import date_class
+
 
 def batch_of(lot: Column) -> Column:
     """Batch name of a lot: everything before the last ``-``."""
@@ -24,10 +26,14 @@ def pallet_prefix(package: Column) -> Column:
     return F.regexp_replace(F.coalesce(package, F.lit("")), "(?s)^(.*)-PAL-.*$", "$1")
 
 
+#: Stands for "no number": above every number of up to 37 digits.
+NO_NUMBER = "9" * 38
+
+
 def pallet_number(package: Column) -> Column:
     """Trailing pallet number; names without one sort last."""
     digits = F.regexp_extract(F.coalesce(package, F.lit("")), "(?s)^.*-PAL-([0-9]+)$", 1)
-    return F.coalesce(digits.try_cast("int"), F.lit(99999))
+    return F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(NO_NUMBER).cast("decimal(38,0)"))
 
 
 def first_line(text: Column) -> Column:
@@ -36,7 +42,7 @@ def first_line(text: Column) -> Column:
 
 def other_lines(text: Column) -> Column:
     """Lines after the first, joined by a newline again; empty when there is only one."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\\R")
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\\R$", ""), "\\R")
     return F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
 
 
@@ -44,9 +50,19 @@ def safe_token(text: Column) -> Column:
     return F.translate(F.trim(text), "/ ", "__")
 
 
+def _six_digits(value: Column) -> Column:
+    """``value`` rounded to six significant digits, half to even on its decimal digits."""
+    power = F.floor(F.log10(F.abs(value)))
+    exact = value.try_cast("decimal(38,16)")
+    rounded = F.when(value.isNull(), value)
+    for p in range(-5, 13):  # beyond, the exponent form rounds by itself
+        rounded = rounded.when(power == p, F.bround(exact, 5 - p).cast("double"))
+    return rounded.otherwise(value)
+
+
 def number_text(x: Column) -> Column:
     """Up to six significant digits without trailing zeros; exponent form outside 1e-4 .. 1e6."""
-    value = x.cast("double")
+    value = _six_digits(x.cast("double"))
     scientific = F.format_string("%.5e", value)
     mantissa = F.regexp_replace(F.regexp_extract(scientific, "^(-?[0-9.]+)e", 1), "\\.?0+$", "")
     exponent = F.regexp_extract(scientific, "e([+-][0-9]+)$", 1)
@@ -63,15 +79,15 @@ def money_text(x: Column) -> Column:
 
 
 def weight_text(x: Column) -> Column:
-    return F.format_string("%.1f", x.cast("double"))
+    """One decimal, half to even; ``-`` without a weight or for 0."""
+    known = x.isNotNull() & (x != 0)
+    return F.when(known, F.format_string("%.1f", F.bround(x.cast("decimal(38,10)"), 1).cast("double"))).otherwise("-")
 
 
 def dims_text(length: Column, width: Column, height: Column) -> Column:
-    return F.concat_ws(" x ", number_text(length), number_text(width), number_text(height))
-
-
-def strip_prefix(text: Column, prefix: str) -> Column:
-    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 2_147_483_647)).otherwise(text)
+    """Length x width x height with ``-`` for a side that is missing; a single ``-`` when all are."""
+    sides = [F.coalesce(number_text(side), F.lit("-")) for side in (length, width, height)]
+    return F.when(F.coalesce(length, width, height).isNull(), "-").otherwise(F.concat_ws(" x ", *sides))
 
 
 def drop_items(text: Column, items: Sequence[str]) -> Column:
@@ -81,13 +97,15 @@ def drop_items(text: Column, items: Sequence[str]) -> Column:
 
 
 def mask_password(url: Column) -> Column:
-    return F.regexp_replace(url, "(://[^:/@]+):[^@]*@", "$1:***@")
+    """The password ends at the last ``@`` before the path."""
+    return F.regexp_replace(url, "(://[^:/@]+):[^/]*@", "$1:***@")
 
 
-def scrub_timestamps(text: Column) -> Column:
-    """Timestamps replaced by a fixed mark, outer white space removed."""
-    marked = F.regexp_replace(text, "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[^\"\\s]*", "<TS>")
-    return F.regexp_replace(marked, "^\\s+|\\s+$", "")
+def scrub_times(text: Column) -> Column:
+    """Words of a text that are a date with a time give way to a mark; words end at white space, quotes, commas and brackets."""
+    ends = "\\s\"',;<>\\[\\]{}()"
+    words = F.split(text, f"(?<=[{ends}])|(?=[{ends}])")
+    return F.trim(F.array_join(F.transform(words, lambda w: F.when(date_class(w).isin("iso_z", "iso_no_z"), "(time)").otherwise(w)), ""))
 
 
 class Rule(NamedTuple):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +45,14 @@ def parse_date(text: Column) -> Column:
     return F.when(shape, naive.try_cast("timestamp_ntz"))
 
 
-def looks_like_date(name: str, declared: str) -> bool:
-    """Does a column hold dates, by declared type or by name hint."""
-    kind, lowered = (declared or "").upper(), name.lower()
-    return "DATE" in kind or "TIME" in kind or any(hint in lowered for hint in ("_at", "_time", "date_"))
+def date_columns(declared: Mapping[str, str]) -> list[str]:
+    """The columns that hold dates: by their declared type, or, where it is a text type, by the last word of their name."""
+    def holds_dates(name: str, kind: str) -> bool:
+        base = kind.split("(")[0].strip().upper()
+        if base in ("DATE", "DATETIME", "TIMESTAMP"):
+            return True
+        return base in ("", "TEXT", "VARCHAR", "CHAR") and name.lower().split("_")[-1] in ("at", "on", "day", "date", "time")
+    return [name for name, kind in declared.items() if holds_dates(name, kind)]
 
 
 def accepted_storage(declared: str) -> tuple[str, ...]:

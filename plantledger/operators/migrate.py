@@ -81,8 +81,10 @@ def packaging_plan(source: DataFrame, targets: DataFrame, existing: DataFrame) -
     have = existing.select(F.col("product_id").alias("target_id"), "name").distinct().withColumn("_have", F.lit(True))
     matched = (source.join(same_id, F.col("product_id") == F.col("_by_id"), "left").join(same_code, "code", "left")
                .withColumn("target_id", F.coalesce("_by_id", "_by_code")))
-    planned = matched.join(have, ["target_id", "name"], "left")
-    action = (F.when(F.col("target_id").isNull(), "skip: no product").when(F.col("_have"), "skip: exists")
+    # of several rows for one product and name the first is created, the rest find it there
+    first = matched.filter(F.col("target_id").isNotNull()).groupBy("target_id", "name").agg(F.min("packaging_id").alias("_first"))
+    planned = matched.join(have, ["target_id", "name"], "left").join(first, ["target_id", "name"], "left")
+    action = (F.when(F.col("target_id").isNull(), "skip: no product").when(F.col("_have") | (F.col("packaging_id") != F.col("_first")), "skip: exists")
               .otherwise("create"))
     return planned.select("packaging_id", "name", "qty", F.coalesce("target_id", F.lit(-1)).alias("target_id"),
                           F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_code").isNotNull(), "code")

@@ -1,10 +1,9 @@
 """Order-dependent building blocks that stay parallel when one key holds most of the rows.
 
-``number_rows`` and ``with_previous`` measure the heaviest group first. While it fits one task they
-are a plain window. Beyond that the rows are range-partitioned on (keys, order), so a heavy group
-is cut into consecutive slices; each slice is numbered on its own and shifted by the rows in the
-slices before it. At most one group continues into a slice from the one before, so the shift table
-has fewer rows than there are slices, which is what makes broadcasting it safe.
+There is one path for groups of every size. A group is cut into slices by the leading part of its first order column:
+the 16 highest significant bits of a number, date or time, the first three letters of a text. Slices follow each other in
+the order, so rows are numbered slice by slice and shifted by the rows of the slices before, of which
+only the counts meet, combined before the shuffle. Nothing is measured or written while a plan is built.
 """
 
 from __future__ import annotations
@@ -14,11 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plantledger.session import settled
-
-GROUP_LIMIT = 2_000_000
-SLICE = "_slice"
+SLICE, PART = "_slice", "_part"
+#: Slices in one doubling of a number.
+STEPS = 1 << 16
 
 
 def _sort(order: Sequence[str]) -> list[Column]:
@@ -26,71 +25,53 @@ def _sort(order: Sequence[str]) -> list[Column]:
     return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in order]
 
 
-def heaviest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group; counts are combined map-side, one number reaches the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
-
-
-def _fits(size: DataFrame | int, keys: Sequence[str], limit: int | None) -> bool:
-    rows = size if isinstance(size, int) else heaviest_group(size, keys)
-    return rows <= (GROUP_LIMIT if limit is None else limit)
+def _leading(column: Column, kind: T.DataType) -> Column:
+    """A value that never falls when the column rises; equal for neighbours only."""
+    if isinstance(kind, T.StructType):
+        return _leading(column.getField(kind[0].name), kind[0].dataType)
+    if isinstance(kind, T.StringType):
+        return F.substring(column, 1, 3)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        number = F.unix_micros(column.cast("timestamp")).cast("double")
+    elif isinstance(kind, T.DateType):
+        number = F.unix_date(column).cast("double")
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        number = column.cast("double")
+    else:
+        return F.lit(0)
+    size = F.abs(number) + 1
+    doubling = F.floor(F.log2(size))
+    code = (doubling - 1) * STEPS + F.floor(size / F.pow(F.lit(2.0), doubling) * STEPS)
+    whole = F.when(F.isnan(number) | (size == float("inf")), F.lit(1 << 40)).otherwise(code.cast("bigint"))
+    return F.when(F.isnan(number), F.lit(1 << 41)).otherwise(F.when(number < 0, -whole).otherwise(whole))
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    spread = df.repartitionByRange(*[F.col(k) for k in keys], *_sort(order))
-    return settled(spread.withColumn(SLICE, F.spark_partition_id()))
+    """``df`` with the slice of each row and ``PART``: keys and slice as one value, in which NULLs equal NULLs."""
+    first = order[0].removeprefix("-")
+    sliced = df.withColumn(SLICE, _leading(F.col(first), df.schema[first].dataType))
+    return sliced.withColumn(PART, F.struct(*keys, SLICE))
 
 
-def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    on = left[SLICE] == right[SLICE]
-    for key in keys:
-        on = on & left[key].eqNullSafe(right[key])
-    return on
-
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no") -> DataFrame:
+    """Add ``out`` = 1, 2, ... within each key group in the given total order."""
+    sliced = _sliced(df, keys, order)
+    numbered = sliced.withColumn(out, F.row_number().over(W.partitionBy(PART).orderBy(*_sort(order))).cast("bigint"))
+    earlier = W.partitionBy(*keys).orderBy(*_sort([("-" if order[0].startswith("-") else "") + SLICE])).rowsBetween(W.unboundedPreceding, -1)
+    shift = (sliced.groupBy(*keys, SLICE).count()
+             .select(F.struct(*keys, SLICE).alias(PART), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")))
+    return numbered.join(shift, PART).select(*df.columns, (F.col(out) + F.col("_before")).alias(out))
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no",
-    group_limit: int | None = None, sized_by: DataFrame | int | None = None,
-) -> DataFrame:
-    """Add ``out`` = 1, 2, ... within each key group in the given total order.
 
-    ``sized_by`` saves measuring ``df`` itself: a cheaper frame with the same keys and at least as many rows
-    per group (say, the plain lines ``df`` is grouped from), or a bound measured before.
-    """
-    if _fits(df if sized_by is None else sized_by, keys, group_limit):
-        window = W.partitionBy(*keys).orderBy(*_sort(order))
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    sliced = _sliced(df, keys, order)
-    window = W.partitionBy(SLICE, *keys).orderBy(*_sort(order))
-    numbered = sliced.withColumn(out, F.row_number().over(window).cast("bigint"))
-    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    shift = (sliced.groupBy(SLICE, *keys).count()
-             .withColumn("_before", F.sum("count").over(before))
-             .filter(F.col("_before").isNotNull()).drop("count"))
-    joined = numbered.join(F.broadcast(shift), _same_group(numbered, shift, keys), "left")
-    total = numbered[out] + F.coalesce(shift["_before"], F.lit(0))
-    return joined.select(*[numbered[c] for c in df.columns], total.alias(out))
-
-
-def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
-    out: str = "previous", group_limit: int | None = None, sized_by: DataFrame | int | None = None,
-) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], out: str = "previous") -> DataFrame:
     """Add struct ``out`` with ``columns`` of the row before in its group (NULL for the first row)."""
-    taken = F.struct(*columns)
-    if _fits(df if sized_by is None else sized_by, keys, group_limit):
-        window = W.partitionBy(*keys).orderBy(*_sort(order))
-        return df.withColumn(out, F.lag(taken).over(window))
-    sliced = _sliced(df, keys, order)
-    window = W.partitionBy(SLICE, *keys).orderBy(*_sort(order))
-    inside = sliced.withColumn("_inside", F.lag(taken).over(window))
-    tails = sliced.groupBy(SLICE, *keys).agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
-    carried = (tails.withColumn("_carry", F.lag("_tail").over(W.partitionBy(*keys).orderBy(SLICE)))
-               .filter(F.col("_carry").isNotNull()).drop("_tail"))
-    joined = inside.join(F.broadcast(carried), _same_group(inside, carried, keys), "left")
-    return joined.select(*[inside[c] for c in df.columns],
-                         F.coalesce(inside["_inside"], carried["_carry"]).alias(out))
+    sliced = _sliced(df, keys, order).withColumn("_taken", F.struct(*columns))
+    within = W.partitionBy(PART).orderBy(*_sort(order))
+    paired = sliced.withColumns({"_inside": F.lag("_taken").over(within), "_is_last": F.lead("_taken").over(within).isNull()})
+    by_slice = W.partitionBy(*keys).orderBy(*_sort([("-" if order[0].startswith("-") else "") + SLICE]))
+    carried = (paired.filter("_is_last").select(*keys, SLICE, PART, F.lag("_taken").over(by_slice).alias("_carry"))
+               .filter(F.col("_carry").isNotNull()).select(PART, "_carry"))
+    return paired.join(carried, PART, "left").select(*df.columns, F.coalesce("_inside", "_carry").alias(out))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: bool = True) -> DataFrame:
@@ -101,10 +82,7 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: boo
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*df.columns)
 
 
-def text_list(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, per_row: int = 500,
-    group_limit: int | None = None, sized_by: DataFrame | int | None = None, order: Sequence[str] = (),
-) -> DataFrame:
+def text_list(df: DataFrame, keys: Sequence[str], value: str, out: str, per_row: int = 500, order: Sequence[str] = ()) -> DataFrame:
     """Distinct ``value`` in ``order`` (its own, if none is given) joined with ``', '`` per key,
     ``per_row`` values to a row.
 
@@ -112,8 +90,13 @@ def text_list(
     no task ever builds a text of unbounded length.
     """
     distinct = df.filter(F.col(value).isNotNull()).select(*keys, value, *order).distinct()
-    numbered = number_rows(distinct, keys, list(order) or [value], "_n", group_limit, df if sized_by is None else sized_by)
+    numbered = number_rows(distinct, keys, list(order) or [value], "_n")
     page = (F.floor((F.col("_n") - 1) / F.lit(per_row)) + 1).cast("bigint")
     return (numbered.withColumn("page", page).groupBy(*keys, "page")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]),
                               ", ").alias(out)))
+
+
+def on_first_page(*names: str) -> dict[str, Column]:
+    """Amounts of a line whose list goes on over several pages: on page 1 only, so that sums over the result are right."""
+    return {name: F.when(F.col("page") == 1, F.col(name)) for name in names}

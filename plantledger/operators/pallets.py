@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plantledger.functions import quantities as Q
 from plantledger.operators.checks import as_checks
-from plantledger.operators.ordering import latest, number_rows, text_list
+from plantledger.operators.ordering import latest, number_rows, on_first_page, text_list
 
 
 def build(units: DataFrame, key: str, order: Sequence[str], per_pallet: int) -> DataFrame:
@@ -38,37 +38,41 @@ def unit_ranges(units: DataFrame, keys: Sequence[str], number: str, per_row: int
     Runs are found first, so the text is made from runs and not from single units.
     """
     distinct = units.filter(F.col(number).isNotNull()).select(*keys, number).distinct()
-    runs = (number_rows(distinct, keys, [number], "_n", sized_by=units)
+    runs = (number_rows(distinct, keys, [number], "_n")
             .groupBy(*keys, (F.col(number) - F.col("_n")).alias("_run"))
             .agg(F.min(number).alias("_low"), F.max(number).alias("_high"), F.count(F.lit(1)).alias("_units")))
     low, high = F.col("_low").cast("string"), F.col("_high").cast("string")
     named = runs.withColumn("_text", F.when(F.col("_low") == F.col("_high"), low).otherwise(F.concat(low, F.lit("-"), high)))
-    texts = text_list(named, keys, "_text", "units", per_row, sized_by=units, order=["_low"])
+    texts = text_list(named, keys, "_text", "units", per_row, order=["_low"])
     counts = named.groupBy(*keys).agg(F.sum("_units").alias("n_units"), F.count(F.lit(1)).alias("n_runs"))
-    return texts.join(counts, list(keys))
+    return texts.join(counts, list(keys)).withColumns(on_first_page("n_units", "n_runs"))
 
 
 def verify(expected: DataFrame, packages: DataFrame, contents: DataFrame) -> DataFrame:
-    """Checks per expected pallet.
+    """Checks per expected pallet against its own product, lot and order.
 
-    ``expected``: picking_id, package_name, expected_qty, order_no. ``packages``: keys, package_type,
-    gross_weight_lb, finalized_at. ``contents``: keys, quantity, lot_name, order_no.
+    ``expected``: picking_id, package_name, product_id, lot_name, expected_qty, order_no. ``packages``: keys,
+    package_type, gross_weight_lb, finalized_at. ``contents``: keys, product_id, quantity, lot_name, order_no. Only
+    the expected product counts towards the quantity.
     """
     keys = ["picking_id", "package_name"]
-    inside = contents.groupBy(*keys).agg(
-        F.sum("quantity").alias("fg_qty"), F.count("lot_name").alias("with_lot"),
-        F.min("order_no").alias("first_order"), F.max("order_no").alias("last_order"))
+    wanted = expected.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("product_id", "lot_name", "order_no")])
+    product = F.col("product_id") == F.col("_product_id")
+    inside = contents.join(wanted, keys).groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(product, F.col("quantity"))), F.lit(0.0)).alias("fg_qty"), F.bool_or(product).alias("has_product"),
+        F.bool_or(product & (F.col("lot_name") == F.col("_lot_name"))).alias("has_lot"),
+        F.bool_or(F.col("order_no") == F.col("_order_no")).alias("has_order"))
     found = packages.withColumn("_present", F.lit(True))
     joined = expected.join(found, keys, "left").join(inside, keys, "left")
-    present = F.col("_present").isNotNull()
     return as_checks(joined, "pallets", F.concat_ws("/", F.col("picking_id").cast("string"), "package_name"), [
-        ("present", present, "blocker"),
+        ("present", F.col("_present").isNotNull(), "blocker"),
         ("package type", F.col("package_type") == "Pallet", "minor"),
         ("weight populated", F.col("gross_weight_lb") > 0, "major"),
         ("finalised", F.col("finalized_at").isNotNull(), "major"),
+        ("has product", F.col("has_product"), "blocker"),
         ("quantity", Q.near(F.col("fg_qty"), F.col("expected_qty")), "blocker"),
-        ("has finished lot", F.col("with_lot") > 0, "blocker"),
-        ("order link", (F.col("first_order") <= F.col("order_no")) & (F.col("order_no") <= F.col("last_order")), "major"),
+        ("has finished lot", F.col("has_lot"), "blocker"),
+        ("order link", F.col("has_order"), "major"),
     ])
 
 

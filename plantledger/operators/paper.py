@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantledger.functions import quantities as Q
 from plantledger.functions import text as X
-from plantledger.operators.ordering import heaviest_group, number_rows, text_list
+from plantledger.operators.ordering import number_rows, on_first_page, text_list
 
 LINE_ORDER = ("order_id", "unit_no", "part_id", "supplier_id", "ship_date", "price")
 NO_PALLET = "NO PALLET"
@@ -35,8 +35,6 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
     of the pallet, its dimensions and weight repeat on its rows.
     """
     picked = _picked(lines, products.select("product_id", "product_name", "count_per_unit", "packaging_name"))
-    # rows of the largest picking bound its pallets, its loose lines and the contents of each pallet
-    largest = heaviest_group(lines, ["picking_id"])
     on_pallet = picked.filter(F.col("package_name").isNotNull())
     loose = picked.filter(F.col("package_name").isNull())
 
@@ -46,8 +44,7 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
     contents = base.groupBy("picking_id", "package_name", "product_id", "batch").agg(
         F.sum("pieces").alias("pieces"), _first("_seen", "unit_label").alias("_first"))
     contents = contents.withColumn("unit_label", F.col("_first.unit_label"))
-    contents = number_rows(contents, ["picking_id", "package_name"], ["_first", "product_id", "batch"], "content_no",
-                           sized_by=largest)
+    contents = number_rows(contents, ["picking_id", "package_name"], ["_first", "product_id", "batch"], "content_no")
     labels = base.groupBy("picking_id", "package_name", "unit_label").agg(
         F.sum("pieces").alias("n"), F.min("_seen").alias("_at"))
     # labels are packaging and unit names, a short fixed vocabulary, so one list per pallet stays small
@@ -61,10 +58,10 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
         X.pallet_number(F.col("package_name")).alias("_number"),
         X.dims_text(F.col("length"), F.col("width"), F.col("height")).alias("dims"),
         X.weight_text(F.col("gross_weight_lb")).alias("weight"))
-    pallets = number_rows(pallets, ["picking_id"], ["_prefix", "_number", "package_name"], "row_no", sized_by=largest)
+    pallets = number_rows(pallets, ["picking_id"], ["_prefix", "_number", "package_name"], "row_no")
     n_pallets = packages.groupBy("picking_id").agg(F.count(F.lit(1)).alias("_pallets"))
 
-    loose = number_rows(loose, ["picking_id"], [*LINE_ORDER, "pieces"], "_loose_no", sized_by=largest)
+    loose = number_rows(loose, ["picking_id"], [*LINE_ORDER, "pieces"], "_loose_no")
     loose_rows = loose.join(n_pallets, "picking_id", "left").select(
         "picking_id", (F.coalesce("_pallets", F.lit(0)) + F.col("_loose_no")).alias("row_no"),
         F.lit(NO_PALLET).alias("pallet"), F.lit(1).cast("bigint").alias("content_no"), "product_name",
@@ -110,7 +107,7 @@ def order_summary(lines: DataFrame, products: DataFrame) -> DataFrame:
               .groupBy("picking_id", "product_id", "batch")
               .agg(F.sum("pieces").alias("pieces"), F.count("package_name").alias("on_pallets"),
                    F.min("_at").alias("_at"), F.min("_line").alias("_line")))
-    numbered = number_rows(groups, ["picking_id"], ["_at", "product_id", "batch"], "position", sized_by=lines)
+    numbered = number_rows(groups, ["picking_id"], ["_at", "product_id", "batch"], "position")
     usable = F.col("packaging_name").isNotNull() & (F.coalesce("packaging_qty", F.lit(0)) != 0)
     return numbered.join(products, "product_id", "left").select(
         "picking_id", "position", F.coalesce("product_name", F.lit("")).alias("product_name"),
@@ -124,9 +121,9 @@ def order_summary(lines: DataFrame, products: DataFrame) -> DataFrame:
 def delivery_lines(
     moves: DataFrame, lines: DataFrame, products: DataFrame, suppliers: DataFrame, lots_per_row: int = 500
 ) -> DataFrame:
-    """Packing slip: ordered and shipped per move, batch lots, pallet count or packs."""
+    """Packing slip: ordered and shipped per move, batch lots, pallet count or packs; amounts on page 1 of the lots."""
     batches = lines.select("picking_id", "product_id", X.batch_of(F.col("lot_name")).alias("batch"))
-    lots = text_list(batches, ["picking_id", "product_id"], "batch", "lots", lots_per_row, sized_by=lines)
+    lots = text_list(batches, ["picking_id", "product_id"], "batch", "lots", lots_per_row)
     n = F.col("n_pallets")
     packed = (F.when(n == 1, "1 pallet").when(n > 1, F.concat(n.cast("string"), F.lit(" pallets")))
               .when(F.col("packaging_name").isNotNull() & (F.coalesce("packaging_qty", F.lit(0)) != 0),
@@ -141,7 +138,8 @@ def delivery_lines(
                     F.coalesce("lots", F.lit("")).alias("lots"),
                     F.concat(X.number_text(F.col("ordered")), F.lit(" "), "uom").alias("order_qty"),
                     F.concat(X.number_text(F.col("shipped")), F.lit(" "), "uom").alias("shipped_qty"),
-                    packed.alias("packed"), F.coalesce("supplier_name", F.lit("")).alias("ship_from")))
+                    packed.alias("packed"), F.coalesce("supplier_name", F.lit("")).alias("ship_from"))
+            .withColumns(on_first_page("order_qty", "shipped_qty", "packed")))
 
 
 def blind_ship_lines(delivery: DataFrame) -> DataFrame:
@@ -157,10 +155,9 @@ def sale_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     """
     order = ["line_no", "product_id", "supplier_id", "ship_date", "price"]
     is_product = F.col("display_type").isNull()
-    largest = heaviest_group(lines, ["order_id"])
-    positioned = number_rows(lines.withColumn("_extra", ~is_product), ["order_id"], order, "position", sized_by=largest)
+    positioned = number_rows(lines.withColumn("_extra", ~is_product), ["order_id"], order, "position")
     # products sort before sections and notes here, so their numbers are 1, 2, ... among products
-    positioned = number_rows(positioned, ["order_id"], ["_extra", *order], "row_no", sized_by=largest)
+    positioned = number_rows(positioned, ["order_id"], ["_extra", *order], "row_no")
     totals = lines.filter(is_product).groupBy("order_id").agg(
         F.round(F.sum("price_subtotal"), 2).alias("untaxed"), F.round(F.sum("tax"), 2).alias("tax_amount"),
         F.max(F.col("discount") > 0).alias("display_discount"))
@@ -194,7 +191,7 @@ def invoice_lines(
 
     ``lines``: invoice_id, sale_line_id, product_id, quantity, subtotal. ``sale_lines_``: sale_line_id,
     move_id. ``moves``: move_id, picking_id, fold_id. ``stock_lines``: picking_id, fold_id, lot_name.
-    The lots of a move are listed once and then attached, so the chain never multiplies rows.
+    Amounts stand on page 1 of a line's lots. The lots of a move are listed once and then attached, so the chain never multiplies rows.
     """
     batches = (stock_lines.filter(F.col("lot_name").isNotNull())
                .select("picking_id", "fold_id", X.batch_of(F.col("lot_name")).alias("batch")).distinct())
@@ -207,7 +204,8 @@ def invoice_lines(
                     X.first_line(F.col("display_name")).alias("name"),
                     F.coalesce("lots", F.lit("")).alias("lots"),
                     X.number_text(F.col("quantity")).alias("qty"),
-                    X.money_text(F.round("subtotal", 2)).alias("subtotal")))
+                    X.money_text(F.round("subtotal", 2)).alias("subtotal"))
+            .withColumns(on_first_page("qty", "subtotal")))
 
 
 def invoice_balance(invoices: DataFrame, payments: DataFrame) -> DataFrame:
@@ -234,13 +232,13 @@ def invoice_balance(invoices: DataFrame, payments: DataFrame) -> DataFrame:
                        X.money_text(F.col("amount")).alias("amount")))
     shown = F.col("posted") & (F.col("n_entries").isNotNull()
                                | ((F.col("residual") != 0) & (F.col("residual") != F.col("total"))))
-    balance = head.filter(shown).select("order_id", "title", F.lit(99).cast("bigint").alias("row_no"),
+    balance = head.filter(shown).select("order_id", "title", (F.coalesce("n_entries", F.lit(0)) + 1).cast("bigint").alias("row_no"),
                                         F.lit("Remaining Balance:").alias("label"),
                                         X.money_text(F.col("residual")).alias("amount"))
     return entries.unionByName(balance)
 
 
-def pallet_sheet(lines: DataFrame, packages: DataFrame, products: DataFrame, lots_per_row: int = 500) -> DataFrame:
+def pallet_sheet(lines: DataFrame, packages: DataFrame, products: DataFrame) -> DataFrame:
     """Pallet header (first order, dimensions, weight, finish time) over its numbered contents."""
     inside = lines.filter(F.col("package_name").isNotNull())
     keys = ["picking_id", "package_name"]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
+from re import Pattern
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plantledger.functions.text import scrub_times
+from plantledger.operators.ordering import number_rows
 from plantledger.sources.tables import stacked_counts
 
 # Key fragments whose values differ between two systems by nature.
@@ -75,19 +80,37 @@ def differing_keys(source: DataFrame, target: DataFrame, key: str, text: Column)
     return sums.filter((F.col("_n") != 0) | (F.col("_h1") != 0) | (F.col("_h2") != 0)).select(key)
 
 
-def _row_text(columns: Sequence[str]) -> Column:
-    """The row as text, columns in name order."""
-    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
-                              for c in sorted(columns)])
+def _row_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The row as text that tells all values apart: columns in name order, each value with its length, ``-`` for NULL."""
+    def field(name: str) -> Column:
+        value = F.col(name)
+        if isinstance(df.schema[name].dataType, T.TimestampType):
+            value = F.unix_micros(value)
+        value = value.cast("string")
+        return F.concat(F.lit(f"{name}="), F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.concat_ws(",", *[field(c) for c in sorted(columns)])
 
 
 def row_diff(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Every column that differs, by key; rows on one side only appear once as column ``(row)``."""
+    """Every column that differs, by key; rows on one side only appear once as column ``(row)``.
+
+    Rows of one key are compared as multisets: equal rows cancel, and what is left is paired in the order of row hashes.
+    (The sides are dealt anew after their union: Spark 4.1 takes a union of two joins on the key for dealt by it already,
+    which adaptive execution can make untrue.)
+    """
     columns = [c for c in source.columns if c != key and c in target.columns]
-    suspects = differing_keys(source, target, key, _row_text(columns))
-    a = source.join(suspects, key, "left_semi").select(key, F.struct(*_as_text(source, columns)).alias("a"))
-    b = target.join(suspects, key, "left_semi").select(key, F.struct(*_as_text(target, columns)).alias("b"))
-    both = a.join(b, key, "full_outer")
+    suspects = differing_keys(source, target, key, _row_text(source, columns))
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.join(suspects, key, "left_semi").select(key, F.md5(_row_text(df, columns)).alias("_row"), F.lit(sign).alias("_sign"),
+                                                          F.struct(*_as_text(df, columns)).alias("_cells"))
+    net = (side(source, 1).unionByName(side(target, -1)).repartition(key, "_row").groupBy(key, "_row")
+           .agg(F.sum("_sign").alias("_net"), F.first("_cells").alias("_cells")).filter(F.col("_net") != 0))
+    left = net.select(key, "_row", "_cells", (F.col("_net") > 0).alias("_in_source"), F.explode(F.array_repeat(F.lit(1), F.abs("_net").cast("int"))).alias("_copy"))
+    left = number_rows(left, [key, "_in_source"], ["_row"], "_no")
+    a = left.filter("_in_source").select(key, "_no", F.col("_cells").alias("a"))
+    b = left.filter(~F.col("_in_source")).select(key, "_no", F.col("_cells").alias("b"))
+    both = a.join(b, [key, "_no"], "full_outer")
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("a")[c].alias("source_value"),
                                F.col("b")[c].alias("target_value")) for c in columns])
     changed = F.filter(cells, lambda x: ~x["source_value"].eqNullSafe(x["target_value"]))
@@ -102,25 +125,29 @@ def row_diff(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 
 def window_parity(
-    source: DataFrame, target: DataFrame, ts: str, columns: Sequence[str], value: str,
+    source: DataFrame, target: DataFrame, ts: str, value: str, columns: Sequence[str] | None = None,
     window: str = "600 seconds", slide: str = "300 seconds",
 ) -> DataFrame:
-    """Count, sum and order-free checksum per sliding window, source against target.
+    """Count, sum and order-free checksum per sliding window, source against target; ``columns`` (all) are hashed.
 
     The checksum adds up row hashes, so it does not depend on row order and is combined map-side. The
-    source is first reduced to one row per slide step; windows are then added up from the steps.
+    source is first reduced to one row per slide step; windows are then added up from the steps. Rows without a
+    time make one row ``(no time)``.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        steps = (df.select(ts, F.col(value).cast("decimal(18,4)").alias("_v"), fingerprint(_row_text(columns))[0].alias("_h"))
-                 .groupBy(F.window(ts, slide).getField("start").alias("_step"))
-                 .agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_v"), F.sum("_h").alias("_h")))
-        return (steps.groupBy(F.window("_step", window, slide).getField("start").alias("window_start"))
-                .agg(F.sum("_n").alias(f"{name}_n"), F.sum("_v").alias(f"{name}_sum"), F.sum("_h").alias(f"{name}_hash")))
+        rows = df.select(ts, F.col(value).cast("decimal(18,4)").alias("_v"), fingerprint(_row_text(df, columns or df.columns))[0].alias("_h"))
+        totals = (F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_v"), F.sum("_h").alias("_h"))
+        steps = rows.groupBy(F.window(ts, slide).getField("start").alias("_step")).agg(*totals)
+        timed = steps.groupBy(F.window("_step", window, slide).getField("start").alias("_start")).agg(
+            F.sum("_n").alias("_n"), F.sum("_v").alias("_v"), F.sum("_h").alias("_h"))
+        untimed = rows.filter(F.col(ts).isNull()).groupBy(F.col(ts).alias("_start")).agg(*totals)
+        return timed.unionByName(untimed).select(
+            F.coalesce(F.date_format("_start", "yyyy-MM-dd HH:mm:ss"), F.lit("(no time)")).alias("window_start"),
+            *[F.col(f"_{c}").alias(f"{name}_{full}") for c, full in (("n", "n"), ("v", "sum"), ("h", "hash"))])
     both = side(source, "source").join(side(target, "target"), "window_start", "full_outer")
     n, m = F.coalesce("source_n", F.lit(0)), F.coalesce("target_n", F.lit(0))
     return both.select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-        n.alias("source_n"), m.alias("target_n"),
+        "window_start", n.alias("source_n"), m.alias("target_n"),
         F.coalesce(F.col("source_sum").cast("double"), F.lit(0.0)).alias("source_sum"),
         F.coalesce(F.col("target_sum").cast("double"), F.lit(0.0)).alias("target_sum"),
         ((n == m) & F.coalesce(F.col("source_hash") == F.col("target_hash"), F.lit(False))).alias("match"))
@@ -139,63 +166,66 @@ def drift_status(tables: DataFrame) -> DataFrame:
     return rows.unionByName(total)
 
 
-def json_leaves(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4, suffix_only: bool = False) -> Column:
-    """Array of (path, value) for every leaf of a JSON text.
-
-    Volatile keys keep their path and lose their value; a key is volatile if it contains one of the fragments
-    anywhere, or ends with one under ``suffix_only``. Elements of object lists are named by their first
-    identifying field instead of their position, so list order does not count. Containers deeper than
-    ``depth`` come out as text.
+LEAF = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "type", "value")]))
+TYPES = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+
+
+def _leaves(text: str | None, volatile: Pattern) -> list[tuple[str, str, str]]:
+    """Every leaf of a document at any depth, without recursion."""
+    if text is None:
+        return []
+    try:
+        todo, found = [("$", json.loads(text))], []
+    except ValueError:
+        return [("$", "text", text)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict) and node:
+            todo += [(f"{path}.{k}", v) for k, v in node.items() if not volatile.search(k.lower())]
+            found += [(f"{path}.{k}", "volatile", "") for k in node if volatile.search(k.lower())]
+        elif isinstance(node, list) and node:
+            named = next((k for k in ELEMENT_KEYS if all(isinstance(e, dict) and isinstance(e.get(k), (str, int, float)) for e in node)), None)
+            todo += [(f"{path}[{named}={e[named]}]" if named else f"{path}[{i}]", e) for i, e in enumerate(node)]
+        else:
+            whole = isinstance(node, float) and node.is_integer()
+            found.append((path, TYPES[type(node)], node if isinstance(node, str) else json.dumps(int(node) if whole else node)))
+    return found
+
+
+def json_leaves(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, suffix_only: bool = False) -> Column:
+    """Array of (path, type, value) for every leaf of a JSON text, at any depth.
+
+    Volatile keys keep their path and lose what they hold; a key is volatile if it contains one of the fragments
+    anywhere, or ends with one under ``suffix_only``. Elements of a list of objects are named by the first
+    identifying field that all of them have instead of their position, so list order does not count. Empty objects and
+    lists are leaves. Text that is no JSON is one leaf of type ``text`` without its times.
     """
-    erased_names = "(" + "|".join(re.escape(fragment) for fragment in volatile) + ")" + ("$" if suffix_only else "")
-
-    def child(path: Column, node: Column) -> Column:
-        return F.struct(path.alias("path"), node.alias("node"))
-
-    def field(path: Column, entry: Column) -> Column:
-        node = F.when(F.lower(entry["key"]).rlike(erased_names), F.parse_json(F.lit('"<VOLATILE>"'))).otherwise(entry["value"])
-        return child(F.concat(path, F.lit("."), entry["key"]), node)
-
-    def element(path: Column, node: Column, position: Column) -> Column:
-        named = F.coalesce(*[F.concat(F.lit(f"{k}="), F.try_variant_get(node, f"$.{k}", "string"))
-                             for k in ELEMENT_KEYS], position.cast("string"))
-        return child(F.concat(path, F.lit("["), named, F.lit("]")), node)
-
-    def children(n: Column) -> Column:
-        fields = F.map_entries(F.try_variant_get(n["node"], "$", "map<string,variant>"))
-        elements = F.try_variant_get(n["node"], "$", "array<variant>")
-        return F.coalesce(F.transform(fields, lambda e: field(n["path"], e)),
-                          F.transform(elements, lambda e, i: element(n["path"], e, i)), F.array(n))
-
-    nodes = F.array(child(F.lit("$"), F.try_parse_json(text)))
-    for _ in range(depth):
-        nodes = F.flatten(F.transform(nodes, children))
-    return F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), F.coalesce(
-        F.try_variant_get(n["node"], "$", "string"), F.to_json(n["node"])).alias("value")))
+    erased = re.compile("(" + "|".join(re.escape(fragment) for fragment in volatile) + ")" + ("$" if suffix_only else ""))
+    leaves = F.udf(lambda document: _leaves(document, erased), LEAF, useArrow=True)(text)
+    return F.transform(leaves, lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), F.when(
+        x["type"] == "text", scrub_times(x["value"])).otherwise(x["value"]).alias("value")))
 
 
 def json_diff(source: DataFrame, target: DataFrame, key: str, column: str,
-              volatile: Sequence[str] = VOLATILE_KEYS, depth: int = 4, suffix_only: bool = False) -> DataFrame:
-    """Paths added, removed or changed between two sets of JSON documents.
+              volatile: Sequence[str] = VOLATILE_KEYS, suffix_only: bool = False) -> DataFrame:
+    """Paths added, removed or changed between two sets of JSON documents, with the types and values of both sides.
 
     Documents are compared by the fingerprint of their sorted leaves; those that differ are taken apart and
     their leaves compared as multisets: source counts one, target minus one, what does not cancel differs.
     """
-    leaves = json_leaves(F.col(column), volatile, depth, suffix_only)
-    suspects = differing_keys(source, target, key, F.to_json(F.array_sort(leaves)))
+    leaves = json_leaves(F.col(column), volatile, suffix_only)
+    suspects = differing_keys(source.select(key, F.to_json(F.array_sort(leaves)).alias("_text")),
+                              target.select(key, F.to_json(F.array_sort(leaves)).alias("_text")), key, F.col("_text"))
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         return df.join(suspects, key, "left_semi").select(key, F.inline(leaves)).withColumn("_sign", F.lit(sign))
-    net = (side(source, 1).unionByName(side(target, -1)).groupBy(key, "path", "value").agg(F.sum("_sign").alias("_net"))
+    net = (side(source, 1).unionByName(side(target, -1)).repartition(key, "path").groupBy(key, "path", "type", "value").agg(F.sum("_sign").alias("_net"))
            .filter(F.col("_net") != 0))
-    sides = net.groupBy(key, "path").agg(
-        F.bool_or(F.col("_net") > 0).alias("_in_a"), F.bool_or(F.col("_net") < 0).alias("_in_b"),
-        F.min(F.when(F.col("_net") > 0, F.col("value"))).alias("source_value"),
-        F.min(F.when(F.col("_net") < 0, F.col("value"))).alias("target_value"))
-    return sides.select(key, "path", F.when(F.col("_in_a") & F.col("_in_b"), "changed").when(F.col("_in_a"), "removed")
-                        .otherwise("added").alias("status"),
-                        F.coalesce("source_value", F.lit("")).alias("source_value"),
-                        F.coalesce("target_value", F.lit("")).alias("target_value"))
+    pair = F.struct("type", "value")
+    sides = net.groupBy(key, "path").agg(F.min(F.when(F.col("_net") > 0, pair)).alias("_a"), F.min(F.when(F.col("_net") < 0, pair)).alias("_b"))
+    shown = [F.coalesce(f"_{s}.{c}", F.lit("")).alias(f"{name}_{c}") for c in ("type", "value") for s, name in (("a", "source"), ("b", "target"))]
+    return sides.select(key, "path", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "changed").when(F.col("_a").isNotNull(), "removed")
+                        .otherwise("added").alias("status"), *shown)
 
 
 def link_coverage(df: DataFrame, hops: Sequence[tuple[str, DataFrame, str, str, str | None]]) -> DataFrame:

@@ -61,7 +61,7 @@ def type_mismatches(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     bad = ~F.array_contains(F.element_at(accepted, F.col("column_name")), F.col("class"))
     return (classed.groupBy("column_name").agg(
         F.array_join(F.array_sort(F.collect_set("class")), ", ").alias("actual_types"),
-        F.min(F.when(bad, F.substring("value", 1, 60))).alias("sample"),
+        F.min(F.when(bad, F.col("value"))).alias("sample"),
         F.count_if(bad).alias("n_bad"))
         .filter(F.col("n_bad") > 0)
         .select("column_name", F.element_at(kinds, F.col("column_name")).alias("declared"),

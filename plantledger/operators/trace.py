@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantledger.operators.ordering import text_list
+from plantledger.operators.ordering import on_first_page, text_list
 
 NO_LOT = "(no lot)"
 PLACEHOLDER_PREFIX = "FIX_DATA_"
@@ -33,8 +33,8 @@ def backward(consumption: DataFrame, lots_per_row: int = 500) -> DataFrame:
     totals = per_lot.groupBy(*keys).agg(F.sum("quantity").alias("total"), F.count(F.lit(1)).alias("n_lots"),
                                         F.bool_or(real).alias("traced"))
     named = per_lot.select(*keys, F.coalesce("lot_name", F.lit(NO_LOT)).alias("lot"))
-    lots = text_list(named, keys, "lot", "lots", lots_per_row, sized_by=consumption)
-    return totals.join(lots, keys)
+    lots = text_list(named, keys, "lot", "lots", lots_per_row)
+    return totals.join(lots, keys).withColumns(on_first_page("total", "n_lots"))
 
 
 def forward(consumption: DataFrame, productions: DataFrame, deliveries: DataFrame, partners: DataFrame) -> DataFrame:
@@ -42,12 +42,14 @@ def forward(consumption: DataFrame, productions: DataFrame, deliveries: DataFram
 
     ``consumption``: raw_lot, order_id, quantity. ``productions``: order_id, finished_lot.
     ``deliveries``: finished_lot, partner_id, state. ``partners``: partner_id, commercial_id.
-    The chain is walked on (raw lot, order) sums, one row per pair.
+    An order counts once per raw lot and customer, however many finished lots or delivery lines lead there.
     """
     used = consumption.groupBy("raw_lot", "order_id").agg(F.sum("quantity").alias("quantity"))
-    chain = (used.join(productions, "order_id")
-             .join(deliveries.filter(F.col("state") == "done"), "finished_lot")
-             .join(partners.select("partner_id", "commercial_id"), "partner_id"))
-    return chain.groupBy("raw_lot", "commercial_id").agg(
-        F.count_distinct("order_id").alias("n_orders"), F.count_distinct("finished_lot").alias("n_finished_lots"),
-        F.sum("quantity").alias("quantity"))
+    reached = (productions.join(deliveries.filter(F.col("state") == "done").select("finished_lot", "partner_id").distinct(), "finished_lot")
+               .join(partners.select("partner_id", "commercial_id"), "partner_id")
+               .select("order_id", "finished_lot", "commercial_id").distinct())
+    lots = used.join(reached, "order_id")
+    finished = lots.groupBy("raw_lot", "commercial_id").agg(F.count_distinct("finished_lot").alias("n_finished_lots"))
+    orders = used.join(reached.select("order_id", "commercial_id").distinct(), "order_id").groupBy("raw_lot", "commercial_id").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("quantity").alias("quantity"))
+    return orders.join(finished, ["raw_lot", "commercial_id"]).select("raw_lot", "commercial_id", "n_orders", "n_finished_lots", "quantity")

@@ -27,7 +27,7 @@ def q_unit_spread(spark, folder):
     return pallets.spread(units, "order_no", UNIT_ORDER, 7).drop("supplier_id", "ship_date", "price")
 
 
-@job("""WITH d AS (SELECT DISTINCT picking_id, order_no, order_id % 100 AS n FROM move_line WHERE uom = 'lb'),
+@job("""WITH d AS (SELECT DISTINCT picking_id, order_no, order_id % 100 AS n FROM move_line),
 r AS (SELECT *, n - row_number() OVER (PARTITION BY picking_id, order_no ORDER BY n) AS run FROM d),
 runs AS (SELECT picking_id, order_no, min(n) AS low, max(n) AS high, count(*) AS c FROM r GROUP BY picking_id, order_no, run)
 SELECT picking_id, order_no, CAST(1 AS BIGINT) AS page,
@@ -35,7 +35,7 @@ SELECT picking_id, order_no, CAST(1 AS BIGINT) AS page,
   CAST(sum(c) AS BIGINT) AS n_units, count(*) AS n_runs
 FROM runs GROUP BY picking_id, order_no""", "move_line")
 def q_unit_ranges(spark, folder):
-    units = S.move_line(spark, folder).filter(F.col("uom") == "lb").select(
+    units = S.move_line(spark, folder).select(
         "picking_id", "order_no", (F.col("order_id") % 100).alias("n"))
     return pallets.unit_ranges(units, ["picking_id", "order_no"], "n")
 
@@ -48,36 +48,54 @@ def check_sql(stage, document, source, checks):
 
 
 PALLETS_SQL = """e AS (
-  SELECT picking_id, package_name, min(order_no) AS order_no,
-    sum(quantity) + CASE WHEN picking_id % 31 = 0 AND package_name LIKE '%-PAL-5' THEN 1 ELSE 0 END AS expected_qty,
-    sum(quantity) AS fg_qty, count(lot_name) AS with_lot
-  FROM move_line WHERE package_name IS NOT NULL GROUP BY picking_id, package_name),
+  SELECT picking_id, package_name, min(order_no) AS order_0, min(product_id) AS product_0, min(lot_name) AS lot_0,
+    sum(quantity) AS all_qty FROM move_line WHERE package_name IS NOT NULL GROUP BY picking_id, package_name),
+w AS (
+  SELECT picking_id, package_name, CASE WHEN picking_id % 37 = 0 THEN 'WH/MO/none' ELSE order_0 END AS order_no,
+    CASE WHEN picking_id % 41 = 0 AND package_name LIKE '%-PAL-1' THEN -1 ELSE product_0 END AS product_id,
+    CASE WHEN picking_id % 43 = 0 AND package_name LIKE '%-PAL-2' THEN 'no such lot' ELSE lot_0 END AS lot_name,
+    CASE WHEN picking_id % 31 = 0 AND package_name LIKE '%-PAL-5' THEN 1 ELSE 0 END AS more FROM e),
+f AS (
+  SELECT w.picking_id, w.package_name, coalesce(sum(m.quantity) FILTER (WHERE m.product_id = w.product_id), 0) AS fg_qty,
+    bool_or(m.product_id = w.product_id) AS has_product, bool_or(m.product_id = w.product_id AND m.lot_name = w.lot_name) AS has_lot,
+    bool_or(m.order_no = w.order_no) AS has_order
+  FROM w JOIN move_line m USING (picking_id, package_name) GROUP BY ALL),
+q AS (
+  SELECT picking_id, package_name, sum(m.quantity) AS q FROM e JOIN move_line m USING (picking_id, package_name)
+  WHERE m.product_id = e.product_0 GROUP BY ALL),
 j AS (
-  SELECT e.*, p.package_name IS NOT NULL AS present, CASE WHEN p.picking_id % 29 = 0 AND p.package_name LIKE '%-PAL-3' THEN 'Box' ELSE 'Pallet' END AS package_type,
+  SELECT w.*, f.* EXCLUDE (picking_id, package_name), q.q + w.more AS expected_qty, p.package_name IS NOT NULL AS present,
+    CASE WHEN p.picking_id % 29 = 0 AND p.package_name LIKE '%-PAL-3' THEN 'Box' ELSE 'Pallet' END AS package_type,
     CASE WHEN p.picking_id % 19 = 0 AND p.package_name LIKE '%-PAL-1' THEN 0 ELSE gross_weight_lb END AS weight,
     CASE WHEN p.picking_id % 23 = 0 AND p.package_name LIKE '%-PAL-2' THEN NULL ELSE finalized_at END AS finalized_at
-  FROM e LEFT JOIN (SELECT * FROM package WHERE NOT (picking_id % 17 = 0 AND package_name LIKE '%-PAL-4')) p USING (picking_id, package_name))"""
+  FROM w JOIN f USING (picking_id, package_name) JOIN q USING (picking_id, package_name)
+  LEFT JOIN (SELECT * FROM package WHERE NOT (picking_id % 17 = 0 AND package_name LIKE '%-PAL-4')) p USING (picking_id, package_name))"""
 PALLET_CHECKS_SQL = check_sql("pallets", "picking_id || '/' || package_name", "j", [
     ("present", "present", "blocker"), ("package type", "present AND package_type = 'Pallet'", "minor"),
     ("weight populated", "present AND weight > 0", "major"), ("finalised", "finalized_at IS NOT NULL", "major"),
-    ("quantity", "abs(fg_qty - expected_qty) < 0.001", "blocker"), ("has finished lot", "with_lot > 0", "blocker"),
-    ("order link", "TRUE", "major")])
+    ("has product", "has_product", "blocker"), ("quantity", "abs(fg_qty - expected_qty) < 0.001", "blocker"),
+    ("has finished lot", "has_lot", "blocker"), ("order link", "has_order", "major")])
 
 
 @job(f"WITH {PALLETS_SQL}\n{PALLET_CHECKS_SQL}", "move_line", "package")
 def q_pallet_verify(spark, folder):
     lines = S.move_line(spark, folder)
     picking, name = F.col("picking_id"), F.col("package_name")
-    expected = lines.filter(name.isNotNull()).groupBy("picking_id", "package_name").agg(
-        F.min("order_no").alias("order_no"), F.sum("quantity").alias("_qty")).select(
-        "picking_id", "package_name", "order_no",
+    contents = lines.filter(name.isNotNull()).select("picking_id", "package_name", "product_id", "quantity", "lot_name", "order_no")
+    keys = ["picking_id", "package_name"]
+    first = contents.groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("order_no", "product_id", "lot_name")])
+    measured = (contents.join(first.select(*keys, F.col("product_id").alias("_first")), keys).filter(F.col("product_id") == F.col("_first"))
+                .groupBy(*keys).agg(F.sum("quantity").alias("_qty")))
+    expected = first.join(measured, keys).select(
+        *keys, F.when(picking % 37 == 0, "WH/MO/none").otherwise(F.col("order_no")).alias("order_no"),
+        F.when((picking % 41 == 0) & name.endswith("-PAL-1"), -1).otherwise(F.col("product_id")).alias("product_id"),
+        F.when((picking % 43 == 0) & name.endswith("-PAL-2"), "no such lot").otherwise(F.col("lot_name")).alias("lot_name"),
         F.when((picking % 31 == 0) & name.endswith("-PAL-5"), F.col("_qty") + 1).otherwise(F.col("_qty")).alias("expected_qty"))
     packages = S.package(lines).filter(~((picking % 17 == 0) & name.endswith("-PAL-4"))).select(
         "picking_id", "package_name",
         F.when((picking % 29 == 0) & name.endswith("-PAL-3"), "Box").otherwise("Pallet").alias("package_type"),
         F.when((picking % 19 == 0) & name.endswith("-PAL-1"), 0.0).otherwise(F.col("gross_weight_lb")).alias("gross_weight_lb"),
         F.when(~((picking % 23 == 0) & name.endswith("-PAL-2")), F.col("finalized_at")).alias("finalized_at"))
-    contents = lines.filter(name.isNotNull()).select("picking_id", "package_name", "quantity", "lot_name", "order_no")
     return pallets.verify(expected, packages, contents)
 
 
@@ -125,7 +143,7 @@ def q_weight_check(spark, folder):
     return pallets.weight_check(known, scans)
 
 
-@job("""WITH shipped AS (SELECT user_id, min(ts) AS shipped_at FROM events WHERE event_type = 'purchase' AND event_id > 5000 GROUP BY user_id),
+@job("""WITH shipped AS (SELECT user_id, min(ts) AS shipped_at FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0 GROUP BY user_id),
 j AS (
   SELECT e.user_id AS pallet_id, event_id, ts, value - 5 AS weight,
     CASE WHEN ts >= shipped_at THEN 'blocked' WHEN value - 5 <= 0 THEN 'rejected' ELSE 'accepted' END AS state
@@ -140,7 +158,7 @@ def q_finalize_history(spark, folder):
     scans = events.filter(F.col("event_type") != "purchase").select(
         F.col("user_id").alias("pallet_id"), F.col("event_id").alias("scan_id"), F.col("ts").alias("scanned_at"),
         (F.col("value") - 5).alias("weight"))
-    shipments = events.filter((F.col("event_type") == "purchase") & (F.col("event_id") > 5000)).select(
+    shipments = events.filter((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0)).select(
         F.col("user_id").alias("pallet_id"), F.col("ts").alias("shipped_at"))
     return pallets.finalize_history(scans, shipments)
 

@@ -188,7 +188,7 @@ SELECT order_id, title, CAST(entry_no AS BIGINT) AS row_no,
   format('{:,.2f}', amount::DOUBLE) AS amount
 FROM payment JOIN bal USING (order_id) WHERE NOT is_draft
 UNION ALL
-SELECT order_id, title, 99, 'Remaining Balance:', format('{:,.2f}', residual::DOUBLE) FROM bal
+SELECT order_id, title, coalesce(n, 0) + 1, 'Remaining Balance:', format('{:,.2f}', residual::DOUBLE) FROM bal
 WHERE NOT is_draft AND (n IS NOT NULL OR (residual <> 0 AND residual <> total))""", "sale_order", "payment")
 def q_invoice_balance(spark, folder):
     invoices = S.sale_order(spark, folder).select(

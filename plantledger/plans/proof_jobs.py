@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plantledger.functions import text as X
+from plantledger.functions.values import date_columns
 from plantledger.operators import migrate, parity, quality, textjobs
 from plantledger.plans.registry import job
 from plantledger.session import fresh_path
@@ -71,7 +72,7 @@ ORPHANS_SQL = """orphans AS (
   FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey))"""
 MISMATCH_SQL = f"""mismatches AS (
   SELECT column_name, declared, string_agg(DISTINCT class, ', ' ORDER BY class) AS actual_types,
-    min(substr(v, 1, 60)) FILTER (WHERE NOT list_contains(accepted, class)) AS sample,
+    min(v) FILTER (WHERE NOT list_contains(accepted, class)) AS sample,
     count(*) FILTER (WHERE NOT list_contains(accepted, class)) AS n_bad
   FROM (SELECT *, {STORAGE} AS class FROM (
     SELECT 'event_id' AS column_name, 'BIGINT' AS declared, ['integer'] AS accepted, event_id AS v FROM mixed
@@ -106,13 +107,10 @@ def q_fk_orphans(spark, folder):
         ("orders", orders, "o_clerk", "clerk", None, "clerk_id")])
 
 
-@job("""SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice,
-  CASE WHEN p_partkey IS NOT NULL THEN l_partkey END AS l_partkey, p_partkey IS NULL AS was_orphan
+@job("""SELECT lineitem.* REPLACE (CASE WHEN p_partkey IS NOT NULL THEN l_partkey END AS l_partkey), p_partkey IS NULL AS was_orphan
 FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) ON p_partkey = l_partkey""")
 def q_null_orphans(spark, folder):
-    line = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_partkey")
-    return quality.null_orphans(line, _thin_part(spark, folder), "l_partkey", "p_partkey")
+    return quality.null_orphans(table(spark, folder, "lineitem"), _thin_part(spark, folder), "l_partkey", "p_partkey")
 
 
 @job(f"WITH {MIXED_SQL}, {MISMATCH_SQL} SELECT * FROM mismatches")
@@ -122,7 +120,8 @@ def q_type_mismatch(spark, folder):
 
 @job(f"WITH {MIXED_SQL}, {DATEMIX_SQL} SELECT * FROM datemix")
 def q_datetime_mix(spark, folder):
-    return quality.datetime_mix(mixed_text(spark, folder), ["created_at", "day"])
+    mixed = mixed_text(spark, folder)
+    return quality.datetime_mix(mixed, date_columns(dict.fromkeys(mixed.columns, "TEXT")))
 
 
 @job("""SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
@@ -140,8 +139,8 @@ def _halves(spark, folder):
 
 
 HALVES_SQL = """halves AS (
-  SELECT 'first' AS source, 0 AS rank, c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 2
-  UNION ALL SELECT 'second', 1, c_custkey, c_name, c_acctbal + 1 FROM customer WHERE c_custkey % 3 <> 0)"""
+  SELECT 'first' AS source, 0 AS rank, * FROM customer WHERE c_custkey % 3 <> 2
+  UNION ALL SELECT 'second', 1, * REPLACE (c_acctbal + 1 AS c_acctbal) FROM customer WHERE c_custkey % 3 <> 0)"""
 
 
 @job(f"""WITH {HALVES_SQL} SELECT c_custkey, count(DISTINCT source) AS n_sources,
@@ -219,12 +218,11 @@ def q_coerce_load(spark, folder):
     return loaded.unionByName(refused)
 
 
-@job(f"""WITH {HALVES_SQL} SELECT c_custkey, arg_min(c_name, rank) AS c_name, arg_min(c_acctbal, rank) AS c_acctbal,
-  arg_min(source, rank) AS source FROM halves GROUP BY c_custkey""")
+@job(f"""WITH {HALVES_SQL} SELECT c_custkey, arg_min(c_name, rank) AS c_name, arg_min(c_nationkey, rank) AS c_nationkey,
+  arg_min(c_acctbal, rank) AS c_acctbal, arg_min(c_mktsegment, rank) AS c_mktsegment, arg_min(source, rank) AS source FROM halves GROUP BY c_custkey""")
 def q_first_wins_merge(spark, folder):
     first, second = _halves(spark, folder)
-    keep = ("c_custkey", "c_name", "c_acctbal")
-    return migrate.first_wins([("first", first.select(*keep)), ("second", second.select(*keep))], ["c_custkey"])
+    return migrate.first_wins([("first", first), ("second", second)], ["c_custkey"])
 
 
 KEYED = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
@@ -324,19 +322,27 @@ def _altered_events(spark, folder):
             .withColumn("value", F.when(key % 103 == 0, F.col("value") + 1).otherwise(F.col("value"))))
 
 
-HASHED = ("event_id", "event_type", "user_id", "value")
-WINDOWS_SQL = """altered_events AS (
-  SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 103 = 0 THEN value + 1 ELSE value END AS value
+def _field(name, value):
+    return f"'{name}=' || coalesce(length({value}) || ':' || {value}, '-')"
+
+
+ROW_SQL = " || ',' || ".join(_field(name, value) for name, value in [
+    ("event_id", "CAST(event_id AS VARCHAR)"), ("event_type", "event_type"), ("props", "props"), ("ts", "CAST(epoch_us(ts) AS VARCHAR)"),
+    ("user_id", "CAST(user_id AS VARCHAR)"), ("value", "CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)")])
+WINDOWS_SQL = f"""altered_events AS (
+  SELECT event_id, CASE WHEN event_id % 211 = 0 THEN NULL WHEN event_id % 107 = 0 THEN ts + INTERVAL 1 MICROSECOND ELSE ts END AS ts, user_id, event_type,
+    CASE WHEN event_id % 103 = 0 THEN value + 1 ELSE value END AS value,
+    CASE WHEN event_id % 109 = 0 THEN NULL WHEN event_id % 113 = 0 THEN 'NULL' ELSE props END AS props
   FROM events WHERE event_id % 101 <> 0),
-both_sides AS (SELECT 'a' AS side, event_id, ts, user_id, event_type, value FROM events
-  UNION ALL SELECT 'b', * FROM altered_events),
+both_sides AS (SELECT 'a' AS side, event_id, CASE WHEN event_id % 211 = 0 THEN NULL ELSE ts END AS ts, user_id, event_type, value,
+    CASE WHEN event_id % 113 = 0 THEN NULL ELSE props END AS props FROM events
+  UNION ALL SELECT 'b', event_id, ts, user_id, event_type, value, props FROM altered_events),
 spread AS (
   SELECT side, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 - 300 * k AS start_s, CAST(value AS DECIMAL(18,4)) AS v,
-    CAST('0x' || substr(md5(concat_ws('|', 'event_id=' || event_id, 'event_type=' || event_type, 'user_id=' || user_id,
-      'value=' || CAST(value AS DECIMAL(18,2)))), 1, 15) AS HUGEINT) AS h
-  FROM both_sides, (VALUES (0), (1)) AS steps(k)),
+    CAST('0x' || substr(md5({ROW_SQL}), 1, 15) AS HUGEINT) AS h
+  FROM both_sides, (VALUES (0), (1)) AS steps(k) WHERE ts IS NOT NULL OR k = 0),
 windows AS (
-  SELECT strftime(make_timestamp(start_s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+  SELECT coalesce(strftime(make_timestamp(start_s * 1000000), '%Y-%m-%d %H:%M:%S'), '(no time)') AS window_start,
     count(*) FILTER (WHERE side = 'a') AS source_n, count(*) FILTER (WHERE side = 'b') AS target_n,
     coalesce(sum(v) FILTER (WHERE side = 'a')::DOUBLE, 0) AS source_sum,
     coalesce(sum(v) FILTER (WHERE side = 'b')::DOUBLE, 0) AS target_sum,
@@ -347,10 +353,16 @@ windows AS (
 
 @job(f"WITH {WINDOWS_SQL} SELECT * FROM windows")
 def q_window_parity(spark, folder):
+    """Differences in the value, in the time within its window, in props, and NULL against the text NULL; some rows have no time."""
+    key = F.col("event_id")
+
     def typed(df):
-        return df.withColumn("value", F.col("value").cast("decimal(18,2)"))
-    return parity.window_parity(typed(table(spark, folder, "events")), typed(_altered_events(spark, folder)), "ts",
-                                HASHED, "value")
+        return df.withColumns({"value": F.col("value").cast("decimal(18,2)"), "ts": F.when(key % 211 != 0, F.col("ts"))})
+    source = typed(table(spark, folder, "events")).withColumn("props", F.when(key % 113 != 0, F.col("props")))
+    target = typed(_altered_events(spark, folder)).withColumns({
+        "ts": F.when(key % 107 == 0, F.col("ts") + F.expr("INTERVAL '0.000001' SECOND")).otherwise(F.col("ts")),
+        "props": F.when(key % 113 == 0, F.when(key % 109 != 0, "NULL")).otherwise(F.when(key % 109 != 0, F.col("props")))})
+    return parity.window_parity(source, target, "ts", "value")
 
 
 @job(f"""WITH {WINDOWS_SQL},
@@ -368,6 +380,23 @@ def q_drift_status(spark, folder):
     return parity.drift_status(windows.unionByName(counts))
 
 
+def _deep(key, altered):
+    """A part five levels down: a number and a truth value that may turn into text, an empty list that may go, and a volatile key."""
+    number, quoted = key.cast("string"), F.concat(F.lit('"'), key.cast("string"), F.lit('"'))
+    n = F.when(key % 127 == 0, quoted).otherwise(number) if altered else number
+    on = F.when(key % 131 == 0, '"true"').otherwise("true") if altered else F.lit("true")
+    none = F.when(key % 137 == 0, "").otherwise('"none":[],') if altered else F.lit('"none":[],')
+    return F.concat(F.lit('"deep":{"a":{"b":{'), none, F.lit('"c":{"d":{"n":'), n, F.lit(',"on":'), on,
+                    F.lit(f',"updated_at":"{"now" if altered else "then"}"' + "}}}}}"))
+
+
+def _with_deep(key, altered):
+    """The document with its deep part; a few are cut off and no JSON."""
+    cut = F.concat(F.lit('{"cut": '), key.cast("string"), F.lit(", " if altered else ""))
+    whole = F.concat(F.substring("doc", F.lit(1), F.length("doc") - 1), F.lit(","), "deep", F.lit("}"))
+    return F.when(key % 331 == 0, cut).otherwise(whole)
+
+
 def _documents(spark, folder, altered):
     """Nested status documents made from events; the altered side has another list order, fresh time
     stamps and three kinds of real differences."""
@@ -379,24 +408,32 @@ def _documents(spark, folder, altered):
     if not altered:
         return events.select("event_id", F.to_json(F.struct(
             n.alias("k"), F.col("event_type").alias("type"), F.date_format("ts", "HH:mm:ss").alias("seen_at"),
-            F.struct(F.col("user_id").alias("user")).alias("who"), F.array(*rolls).alias("rolls"))).alias("doc"))
+            F.struct(F.col("user_id").alias("user")).alias("who"), F.array(*rolls).alias("rolls"))).alias("doc"),
+            _deep(key, False).alias("deep")).select("event_id", _with_deep(key, False).alias("doc"))
     moved = F.struct(F.lit("R2").alias("roll_id"), F.when(key % 113 == 0, key * 2 + 1).otherwise(key * 2).alias("w"))
     return events.select("event_id", F.to_json(F.struct(
         F.when(key % 103 == 0, n + 1).otherwise(n).alias("k"),
         F.when(key % 107 != 0, F.col("event_type")).alias("type"), F.lit("now").alias("seen_at"),
         F.when(key % 109 == 0, "x").alias("extra"),
-        F.struct(F.col("user_id").alias("user")).alias("who"), F.array(rolls[2], moved, rolls[0]).alias("rolls"))).alias("doc"))
+        F.struct(F.col("user_id").alias("user")).alias("who"), F.array(rolls[2], moved, rolls[0]).alias("rolls"))).alias("doc"),
+        _deep(key, True).alias("deep")).select("event_id", _with_deep(key, True).alias("doc"))
 
 
 @job("""WITH n AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT event_id, '$.k' AS path, 'changed' AS status, CAST(k AS VARCHAR) AS source_value, CAST(k + 1 AS VARCHAR) AS target_value
-FROM n WHERE event_id % 103 = 0
-UNION ALL SELECT event_id, '$.type', 'removed', event_type, '' FROM n WHERE event_id % 107 = 0
-UNION ALL SELECT event_id, '$.extra', 'added', '', 'x' FROM n WHERE event_id % 109 = 0
-UNION ALL SELECT event_id, '$.rolls[roll_id=R2].w', 'changed', CAST(event_id * 2 AS VARCHAR), CAST(event_id * 2 + 1 AS VARCHAR)
-FROM n WHERE event_id % 113 = 0""")
+SELECT event_id, '$.k' AS path, 'changed' AS status, 'number' AS source_type, 'number' AS target_type,
+  CAST(k AS VARCHAR) AS source_value, CAST(k + 1 AS VARCHAR) AS target_value
+FROM n WHERE event_id % 103 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, '$.type', 'removed', 'string', '', event_type, '' FROM n WHERE event_id % 107 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, '$.extra', 'added', '', 'string', '', 'x' FROM n WHERE event_id % 109 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, '$.rolls[roll_id=R2].w', 'changed', 'number', 'number', CAST(event_id * 2 AS VARCHAR), CAST(event_id * 2 + 1 AS VARCHAR)
+FROM n WHERE event_id % 113 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, '$.deep.a.b.c.d.n', 'changed', 'number', 'string', CAST(event_id AS VARCHAR), CAST(event_id AS VARCHAR)
+FROM n WHERE event_id % 127 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, '$.deep.a.b.c.d.on', 'changed', 'boolean', 'string', 'true', 'true' FROM n WHERE event_id % 131 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, '$.deep.a.b.none', 'removed', 'array', '', '[]', '' FROM n WHERE event_id % 137 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, '$', 'changed', 'text', 'text', '{"cut": ' || event_id, '{"cut": ' || event_id || ',' FROM n WHERE event_id % 331 = 0""")
 def q_json_diff(spark, folder):
-    return parity.json_diff(_documents(spark, folder, False), _documents(spark, folder, True), "event_id", "doc", depth=3)
+    return parity.json_diff(_documents(spark, folder, False), _documents(spark, folder, True), "event_id", "doc")
 
 
 def _altered_pages(spark, folder):
@@ -408,18 +445,16 @@ def _altered_pages(spark, folder):
         .when(key % 5 == 1, F.concat(html, F.lit(" \r\n"))).otherwise(html))
 
 
-# the entity decoder also reads &amp without its semicolon (cut-off text has it)
-NORMAL = """regexp_replace(regexp_replace(replace(replace(replace(
-  trim(replace(html, chr(13) || chr(10), chr(10)), ' ' || chr(10)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
-  '&amp;?', '&', 'g'), '[ \\t]+\\n', chr(10), 'g')"""
+LOOSE = "trim(regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), ' ' || chr(9) || chr(10))"
 
 
 @job(f"""WITH altered AS (
   SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(html, '<h1>', '<h1 id=''top''>')
     WHEN page_id % 5 = 1 THEN html || ' ' || chr(13) || chr(10) ELSE html END AS html FROM pages WHERE page_id % 101 <> 0),
-a AS (SELECT page_id, {NORMAL} AS t FROM pages), b AS (SELECT page_id, {NORMAL} AS t FROM altered),
+a AS (SELECT page_id, html, {LOOSE} AS t FROM pages), b AS (SELECT page_id, html, {LOOSE} AS t FROM altered),
 judged AS (
-  SELECT a.page_id, a.t AS at_text, b.t AS bt_text, CASE WHEN b.t IS NULL THEN 'missing in target' WHEN a.t = b.t THEN 'OK' ELSE 'DRIFT' END AS status
+  SELECT a.page_id, a.t AS at_text, b.t AS bt_text, length(a.html) AS source_size, coalesce(length(b.html), 0) AS target_size,
+    CASE WHEN b.t IS NULL THEN 'missing in target' WHEN a.t = b.t THEN 'OK' ELSE 'DRIFT' END AS status
   FROM a LEFT JOIN b USING (page_id)),
 lines AS (
   SELECT page_id, 1 AS sign, unnest(string_split(regexp_replace(at_text, '>\\s*<', '>' || chr(10) || '<', 'g'), chr(10))) AS line FROM judged WHERE status = 'DRIFT'
@@ -427,8 +462,7 @@ lines AS (
   SELECT page_id, -1, unnest(string_split(regexp_replace(bt_text, '>\\s*<', '>' || chr(10) || '<', 'g'), chr(10))) FROM judged WHERE status = 'DRIFT'),
 changed AS (
   SELECT page_id, CAST(sum(abs(net)) AS BIGINT) AS n FROM (SELECT page_id, line, sum(sign) AS net FROM lines GROUP BY ALL) GROUP BY page_id)
-SELECT page_id, status, length(at_text) AS source_size, coalesce(length(bt_text), 0) AS target_size, coalesce(n, 0) AS changed_lines
-FROM judged LEFT JOIN changed USING (page_id)""")
+SELECT page_id, status, source_size, target_size, coalesce(n, 0) AS changed_lines FROM judged LEFT JOIN changed USING (page_id)""")
 def q_text_drift(spark, folder):
     return textjobs.text_drift(table(spark, folder, "pages"), _altered_pages(spark, folder), "page_id", "html")
 
@@ -518,7 +552,8 @@ def q_log_tail(spark, folder):
 
 @job("""WITH src AS (
   SELECT p_partkey AS packaging_id, CASE WHEN p_size % 2 = 0 THEN 'Roll' ELSE 'Case' END AS name, p_size AS qty,
-    p_partkey AS product_id, CASE WHEN p_partkey % 4 <> 0 THEN 'C' || p_partkey END AS code FROM part),
+    p_partkey AS product_id, CASE WHEN p_partkey % 4 <> 0 THEN 'C' || p_partkey END AS code FROM part
+  UNION ALL SELECT p_partkey + 500000000, CASE WHEN p_size % 2 = 0 THEN 'Roll' ELSE 'Case' END, p_size + 1, p_partkey, NULL FROM part WHERE p_partkey % 13 = 0),
 tgt AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 100000000 ELSE p_partkey END AS product_id, 'C' || p_partkey AS code
   FROM part WHERE p_partkey % 7 <> 0),
 have AS (SELECT DISTINCT p_partkey AS product_id, 'Roll' AS name FROM part WHERE p_partkey % 5 = 0),
@@ -528,7 +563,8 @@ m AS (
     LEFT JOIN (SELECT code, min(product_id) AS pid FROM tgt GROUP BY code) c ON c.code = s.code)
 SELECT packaging_id, m.name, CAST(qty AS BIGINT) AS qty, coalesce(target_id, -1) AS target_id,
   CASE WHEN by_id IS NOT NULL THEN 'id' WHEN by_code IS NOT NULL THEN 'code' ELSE 'none' END AS matched_by,
-  CASE WHEN target_id IS NULL THEN 'skip: no product' WHEN h.name IS NOT NULL THEN 'skip: exists' ELSE 'create' END AS action
+  CASE WHEN target_id IS NULL THEN 'skip: no product' WHEN h.name IS NOT NULL THEN 'skip: exists'
+    WHEN row_number() OVER (PARTITION BY target_id, m.name ORDER BY packaging_id) > 1 THEN 'skip: exists' ELSE 'create' END AS action
 FROM m LEFT JOIN have h ON h.product_id = target_id AND h.name = m.name""")
 def q_packaging_migrate(spark, folder):
     part = table(spark, folder, "part")
@@ -537,6 +573,10 @@ def q_packaging_migrate(spark, folder):
     source = part.select(key.alias("packaging_id"), F.when(F.col("p_size") % 2 == 0, "Roll").otherwise("Case").alias("name"),
                          F.col("p_size").cast("bigint").alias("qty"), key.alias("product_id"),
                          F.when(key % 4 != 0, code).alias("code"))
+    again = source.filter(F.col("product_id") % 13 == 0).select(  # the same name once more on the same product
+        (F.col("packaging_id") + 500000000).alias("packaging_id"), "name", (F.col("qty") + 1).alias("qty"), "product_id",
+        F.lit(None).cast("string").alias("code"))
+    source = source.unionByName(again)
     targets = part.filter(key % 7 != 0).select(
         F.when(key % 3 == 0, key + 100000000).otherwise(key).alias("product_id"), code.alias("code"))
     existing = part.filter(key % 5 == 0).select(key.alias("product_id"), F.lit("Roll").alias("name"))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can read, taken from ``spark.checkpoint.dir``.
 
-    Only when neither the setting nor the context names one (a local test run)
-    is a temporary folder made.
+    Where neither the setting nor the context names one, a temporary folder is made if the session runs
+    on this machine alone, as in tests; on a cluster, whose executors would not see it, that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     current = spark.sparkContext.getCheckpointDir()
@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="plantledger-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -22,11 +22,12 @@ def test_batch_of(spark):
 
 
 def test_pallet_names(spark):
-    names = ["WH/MO/01516-PAL-2", "WH/MO/01516-PAL-10", "PLT-7", "X-PAL-b", "A-PAL-1-PAL-3"]
+    names = ["WH/MO/01516-PAL-2", "WH/MO/01516-PAL-10", "PLT-7", "X-PAL-b", "A-PAL-1-PAL-3", "Y-PAL-12345678901234567890"]
     got = one(spark, [(x,) for x in names], "p string", X.pallet_prefix(F.col("p")), X.pallet_number(F.col("p")),
               X.display_id(F.col("p")))
-    assert got == [("WH/MO/01516", 2, "01516-PAL-2"), ("WH/MO/01516", 10, "01516-PAL-10"), ("PLT-7", 99999, "PLT-7"),
-                   ("X", 99999, "X-PAL-b"), ("A-PAL-1", 3, "A-PAL-1-PAL-3")]
+    none = int(X.NO_NUMBER)
+    assert got == [("WH/MO/01516", 2, "01516-PAL-2"), ("WH/MO/01516", 10, "01516-PAL-10"), ("PLT-7", none, "PLT-7"),
+                   ("X", none, "X-PAL-b"), ("A-PAL-1", 3, "A-PAL-1-PAL-3"), ("Y", 12345678901234567890, "Y-PAL-12345678901234567890")]
 
 
 def test_pieces(spark):
@@ -38,7 +39,7 @@ def test_pieces(spark):
 
 def test_number_text_matches_general_format(spark):
     random.seed(7)
-    values = [0.0, 1.0, 96.0, 0.5, 1e6, 999999.0, 123456.7, 1234567.0, 1e-5, 0.0001, -2.5, 1e20, 100.0, 12.3456789]
+    values = [0.0, 1.0, 96.0, 0.5, 1e6, 999999.0, 123456.7, 1234567.0, 1e-5, 0.0001, -2.5, 1e20, 100.0, 12.3456789, 1234565.0, 100000.5, 0.1234565, 100001.5, -1234575.0]
     values += [random.uniform(-1, 1) * 10 ** random.randint(-6, 9) for _ in range(300)]
     got = one(spark, [(v,) for v in values], "x double", F.col("x"), X.number_text(F.col("x")))
     for value, text in got:
@@ -50,6 +51,8 @@ def test_text_helpers(spark):
               X.first_line(F.col("t")), X.other_lines(F.col("t")), X.drop_items(F.col("l"), ["b"]),
               X.mask_password(F.col("u")), X.safe_token(F.col("s")))
     assert got == [("a", "b\nc", "A, c", "postgres://user:***@host/db", "a_b_c")]
+    got = one(spark, [("a\nb\n", "x://u:p@ss@h/p@q")], "t string, u string", X.other_lines(F.col("t")), X.mask_password(F.col("u")))
+    assert got == [("b", "x://u:***@h/p@q")]
     got = one(spark, [("only",), (None,)], "t string", X.first_line(F.col("t")), X.other_lines(F.col("t")))
     assert got == [("only", ""), ("", "")]
 
@@ -58,11 +61,15 @@ def test_dims_money_weight(spark):
     got = one(spark, [(40.0, 48.0, 52.0, 5355.0)], "l double, w double, h double, m double",
               X.dims_text(F.col("l"), F.col("w"), F.col("h")), X.money_text(F.col("m")), X.weight_text(F.col("l")))
     assert got == [("40 x 48 x 52", "5,355.00", "40.0")]
+    got = one(spark, [(40.0, None, 52.0, 0.25), (None, None, None, None), (None, 1.0, None, 0.0), (1.0, 2.0, 3.0, 0.35)], "l double, w double, h double, g double",
+              X.dims_text(F.col("l"), F.col("w"), F.col("h")), X.weight_text(F.col("g")))
+    assert got == [("40 x - x 52", "0.2"), ("-", "-"), ("- x 1 x -", "-"), ("1 x 2 x 3", "0.4")]
 
 
-def test_scrub_timestamps(spark):
-    got = one(spark, [(' {"a":"2026-05-01T10:00:00.5Z","b":1}\n',)], "t string", X.scrub_timestamps(F.col("t")))
-    assert got == [('{"a":"<TS>","b":1}',)]
+def test_scrub_times(spark):
+    got = one(spark, [(' {"a":"2026-05-01T10:00:00.5Z","b":1} ',), ("seen 2026-05-01T10:00:00, not 2026-05-01 or x2026-05-01T10:00:00",)], "t string",
+              X.scrub_times(F.col("t")))
+    assert got == [('{"a":"(time)","b":1}',), ("seen (time), not 2026-05-01 or x2026-05-01T10:00:00",)]
 
 
 @pytest.mark.parametrize("text, kind", [
@@ -93,14 +100,14 @@ def test_storage_and_hints(spark):
     got = one(spark, [(t,) for t in ["5", "-5", "5.0", "1e3", ".5", "n/a", "", None]], "t string", V.storage_class(F.col("t")))
     assert [g[0] for g in got] == ["integer", "integer", "real", "real", "real", "text", "text", None]
     assert V.accepted_storage("varchar(255)") == ("text",) and V.accepted_storage("GEOMETRY") == ()
-    assert V.looks_like_date("created_at", "TEXT") and not V.looks_like_date("name", "TEXT")
+    assert V.date_columns({"created_at": "TEXT", "name": "TEXT", "x": "timestamp(6)", "start_time": "INTEGER", "day": ""}) == ["created_at", "x", "day"]
 
 
 def test_rules_count_and_rewrite(spark):
-    rules = [X.Rule("unit", r"\bline\.product_unit\b(?!_)", "line.product_unit_id"), X.Rule("notes", r"\bo\.notes\b", "o.note")]
+    rules = [X.Rule("price", r"p_retailprice(?!_net)", "p_retailprice_net"), X.Rule("brand", "Brand#([0-9])", "Brand-$1")]
     text, hits = X.apply_rules(F.col("t"), rules)
-    got = one(spark, [("line.product_unit",), ("line.product_unit_id",), ("o.notes o.notes",)], "t string", text, *hits)
-    assert got == [("line.product_unit_id", 1, 0), ("line.product_unit_id", 0, 0), ("o.note o.note", 0, 2)]
+    got = one(spark, [("p_retailprice",), ("p_retailprice_net",), ("Brand#1 Brand#23",)], "t string", text, *hits)
+    assert got == [("p_retailprice_net", 1, 0), ("p_retailprice_net", 0, 0), ("Brand-1 Brand-23", 0, 2)]
 
 
 def test_pack_arithmetic(spark):

@@ -133,6 +133,15 @@ def test_trace_forward_needs_a_done_delivery(spark, rows):
     assert rows(trace.forward(used, made, sent, people)) == [("R", 10, 1, 1, 6.0)]
 
 
+def test_trace_forward_counts_an_order_once(spark, rows):
+    used = spark.createDataFrame([("R", 1, 10.0)], "raw_lot string, order_id int, quantity double")
+    made = spark.createDataFrame([(1, "F1"), (1, "F2")], "order_id int, finished_lot string")
+    sent = spark.createDataFrame([("F1", 11, "done"), ("F1", 12, "done"), ("F2", 11, "done"), ("F2", 13, "done")],
+                                 "finished_lot string, partner_id int, state string")
+    people = spark.createDataFrame([(11, 10), (12, 10), (13, 20)], "partner_id int, commercial_id int")
+    assert rows(trace.forward(used, made, sent, people)) == [("R", 10, 1, 2, 10.0), ("R", 20, 1, 1, 10.0)]
+
+
 def test_invoice_balance_rows(spark, rows):
     invoices = spark.createDataFrame([(1, 100.0, False, False), (2, 100.0, False, False), (3, 100.0, True, False)],
                                      "order_id int, amount_total double, is_draft boolean, is_refund_doc boolean")
@@ -141,7 +150,7 @@ def test_invoice_balance_rows(spark, rows):
     entries = entries.withColumn("amount", F.col("amount").cast("decimal(20,2)")).withColumn("date", F.lit("2024-03-04").cast("timestamp_ntz"))
     assert rows(paper.invoice_balance(invoices, entries)) == [
         (1, "Invoice", 1, "Paid on 03/04/2024:", "60.00"), (1, "Invoice", 2, "Reversed on 03/04/2024:", "-10.00"),
-        (1, "Invoice", 99, "Remaining Balance:", "50.00")]
+        (1, "Invoice", 3, "Remaining Balance:", "50.00")]
 
 
 def test_matrix_is_computed(spark, rows):

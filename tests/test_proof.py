@@ -1,6 +1,7 @@
 """Pre-flight, load, parity, text and stock operators on small fixtures and by property."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def test_first_wins_and_next_keys(spark, rows):
 def test_parity_of_equal_sides_is_green(spark, rows):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 7).cast("double").alias("v"),
                                  F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id)").alias("ts"))
-    windows = parity.window_parity(df, df.orderBy(F.desc("v")).repartition(3), "ts", ["id", "v"], "v")
+    windows = parity.window_parity(df, df.orderBy(F.desc("v")).repartition(3), "ts", "v")
     assert windows.filter("not match").count() == 0
     assert parity.row_diff(df, df, "id").count() == 0
     assert {r.status for r in parity.column_profile_diff(df, df).collect()} == {"same"}
@@ -67,18 +68,27 @@ def test_json_diff_ignores_order_and_volatile_keys(spark, rows):
         ("$.rolls[roll_id=b].w", "removed", "2", ""), ("$.z", "added", "", "true")]
 
 
-def test_json_below_depth_is_compared_as_text(spark, rows):
-    deep = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "k int, doc string")
-    other = spark.createDataFrame([(1, '{"a":{"b":{"c":2}}}')], "k int, doc string")
-    assert rows(parity.json_diff(deep, other, "k", "doc", depth=1), "path", "source_value") == [("$.a", '{"b":{"c":1}}')]
+def test_json_at_any_depth_and_by_type(spark, rows):
+    def diff(a, b):
+        one, other = (spark.createDataFrame([(1, x)], "k int, doc string") for x in (a, b))
+        return rows(parity.json_diff(one, other, "k", "doc"), "path", "status", "source_type", "target_type", "source_value", "target_value")
+    nest, end = '{"a":' * 300, "}" * 300
+    assert diff(f'{nest}{{"x_at":1,"l":[{{"id":1}},{{"id":2}}]}}{end}', f'{nest}{{"l":[{{"id":2}},{{"id":1}}],"x_at":2}}{end}') == []
+    assert diff(nest + "1" + end, nest + '"1"' + end) == [("$" + ".a" * 300, "changed", "number", "string", "1", "1")]
+    assert diff('{"b":true}', '{"b":"true"}') == [("$.b", "changed", "boolean", "string", "true", "true")]
+    assert diff('{"b":[],"c":{}}', "{}") == [("$", "added", "", "object", "", "{}"), ("$.b", "removed", "array", "", "[]", ""),
+                                             ("$.c", "removed", "object", "", "{}", "")]
+    assert diff('{"cut', '{"cu') == [("$", "changed", "text", "text", '{"cut', '{"cu')]
+    assert diff("<p>2024-01-02T03:04:05Z", "<p>2025-01-02T03:04:05Z") == []
+    assert diff("at 2024-01-02T03:04:05Z", "at 2025-01-02T03:04:05Z") == [] and diff("1", "1.0") == []
 
 
 def test_text_patch_twice_changes_nothing(spark, rows):
-    rules = [X.Rule("unit", r"\bline\.product_unit\b(?!_)", "line.product_unit_id"), X.Rule("notes", r"\bo\.notes\b", "o.note")]
-    df = spark.createDataFrame([(1, "line.product_unit"), (2, "line.product_unit_id"), (3, "o.notes")], "id int, t string")
-    once = textjobs.patch(df, "id", "t", rules, "notes")
-    assert rows(once, "id", "new_text") == [(1, "line.product_unit_id"), (3, "o.note")]
-    assert textjobs.patch(once.select("id", F.col("new_text").alias("t")), "id", "t", rules, "notes").count() == 0
+    rules = [X.Rule("price", r"p_retailprice(?!_net)", "p_retailprice_net"), X.Rule("brand", "Brand#([0-9])", "Brand-$1")]
+    df = spark.createDataFrame([(1, "p_retailprice"), (2, "p_retailprice_net"), (3, "Brand#1")], "id int, t string")
+    once = textjobs.patch(df, "id", "t", rules, "#")
+    assert rows(once, "id", "new_text") == [(1, "p_retailprice_net"), (3, "Brand-1")]
+    assert textjobs.patch(once.select("id", F.col("new_text").alias("t")), "id", "t", rules, "#").count() == 0
 
 
 def test_text_drift_forgives_serialiser_noise(spark, rows):
@@ -98,12 +108,12 @@ def test_kit_flip_restore_round_trip(spark, rows):
 
 
 def test_packaging_plan(spark, rows):
-    source = spark.createDataFrame([(1, "Roll", 70, 5, "C5"), (2, "Roll", 70, 6, "C6"), (3, "Roll", 1, 7, None), (4, "Case", 1, 5, "C5")],
+    source = spark.createDataFrame([(1, "Roll", 70, 5, "C5"), (2, "Roll", 70, 6, "C6"), (3, "Roll", 1, 7, None), (4, "Case", 1, 5, "C5"), (5, "Roll", 9, 5, None)],
                                    "packaging_id int, name string, qty int, product_id int, code string")
     targets = spark.createDataFrame([(5, "C5"), (60, "C6"), (61, "C6")], "product_id int, code string")
     existing = spark.createDataFrame([(5, "Case")], "product_id int, name string")
     assert rows(migrate.packaging_plan(source, targets, existing), "packaging_id", "target_id", "action") == [
-        (1, 5, "create"), (2, 60, "create"), (3, -1, "skip: no product"), (4, 5, "skip: exists")]
+        (1, 5, "create"), (2, 60, "create"), (3, -1, "skip: no product"), (4, 5, "skip: exists"), (5, 5, "skip: exists")]
 
 
 def test_sources_and_sinks(spark, rows, tmp_path):
@@ -147,3 +157,24 @@ def test_newest_with_free_stock(spark, rows):
     quants = spark.createDataFrame([("L1", 9.0, None), ("L2", 3.0, None), ("L2", 1.0, None), ("L3", 9.0, "P"), ("L3", 3.0, None)],
                                    "lot string, quantity double, package_name string")
     assert rows(inventory.newest_with_free_stock(made, quants, 4.0), "production_id", "free") == [(2, 4.0)]
+
+
+def test_row_diff_tells_values_apart_and_counts_copies(spark, rows):
+    def diff(a, b):
+        schema = "k int, x string, y string"
+        return rows(parity.row_diff(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "k"))
+    assert diff([(1, None, "a")], [(1, "NULL", "a")]) == [(1, "x", None, "NULL")]
+    assert diff([(1, "p|y=q", "r")], [(1, "p", "q|y=r")]) == [(1, "x", "p|y=q", "p"), (1, "y", "r", "q|y=r")]
+    assert diff([(1, "a", "b"), (1, "c", "d")], [(1, "c", "d"), (1, "a", "z")]) == [(1, "y", "b", "z")]
+    assert diff([(1, "a", "b")] * 3, [(1, "a", "b")]) == [(1, "(row)", "present", "missing")] * 2
+
+
+def test_window_parity_hashes_whole_rows_and_rows_without_time(spark, rows):
+    schema = "id int, ts timestamp, v double, p string"
+    data = [(1, datetime(2024, 1, 1, 0, 1), 1.0, "a"), (2, None, 1.0, "b"), (3, None, 1.0, "c")]
+    a = spark.createDataFrame(data, schema)
+    assert all(r[-1] for r in rows(parity.window_parity(a, a, "ts", "v")))
+    changed = spark.createDataFrame([(1, datetime(2024, 1, 1, 0, 1), 1.0, "z"), *data[1:]], schema)
+    assert [r[-1] for r in rows(parity.window_parity(a, changed, "ts", "v"), "window_start", "match")] == [True, False, False]
+    short = spark.createDataFrame(data[:2], schema)
+    assert rows(parity.window_parity(a, short, "ts", "v"), "window_start", "source_n", "target_n", "match")[0] == ("(no time)", 2, 1, False)
