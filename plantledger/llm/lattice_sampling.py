@@ -39,12 +39,8 @@ WORDS_KEPT = 20_000
 ROWS_AT_ONCE = 64
 
 
-class Edge(NamedTuple):
-    """To the place ``to`` by ``ids``, taken with log-probability ``go``."""
-
-    to: int
-    go: float
-    ids: tuple[int, ...]
+#: To a place of the word, with a log-probability, by ids.
+Edge = tuple[int, float, tuple[int, ...]]
 
 
 class Sample(NamedTuple):
@@ -62,8 +58,10 @@ class Lattices:
     def __init__(self, path: str, sharpness: float) -> None:
         from sentencepiece import SentencePieceProcessor
         self.model = SentencePieceProcessor(model_file=path)
-        self._ids, self._bytes, self._begun = {}, {}, set()
-        self._sharpness, self._words = sharpness, {}
+        self._words: dict[str, list[list[Edge]]] = {}
+        # Pieces with ids and weight; beginnings of pieces that are none themselves have None.
+        self._pieces: dict[str, tuple[tuple[int, ...], float] | None] = {}
+        self._bytes: dict[int, int] = {}
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             if self.model.is_byte(i):
@@ -71,37 +69,49 @@ class Lattices:
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 if MARK in piece.lstrip(MARK):
                     raise ValueError("a piece goes on over a word mark")
-                self._ids[piece] = i
-                self._begun.update(piece[:k] for k in range(1, len(piece) + 1))
-
-    def _weight(self, ids: tuple[int, ...]) -> float:
-        return -self._sharpness * sum(math.log(i + 2) for i in ids)
-
-    def _edges(self, word: str, at: int) -> list[tuple[int, tuple[int, ...]]]:
-        found = []
-        for end in range(at + 1, len(word) + 1):
-            part = word[at:end]
-            if part not in self._begun:
-                break
-            if part in self._ids:
-                found.append((end, (self._ids[part],)))
-        if word[at] not in self._ids:  # a letter without a piece is written in bytes
-            found.append((at + 1, tuple(self._bytes[b] for b in word[at].encode())))
-        return found
+                for k in range(1, len(piece)):
+                    self._pieces.setdefault(piece[:k], None)
+                self._pieces[piece] = (i,), -sharpness * math.log(i + 2)
+        self._sharpness = sharpness
+
+    def _in_bytes(self, letter: str) -> tuple[tuple[int, ...], float]:
+        """A letter without a piece of its own is written in bytes."""
+        ids = tuple(self._bytes[b] for b in letter.encode())
+        return ids, -self._sharpness * sum(math.log(i + 2) for i in ids)
 
     def of(self, word: str) -> list[list[Edge]]:
         """For each place of the word the edges that leave it."""
         known = self._words.get(word)
-        if known is None:
-            if len(self._words) >= WORDS_KEPT:
-                self._words.clear()
-            mass, known = [0.0] * (len(word) + 1), [[]] * len(word)
-            for at in range(len(word) - 1, -1, -1):
-                ways = [(end, ids, self._weight(ids) + mass[end]) for end, ids in self._edges(word, at)]
-                top = max(w for *_, w in ways)
-                mass[at] = top + math.log(sum(math.exp(w - top) for *_, w in ways))
-                known[at] = [Edge(end, w - mass[at], ids) for end, ids, w in ways]
-            self._words[word] = known
+        if known is not None:
+            return known
+        if len(self._words) >= WORDS_KEPT:
+            self._words.clear()
+        pieces, size, exp = self._pieces, len(word), math.exp
+        mass, known = [0.0] * (size + 1), [[]] * size
+        for at in range(size - 1, -1, -1):
+            ways, end = [], at
+            while end < size:
+                end += 1
+                found = pieces.get(word[at:end], False)
+                if found:
+                    ways.append((end, found[1] + mass[end], found[0]))
+                elif found is False:
+                    break
+            if not ways or ways[0][0] != at + 1:
+                ids, weight = self._in_bytes(word[at])
+                ways.append((at + 1, weight + mass[at + 1], ids))
+            if len(ways) == 1:
+                end, weight, ids = ways[0]
+                mass[at] = weight
+                known[at] = [(end, 0.0, ids)]
+                continue
+            top = max([w[1] for w in ways])
+            total = 0.0
+            for way in ways:
+                total += exp(way[1] - top)
+            mass[at] = total = top + math.log(total)
+            known[at] = [(end, weight - total, ids) for end, weight, ids in ways]
+        self._words[word] = known
         return known
 
     def marked(self, text: str) -> str:
@@ -122,7 +132,7 @@ class Lattices:
                 if len(edges) == 1:
                     best = edges[0]
                 else:
-                    raised = [log_p + e.go - log(-log(draw() or 5e-324)) for e in edges]
+                    raised = [log_p + e[1] - log(-log(draw() or 5e-324)) for e in edges]
                     top = max(raised)
                     best = None
                     for edge, own in zip(edges, raised):
@@ -133,10 +143,10 @@ class Lattices:
                         over = score - own + (log(-math.expm1(gap)) if gap < 0 else -math.inf)
                         low = score - max(0.0, over) - math.log1p(exp(-abs(over)))
                         entered += 1
-                        to = (word, edge.to) if edge.to < len(words[word]) else (word + 1, 0)
-                        heapq.heappush(queue, (-low, entered, log_p + edge.go, *to, (way, edge.ids)))
-                way, log_p = (way, best.ids), log_p + best.go
-                word, at = (word, best.to) if best.to < len(words[word]) else (word + 1, 0)
+                        to = (word, edge[0]) if edge[0] < len(words[word]) else (word + 1, 0)
+                        heapq.heappush(queue, (-low, entered, log_p + edge[1], *to, (way, edge[2])))
+                way, log_p = (way, best[2]), log_p + best[1]
+                word, at = (word, best[0]) if best[0] < len(words[word]) else (word + 1, 0)
             found.append((score, log_p, way))
         bar = found[count][0] if len(found) > count else -math.inf
         return [Sample(_unrolled(way), log_p, score, -math.expm1(-exp(min(log_p - bar, 700.0))) if bar > -math.inf else 1.0)
