@@ -34,7 +34,7 @@ def made_not_shipped(production: DataFrame, delivered: DataFrame, orders: DataFr
     """Production for orders still to be shipped, latest first within an order, with what is left over.
     The balance is blank where nothing was produced."""
     open_ids = orders.filter(is_open()).select("order_id")
-    made = production.join(open_ids, "order_id", "left_semi").join(delivered, "order_id", "left")
+    made = production.join(open_ids, "order_id", "left_semi").join(delivered.join(open_ids, "order_id", "left_semi"), "order_id", "left")
     shipped = F.coalesce("delivered", F.lit(0.0))
     balance = F.when(F.col("qty_produced").isNotNull(), F.col("qty_produced") - shipped)
     return (made.orderBy("order_id", F.desc("date_finished")).limit(n)

@@ -74,10 +74,11 @@ def compact(
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
-    """Replication state: last watermark, rows of the last batch and of all batches."""
+    """Replication state: last watermark, rows of the last batch and of all batches. Numbers compare as numbers, all
+    else as text."""
     rows = spark.read.schema(f"rows_last bigint, watermark string, {BATCH} bigint").option(
         "basePath", f"{path}/state").parquet(f"{path}/state")
-    return rows.agg(F.max("watermark").alias("last_watermark"), F.max_by("rows_last", BATCH).alias("rows_last"),
+    return rows.agg(F.max_by("watermark", F.struct(F.col("watermark").try_cast("decimal(38,6)"), "watermark")).alias("last_watermark"), F.max_by("rows_last", BATCH).alias("rows_last"),
                     F.sum("rows_last").alias("rows_total"))
 
 
@@ -99,7 +100,7 @@ def cycle(jobs: dict[str, object]) -> list[tuple[str, str]]:
             run()
             outcome.append((name, "ok"))
         except Exception as error:  # noqa: BLE001
-            outcome.append((name, f"failed: {type(error).__name__}"))
+            outcome.append((name, f"failed: {type(error).__name__}: {error}"))
     return outcome
 
 
