@@ -26,13 +26,15 @@ class Rule(NamedTuple):
     """Matches of ``pattern`` whose group ``secret`` (0: the whole match) has at least ``shortest`` characters.
 
     Shorter matches are dropped but still use up their characters. The secret group must end the match. Letters are
-    taken as they stand; write both cases as a class where either will do.
+    taken as they stand; write both cases as a class where either will do. ``ahead``: masked before the other rules, as
+    its matches may hold theirs and a mark inside would break them.
     """
 
     kind: str
     pattern: str
     secret: int = 0
     shortest: int = 1
+    ahead: bool = False
 
 
 def _either_case(words: str) -> str:
@@ -46,8 +48,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# A private key goes from its header line over lines "Name: value" to the END line. Without an END line it goes over all
+# lines of base64 that follow, also where they are indented, quoted or have their line ends written as \\n; of a line that
+# goes on with something else, the base64 at its front counts from 16 characters. No loop runs over lines, so that
+# Java's stack does not grow with the text.
+KEY_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+KEY_FIELDS = r"(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z][A-Za-z0-9-]*: [^\r\n\\]*){0,9}"
+KEY_TO_END = r"""(?:[^-]*|[A-Za-z0-9+/= \t\r\n\\>"',:|-]*)-----END [A-Z ]*PRIVATE KEY-----"""
+KEY_LINES = (r"""(?:[A-Za-z0-9+/= \t\r\n\\>"',|]*[A-Za-z0-9+/=]{32,})?"""
+             r"(?:[\r\n][A-Za-z0-9+/=\r\n]*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/=](?:[\r\n]|$)))?"
+             r"(?:(?:[\r\n]|\\n){0,4}[ \t>]*[A-Za-z0-9+/=]+(?:[\r\n\\]|$))?")
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", f"{KEY_HEADER}{KEY_FIELDS}(?:{KEY_TO_END}|{KEY_LINES})", ahead=True),
     Rule("hosting_token", r"(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35,}"),
@@ -93,7 +105,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     for way in walk(parser.parse(pattern)):
         runs = "".join("\n\n" if c is gap else c for c in way).split("\n\n")
         found.append(frozenset(run[i:i + 3] for run in runs for i in range(len(run) - 2)))
-    return None if not all(found) else list(dict.fromkeys(found))
+    if not all(found):
+        return None
+    return [clause for clause in dict.fromkeys(found) if not any(other < clause for other in found)]
 
 
 def candidates(texts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -192,14 +206,15 @@ def _cleaned(rule: Rule, text: Column) -> Callable[[Column], Column]:
 def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with every secret replaced by a mark and its length column, if any, brought up to date; all rows stay.
 
-    The rules run one after another, so a secret that several rules see is replaced once. Null texts stay null.
+    The rules run one after another, those that go ``ahead`` first, so a secret that several rules see is replaced once.
+    Null texts stay null.
     """
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]  # names of the caller cannot clash with those used here
     at = dict(zip(names, inner))
     searched = _searched(docs.toDF(*inner), inner, at[text_col], rules)
     old = F.col(at[text_col])
-    for n, rule in enumerate(rules):
+    for n, rule in sorted(enumerate(rules), key=lambda x: not x[1].ahead):
         found = _bound(_matches(F.col("_text"), rule), _cleaned(rule, F.col("_text")))
         searched = searched.withColumn("_text", F.when(F.array_contains("_rules", n), found).otherwise(F.col("_text")))
     changed = old.isNotNull() & (F.col("_text") != old)
