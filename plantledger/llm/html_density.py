@@ -3,7 +3,9 @@
 Every block element of a page gets a density: its characters per tag, weighted down by the share of them inside
 links. The densities of its children are summed, the element with the largest sum is the core of the article, and the
 lowest density on the way from it up to the body is the threshold: every element at least that dense gives the subtree
-with the largest sum below it. Elements that never hold article text (menus, forms, scripts, comment sections ...) are
+with the largest sum below it. Short parts beside the core (a heading, a lead, a last section) are kept with it: all of
+the article or main element around it or, without one, the nearest ancestor with other text, its blocks of mostly links
+excepted. Elements that never hold article text (menus, forms, scripts, comment sections ...) are
 told by name, role or class and leave before anything is counted.
 """
 
@@ -162,8 +164,8 @@ def _parsed(source: str) -> _Page:
     return page
 
 
-def _densities(page: _Page) -> tuple[list[float], list[float]]:
-    """Composite density of every element, and the sum of those of its children and of its own text."""
+def _densities(page: _Page) -> tuple[list[float], list[float], list[bool]]:
+    """Composite density of every element, the sum of those of its children and of its own text, and whether it is mostly links."""
     n = len(page.parent)
     chars, tags, link_chars, link_tags = page.chars[:], page.tags[:], page.link_chars[:], page.link_tags[:]
     for i in range(n - 1, 0, -1):
@@ -183,7 +185,27 @@ def _densities(page: _Page) -> tuple[list[float], list[float]]:
     sums = [0.0 if page.out[i] else density(page.chars[i], page.tags[i], page.link_chars[i], page.link_tags[i]) for i in range(n)]
     for i in range(1, n):
         sums[page.parent[i]] += dense[i]
-    return dense, sums
+    return dense, sums, [2 * lc > c for c, lc in zip(chars, link_chars)]
+
+
+def _around(page: _Page, core: int, heavy: list[bool]) -> tuple[int, bool]:
+    """The element whose blocks belong to the core, and whether all do: the outermost article around it, else the outermost
+    main (both in full), else the nearest ancestor with text outside the core that is not in a block of links."""
+    path = [core]
+    while page.parent[path[-1]] >= 0:
+        path.append(page.parent[path[-1]])
+    for name in ("article", "main"):
+        for at in reversed(path):
+            if page.name[at] == name:
+                return at, True
+    texts = [0] * len(heavy)
+    for at, _ in page.runs:
+        texts[at] += 1
+    for i in range(len(texts) - 1, 0, -1):
+        if page.out[i] or heavy[i]:
+            texts[i] = 0
+        texts[page.parent[i]] += texts[i]
+    return next((up for at, up in zip(path, path[1:]) if texts[up] > texts[at]), core), False
 
 
 def main_text(source: str) -> str:
@@ -193,7 +215,7 @@ def main_text(source: str) -> str:
     page = _parsed(source)
     if not page.runs:
         return ""
-    dense, sums = _densities(page)
+    dense, sums, heavy = _densities(page)
     n = len(dense)
     best = list(range(n))  # of each subtree, the first element with the largest sum
     for i in range(n - 1, 0, -1):
@@ -208,9 +230,12 @@ def main_text(source: str) -> str:
     for i in range(n):
         if dense[i] >= threshold and dense[i] > 0:
             chosen[best[i]] = True
+    around, whole = _around(page, best[0], heavy)
+    beside = [i == around for i in range(n)]
     for i in range(1, n):
         chosen[i] = (chosen[i] or chosen[page.parent[i]]) and not page.out[i]
-    return "\n\n".join(text for i, text in page.runs if chosen[i])
+        beside[i] = (beside[i] or beside[page.parent[i]] and (whole or not heavy[i])) and not page.out[i]
+    return "\n\n".join(text for i, text in page.runs if chosen[i] or beside[i])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

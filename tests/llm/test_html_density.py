@@ -42,3 +42,29 @@ def test_rows(spark):
     out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert len(out) == 4 and sorted(r.n_chars for r in out)[:2] == [0, 0] and all(r.n_chars == len(r.text) for r in out)
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "<p>" + "long words of the article " * 12 + "</p>"
+
+
+@pytest.mark.parametrize("inner, short", [
+    (f"<h1>The heading</h1><div>{LONG * 8}</div>", ["The heading"]),
+    (f"<header><h1>The heading</h1></header><div><div>{LONG * 8}</div></div>", ["The heading"]),
+    (f"<h1>The heading</h1><p>A lead.</p><div>{LONG * 8}</div><p>By me</p>", ["The heading", "A lead.", "By me"]),
+    (f"<section><h2>First</h2>{LONG * 8}</section><section><h2>Last</h2><p>The end.</p></section>", ["First", "Last", "The end."]),
+    (f"<h1>The heading</h1><article><div>{LONG * 8}</div></article><ul><li><a href=/x>A source</a></li></ul>", ["The heading", "A source"])])
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_short_parts_beside_a_long_one_stay(inner, short, around):
+    page = f"<html><body><nav><a href=/>Menu</a></nav><{around}>{inner}<div class=share>Share</div></{around}><div>Unnamed foot</div><footer>f</footer></body></html>"
+    if around == "main":  # where a header element is left out
+        page = page.replace("<header>", "").replace("</header>", "")
+        page = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    parts = main_text(page).split("\n\n")
+    assert len(parts) == 8 + len(short) and [p for p in parts if len(p) < 20] == short
+
+
+def test_short_parts_without_article():
+    page = f"<body><div><a href=/1>one</a> <a href=/2>two</a></div><div class=wrap><h1>Head</h1><div><div>{LONG * 8}</div></div><p>The end.</p>" \
+        "<ul><li><a href=/3>three</a></li></ul></div><div>Unnamed foot</div></body>"
+    parts = main_text(page).split("\n\n")
+    assert len(parts) == 10 and parts[0] == "Head" and parts[-1] == "The end."
