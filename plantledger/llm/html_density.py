@@ -39,7 +39,9 @@ responses pagination pager widget toolbar""".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute after another, each with its value, so that no value is read as a name. An open quote ends with the tag.
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?""")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 WORD = re.compile(r"[a-z0-9]+")
 ROWS_AT_ONCE = 128
 
@@ -51,9 +53,9 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "role" and value in LEFT_OUT_ROLES or key == "hidden":
+        if key == "role" and value in LEFT_OUT_ROLES or key == "hidden" and value in ("", "hidden"):
             return True
-        words = set(WORD.findall(value)) & LEFT_OUT_WORDS if key != "role" else ()
+        words = set(WORD.findall(value)) & LEFT_OUT_WORDS if key in ("class", "id") else ()
         if words and not (in_article and words == {"header"}):
             return True
     return False
@@ -143,7 +145,6 @@ class _Page:
 
 def _parsed(source: str) -> _Page:
     page, at = _Page(), 0
-    lower = None
     while (tag := TAG.search(source, at)) is not None:
         page.text(source[at:tag.start()])
         at = tag.end()
@@ -156,9 +157,8 @@ def _parsed(source: str) -> _Page:
             continue
         page.start(name, attributes or "")
         if name in RAW:
-            lower = source.lower() if lower is None else lower
-            end = lower.find("</" + name, at)
-            at = len(source) if end < 0 else end
+            end = RAW_END[name].search(source, at)
+            at = end.start() if end else len(source)
     page.text(source[at:])
     page.close()
     return page

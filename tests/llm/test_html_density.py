@@ -68,3 +68,21 @@ def test_short_parts_without_article():
         "<ul><li><a href=/3>three</a></li></ul></div><div>Unnamed foot</div></body>"
     parts = main_text(page).split("\n\n")
     assert len(parts) == 10 and parts[0] == "Head" and parts[-1] == "The end."
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow: hidden"', 'aria-hidden="false"', 'title="The hidden life"', 'data-id="share-1"', "data-class=ad", "hidden-part",
+                                        'alt="id=ad"', "style='a' data-x = hidden", "hidden=until-found"])
+def test_values_and_longer_names_are_no_attributes(attributes):
+    assert main_text(f"<body><div {attributes}><p>the text</p></div></body>") == "the text"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'hidden=""', "hidden='hidden'", 'style="a" hidden', 'title="x"class="a ad b"', "ID = share-1", "role='menu'", 'x="\'" class=ad',
+                                        'class="ad'])
+def test_attributes_leave_out(attributes):
+    assert main_text(f"<body><div {attributes}><p>the text</p></div></body>") == ""
+
+
+@pytest.mark.parametrize("raw", ["script", "SCRIPT", "style", "textarea"])
+def test_raw_elements_end_where_they_do(raw):
+    page = f"<body><div><p>{'İ' * 40} önce</p><{raw}>var a = '<p>no</{raw}s>'</{raw.title()} ><p>sonra {'İ' * 9}</p></div></body>"
+    assert main_text(page).split("\n\n") == ["İ" * 40 + " önce", "sonra " + "İ" * 9]
