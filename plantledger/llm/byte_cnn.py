@@ -29,6 +29,9 @@ EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 7
 TOGETHER = 64
 ROWS_AT_ONCE = 512
 UNKNOWN = "und"
+#: A text whose best language scores less is of no known language; less than that where this share of held-out labelled
+#: rows would fall below it, so that a model that has learned little does not reject what it should know.
+LEAST_SCORE, LEAST_SHARE = 0.5, 0.01
 
 
 class Model(NamedTuple):
@@ -185,11 +188,27 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(_predicted(model), f"_id {kind}, _lang string, _score double")
 
 
-def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; same columns, repeated rows stay."""
+def least_score(model: Model, held_out: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> float:
+    """The score below which a text is of no known language, measured on labelled rows that the model has not seen; 0
+    without such rows. At most about ``SAMPLE`` of them are scored, those with the smallest hash of the id."""
+    rows = held_out.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.xxhash64(id_col).alias("_hash"), F.col(text_col).alias("_body"))
+    chosen = rows.select("_hash").orderBy("_hash").limit(SAMPLE).agg(F.max("_hash")).first()[0] if model.labels else None
+    if chosen is None:
+        return 0.0
+    scores = [r["_score"] for r in identify(rows.where(F.col("_hash") <= chosen), model, "_hash", "_body").select("_score").limit(2 * SAMPLE).collect()]
+    return min(LEAST_SCORE, float(np.quantile(scores, LEAST_SHARE, method="lower")))
+
+
+def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or scores less than ``least``; same columns, repeated rows stay.
+
+    A model that has learned no language can reject none: then every text with a letter stays.
+    """
+    if not model.labels:
+        return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
     inner = [f"_c{i}" for i in range(len(docs.columns))]
     text = inner[docs.columns.index(text_col)]
     source = docs.toDF(*inner).withColumn("_text", F.when(F.col(text).rlike(r"\p{L}"), F.lower(F.col(text))).cast("binary"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     told = source.mapInArrow(_predicted(model), f"{fields}, _lang string, _score double")
-    return told.where(F.col("_lang") != UNKNOWN).select(*inner).toDF(*docs.columns)
+    return told.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*inner).toDF(*docs.columns)

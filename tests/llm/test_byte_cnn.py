@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from plantledger.llm.byte_cnn import STRIDE, TAPS, WINDOW, cut, drop_unidentified, fitted, identify, probabilities, train
+from plantledger.llm.byte_cnn import LEAST_SCORE, STRIDE, TAPS, WINDOW, cut, drop_unidentified, fitted, identify, least_score, probabilities, train
 
 SCHEMA = "doc_id long, text string, lang string, _lang int, _text string"
 PARTS = {"en": ["the", "ing", "er", "wh", "st"], "de": ["ung", "ein", "sch", "ü", "keit"], "fr": ["eau", "oi", "é", "que", "ment"]}
@@ -72,3 +72,28 @@ def test_nothing_to_learn_from(spark):
     assert identify(empty, none).count() == 0 and drop_unidentified(empty, none).count() == 0
     one = train([b"the thing"], ["en"])
     assert probabilities(one, cut(b"who")).tolist() == [[1.0]]
+
+
+def test_low_scores_are_rejected(spark, model):
+    rng = random.Random(3)
+    junk = [(1000 + i, "".join(rng.choices("bjkpqvxyz", k=rng.randrange(20, 400))), None, 0, "x") for i in range(60)]
+    fresh = rows(300, 2)
+    frame = spark.createDataFrame(fresh + junk, SCHEMA)
+    scores = {r["_id"]: r["_score"] for r in identify(frame, model).collect()}
+    kept = {r["doc_id"] for r in drop_unidentified(frame, model).collect()}
+    assert kept == {i for i, score in scores.items() if score >= LEAST_SCORE}
+    assert len([i for i in kept if i < 1000]) >= 0.99 * len(fresh) and len([i for i in kept if i >= 1000]) < len(junk)
+
+
+def test_a_table_without_labels_keeps_its_texts(spark):
+    frame = spark.createDataFrame([(1, "the thing", None, 0, ""), (2, None, None, 0, ""), (3, "12 -", None, 0, ""), (3, "é", None, 0, "")], SCHEMA)
+    kept = drop_unidentified(frame, fitted(frame))
+    assert kept.columns == frame.columns and sorted(r["text"] for r in kept.collect()) == ["the thing", "é"]
+
+
+def test_a_model_that_learned_little_rejects_little(spark, model):
+    weak = fitted(spark.createDataFrame(rows(12, 1), SCHEMA))
+    frame = spark.createDataFrame(rows(300, 2), SCHEMA)
+    assert drop_unidentified(frame, weak).count() < 0.9 * 300
+    assert drop_unidentified(frame, weak, least=least_score(weak, frame)).count() >= 0.97 * 300
+    assert least_score(weak, frame.limit(0)) == 0.0 and 0 < least_score(model, frame) <= LEAST_SCORE
