@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +43,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     alone = joined.where("_rows = 1").select(*inner)
     one = joined.where("_rows > 1").dropDuplicates(["_id", "_raw"]).select(*inner)
     return alone.unionByName(one).toDF(*names)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in slices whose column ``name`` holds about ``most`` bytes, or in single rows beyond that."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end

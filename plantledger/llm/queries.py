@@ -12,10 +12,12 @@ from plantledger.llm.byte_cnn import fitted, identify
 from plantledger.llm.chunk_recipes import exact_duplicates
 from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
+from plantledger.llm.importance_resampling import resample
 from plantledger.llm.lattice_sampling import decoded, sample_segmentations
 from plantledger.llm.repeated_spans import remove_repeats
 from plantledger.llm.secret_index import BASE, scan_secrets, span_text, spans_sql
 from plantledger.llm.shingle_join import near_duplicates
+from plantledger.llm.term_scan import rank_documents
 from plantledger.llm.url_filter import Rule, judge_urls
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +134,52 @@ def op5_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sample_segmentations(turns, model, ["conv_id", "turn"])
     return found.select(F.col("_key0").alias("conv_id"), F.col("_key1").alias("turn"), "sample", "ids", "n_pieces", "log_p", "score", "inclusion",
                         F.sha2(decoded("ids", model).cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: The checksum of a word's bytes, a table of 256 numbers at a time; DuckDB has no function for it.
+CRC_SQL = """
+bits AS (SELECT list(list_reduce([b::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+  FROM range(256) AS r(b)),
+crcs AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))::BIGINT),
+    lambda i: ('0x' || substr(hex(encode(word)), 2 * i::INT + 1, 2))::BIGINT)), lambda c, b: xor(c // 256, t[(xor(c, b) % 256 + 1)::INT]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), bits)"""
+
+
+def _words_sql(name: str, key: str) -> str:
+    return rf"""SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM {name}"""
+
+
+@query(f"""
+WITH docs AS (SELECT row_number() OVER () AS place, doc_id, text FROM documents),
+words AS ({_words_sql("docs", "place")} UNION ALL {_words_sql("benchmark", "NULL")}), {CRC_SQL},
+counts AS (SELECT bucket, count(place) AS s, count(*) - count(place) AS t FROM words JOIN crcs USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counts),
+bags AS (SELECT place, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM words JOIN crcs USING (word) JOIN gains USING (bucket) WHERE place IS NOT NULL GROUP BY place),
+scored AS (SELECT place, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM docs LEFT JOIN bags USING (place)),
+ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN r END AS rank FROM ranked""")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("_id", "doc_id")
+
+
+def _terms_sql(name: str, key: str) -> str:
+    return rf"""SELECT {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM {name}"""
+
+
+@query(f"""
+WITH docs AS (SELECT row_number() OVER () AS place, doc_id, text FROM documents),
+counts AS (SELECT place, doc_id, term, count(*) AS tf FROM ({_terms_sql("docs", "place, doc_id")}) GROUP BY ALL),
+sizes AS (SELECT place, sum(tf)::BIGINT AS n FROM counts GROUP BY place),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM sizes),
+asked AS (SELECT DISTINCT item_id, term FROM ({_terms_sql("benchmark", "item_id")})),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term, docs),
+scores AS (SELECT item_id, doc_id, place, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (place), totals GROUP BY item_id, doc_id, place),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op13_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_item").alias("item_id"), "rank", F.col("_id").alias("doc_id"), "score")
