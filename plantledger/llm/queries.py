@@ -14,6 +14,7 @@ from plantledger.llm.exact_packing import pack
 from plantledger.llm.html_density import extract_pages
 from plantledger.llm.importance_resampling import resample
 from plantledger.llm.lattice_sampling import decoded, sample_segmentations
+from plantledger.llm.lattice_scores import score_texts
 from plantledger.llm.repeated_spans import remove_repeats
 from plantledger.llm.secret_index import BASE, scan_secrets, span_text, spans_sql
 from plantledger.llm.shingle_join import near_duplicates
@@ -183,3 +184,13 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
 def op13_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("_item").alias("item_id"), "rank", F.col("_id").alias("doc_id"), "score")
+
+
+@query()
+def op12_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def remainder(number: str) -> Column:
+        return F.crc32(F.col(number).cast("string").cast("binary")) % 10
+
+    found = score_texts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), remainder("doc_id") != 0)
+    return found.select(F.col("_id").alias("doc_id"), F.coalesce(remainder("_id") == 0, F.lit(False)).alias("held_out"),
+                        "n_tokens", "n_known", "train_tokens", "base_score", "score")
