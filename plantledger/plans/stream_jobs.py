@@ -11,48 +11,56 @@ from plantledger.streaming import replicate as R
 from plantledger.streaming import watch as watching
 
 SLICES = 3
-FEED_SQL = """feed AS (
-  SELECT user_id, event_id, event_type, value, CASE WHEN event_id % 97 <> 0 THEN date_trunc('minute', ts) END AS ts,
-    CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS slice FROM events)"""
+#: Rows of a file of the feed, and files a micro-batch takes; both bound a micro-batch whatever the table holds.
+FILE_ROWS, FILES = 1_000_000, 64
+FEED_SQL = f"""feed AS (
+  SELECT *, CASE WHEN event_id % 97 <> 0 THEN date_trunc('minute', ts) END AS changed_at,
+    (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {SLICES} // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS slice FROM events)"""
+WHOLE_SQL = "user_id, event_id, event_type, value, props, ts, coalesce(strftime(changed_at, '%Y-%m-%d %H:%M'), '') AS changed_at"
 
 
-def _feed(spark, folder):
-    """events with minute watermarks (ties), some of them missing, and the slice each row arrives in."""
-    ts = F.col("ts")
-    day = ts.cast("date")
-    slice_ = F.when(day < F.lit("2024-01-11").cast("date"), 0).when(day < F.lit("2024-01-21").cast("date"), 1).otherwise(2)
-    return table(spark, folder, "events").select(
-        "user_id", "event_id", "event_type", "value",
-        F.when(F.col("event_id") % 97 != 0, F.date_trunc("minute", ts).cast("timestamp_ntz")).alias("ts"), slice_.alias("slice"))
+def _spanned(rows, time):
+    """The rows with the slice each arrives in, equal spans of the table's own time, and the ends of that time in microseconds."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    low, high = low or 0, high or 0
+    return rows.withColumn("slice", F.coalesce(F.floor((at - low) * SLICES / (high - low + 1)), F.lit(0)).cast("int")), low, high
 
 
-def _in_slices(spark, feed, run):
-    """Write the feed slice by slice; after each, ``run`` takes the stream up where it had stopped."""
+def _in_slices(spark, feed, key, run, slices=SLICES):
+    """Write the feed slice by slice; after each, ``run`` takes the stream up where it had stopped.
+
+    The rows of a key stand in one file of a slice, and so reach one micro-batch.
+    """
     path = fresh_path(spark, "feed")
     schema = feed.drop("slice").schema
-    for i in range(SLICES):
-        feed.filter(F.col("slice") == i).drop("slice").write.parquet(f"{path}/part={i}")
-        run(spark.readStream.schema(schema).parquet(f"{path}/part=*"))
+    sizes = dict(feed.groupBy("slice").count().collect())
+    for i in range(slices):
+        files = max(1, -(-sizes.get(i, 0) // FILE_ROWS))
+        feed.filter(F.col("slice") == i).drop("slice").repartition(files, key).write.parquet(f"{path}/part={i}")
+        run(spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/part=*"))
     return schema
 
 
 def _replicated(spark, folder, policy):
+    """events as a feed whose watermark is a minute (ties), some of them missing; rows are carried whole."""
     path = fresh_path(spark, "table")
-    order = ["ts", "event_id"]
-    schema = _in_slices(spark, _feed(spark, folder), lambda stream: R.replicate(stream, path, ["user_id"], order, policy))
+    order = ["changed_at", "event_id"]
+    feed, _, _ = _spanned(table(spark, folder, "events"), "ts")
+    feed = feed.withColumn("changed_at", F.when(F.col("event_id") % 97 != 0, F.date_trunc("minute", "ts").cast("timestamp_ntz")))
+    schema = _in_slices(spark, feed, "user_id", lambda stream: R.replicate(stream, path, ["user_id"], order, policy))
     current = R.read_table(spark, path, schema, ["user_id"], order, policy)
-    return current.select("user_id", "event_id", "event_type", "value",
-                          F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("ts"))
+    return current.withColumn("changed_at", F.coalesce(F.date_format("changed_at", "yyyy-MM-dd HH:mm"), F.lit("")))
 
 
-@job(f"""WITH {FEED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS n FROM feed)
-SELECT user_id, event_id, event_type, value, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') AS ts FROM r WHERE n = 1""")
+@job(f"""WITH {FEED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY changed_at DESC NULLS LAST, event_id DESC) AS n FROM feed)
+SELECT {WHOLE_SQL} FROM r WHERE n = 1""")
 def q_replicate(spark, folder):
     return _replicated(spark, folder, "update")
 
 
-@job(f"""WITH {FEED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slice, ts NULLS FIRST, event_id) AS n FROM feed)
-SELECT user_id, event_id, event_type, value, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') AS ts FROM r WHERE n = 1""")
+@job(f"""WITH {FEED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slice, changed_at NULLS FIRST, event_id) AS n FROM feed)
+SELECT {WHOLE_SQL} FROM r WHERE n = 1""")
 def q_replicate_skip(spark, folder):
     return _replicated(spark, folder, "skip")
 
@@ -95,15 +103,28 @@ def q_state_deltas(spark, folder):
     return watching.state_deltas(events, "user_id", ["ts", "event_id"], ["event_type", "value"]).drop("ts")
 
 
-@job(DELTAS_SQL)
+#: An entity that stays silent for so many seconds is told once.
+SILENCE = 3 * 86_400
+WATCH_SQL = DELTAS_SQL + f"""
+UNION ALL SELECT user_id, event_id, '(silent)', NULL, NULL FROM (
+  SELECT user_id, event_id, epoch_us(ts) AS seen, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_at,
+    (max(epoch_us(ts)) OVER () // 1000 + 1) * 1000 AS polled FROM events)
+WHERE seen + {SILENCE}000000 <= coalesce(next_at, polled)"""
+
+
+@job(WATCH_SQL)
 def q_state_watch(spark, folder):
-    ts = F.col("ts").cast("date")
-    feed = table(spark, folder, "events").select(
-        "user_id", "ts", "event_id", "event_type", "value",
-        F.when(ts < F.lit("2024-01-11").cast("date"), 0).when(ts < F.lit("2024-01-21").cast("date"), 1).otherwise(2).alias("slice"))
+    """Some rows come a slice late, which the stated lateness allows for; a poll at the end moves the watermark behind the last row."""
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    feed, low, high = _spanned(events, "ts")
+    late = F.least(F.col("slice") + 1, F.lit(SLICES - 1))
+    feed = feed.withColumn("slice", F.when(F.col("event_id") % 29 == 0, late).otherwise(F.col("slice")))
+    lateness = 2 * (high - low) // SLICES // 1_000_000 + 1
+    polled = (high // 1000 + 1) * 1000 + lateness * 1_000_000
+    poll = spark.range(1).select(*(F.lit(None).cast(kind).alias(c) for c, kind in feed.drop("slice").dtypes if c != "ts"),
+                                 F.timestamp_micros(F.lit(polled)).cast("timestamp_ntz").alias("ts")).withColumn("slice", F.lit(SLICES))
     path = fresh_path(spark, "watch")
-    schema = _in_slices(spark, feed, lambda stream: watching.watch(
-        stream, path, "user_id", ["ts", "event_id"], ["event_type", "value"]))
+    schema = _in_slices(spark, feed.unionByName(poll), "user_id", lambda stream: watching.watch(
+        stream, path, "user_id", "ts", ["event_id"], ["event_type", "value"], f"{lateness} seconds", SILENCE), SLICES + 1)
     text = [StructField(c, StringType()) for c in ("field", "old_value", "new_value")]
-    changes = StructType([schema["user_id"], schema["ts"], schema["event_id"], *text])
-    return watching.read_changes(spark, path, changes).drop("ts")
+    return watching.read_changes(spark, path, StructType([schema["user_id"], schema["event_id"], *text]))

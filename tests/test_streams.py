@@ -46,15 +46,60 @@ def test_unknown_policy(spark, feed):
         R.replicate(stream_of(spark, df, source), path, ["k"], ORDER, "merge")
 
 
-def test_watch_equals_batch_deltas(spark, rows, feed, tmp_path):
-    df, source, path = feed
-    ordered = df.select("k", "id", (F.col("v") % 6).alias("v"))
-    for i in range(4):
-        ordered.filter((F.col("id") >= i * 100) & (F.col("id") < (i + 1) * 100)).coalesce(1).write.mode("append").parquet(
-            str(tmp_path / "snaps" / f"part={i}"))
-    watch.watch(stream_of(spark, ordered, str(tmp_path / "snaps" / "part=*")), path + "-watch", "k", ["id"], ["v"])
-    whole = watch.state_deltas(ordered, "k", ["id"], ["v"])
-    assert rows(watch.read_changes(spark, path + "-watch", whole.schema)) == rows(whole)
+SNAPS = "k string, at timestamp, id long, v string, w int"
+
+
+class Watched:
+    """A watch that is fed row by row and started anew for each delivery."""
+
+    def __init__(self, spark, path, lateness, silence=0):
+        self.spark, self.path, self.lateness, self.silence, self.n = spark, str(path), lateness, silence, 0
+        self.schema = spark.createDataFrame([], SNAPS).schema
+
+    def deliver(self, *given):
+        rows = [(k, at, i, v, None if v is None else len(v)) for k, at, i, v in given]
+        df = self.spark.createDataFrame(rows, "k string, s int, id long, v string, w int").select(
+            "k", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at"), "id", "v", "w")
+        df.coalesce(1).write.parquet(f"{self.path}/in/part={self.n}")
+        self.n += 1
+        stream = self.spark.readStream.schema(self.schema).parquet(f"{self.path}/in/part=*")
+        watch.watch(stream, f"{self.path}/out", "k", "at", ["id"], ["v", "w"], f"{self.lateness} seconds", self.silence)
+        return self.changes()
+
+    def changes(self):
+        found = self.spark.read.parquet(f"{self.path}/out/changes")
+        return sorted(((r.k, int(r.at.timestamp()) - 1_700_000_000, r.id, r.field, r.old_value, r.new_value) for r in found.collect()), key=repr)
+
+
+def test_watch_orders_late_snapshots_and_leaves_out_later_ones(spark, tmp_path):
+    seen = Watched(spark, tmp_path, 20)
+    assert seen.deliver(("a", 0, 1, "x"), ("a", 30, 2, "zz"), ("b", 5, 3, "q")) == []  # the watermark stands at 10
+    # 15 is late and allowed, 8 is too late and moves nothing back
+    assert seen.deliver(("a", 15, 4, "y"), ("a", 8, 5, "never"), ("b", 40, 6, None)) == [("a", 15, 4, "v", "x", "y")]
+    assert seen.deliver((None, 70, None, None)) == sorted([
+        ("a", 15, 4, "v", "x", "y"), ("a", 30, 2, "v", "y", "zz"), ("a", 30, 2, "w", "1", "2"),
+        ("b", 40, 6, "v", "q", None), ("b", 40, 6, "w", "1", None)], key=repr)
+
+
+def test_watch_tells_silence_once(spark, tmp_path):
+    seen = Watched(spark, tmp_path, 5, silence=50)
+    seen.deliver(("a", 0, 1, "x"), ("b", 40, 2, "q"))
+    assert seen.deliver((None, 60, None, None)) == [("a", 0, 1, "(silent)", None, None)]
+    assert seen.deliver((None, 70, None, None)) == [("a", 0, 1, "(silent)", None, None)]
+    # back after a silence that was told; b's silence ends with its next snapshot in the same batch
+    assert seen.deliver(("a", 80, 3, "y"), ("b", 90, 4, "q"), (None, 100, None, None)) == sorted([
+        ("a", 0, 1, "(silent)", None, None), ("a", 80, 3, "v", "x", "y"), ("b", 40, 2, "(silent)", None, None)], key=repr)
+
+
+def test_watch_equals_batch_deltas_over_restarts(spark, rows, tmp_path):
+    seen, given = Watched(spark, tmp_path, 1000), []
+    for part in range(3):
+        some = [(f"k{i % 7}", (i * 37) % 300, i, "xyz"[:(i * i) % 4]) for i in range(part * 60, part * 60 + 60)]
+        given += some
+        seen.deliver(*some)
+    got = seen.deliver((None, 5000, None, None))
+    whole = spark.createDataFrame(given, "k string, at int, id long, v string").withColumn("w", F.length("v"))
+    assert got == sorted((tuple(r) for r in watch.state_deltas(whole, "k", ["at", "id"], ["v", "w"]).collect()), key=repr)
 
 
 def test_cycle_goes_on_after_a_failure():
