@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -50,28 +50,63 @@ def safe_token(text: Column) -> Column:
     return F.translate(F.trim(text), "/ ", "__")
 
 
-def _six_digits(value: Column) -> Column:
-    """``value`` rounded to six significant digits, half to even on its decimal digits."""
-    power = F.floor(F.log10(F.abs(value)))
-    exact = value.try_cast("decimal(38,16)")
-    rounded = F.when(value.isNull(), value)
-    for p in range(-5, 13):  # beyond, the exponent form rounds by itself
-        rounded = rounded.when(power == p, F.bround(exact, 5 - p).cast("double"))
-    return rounded.otherwise(value)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: 10 to the power n + 11 for n = -5 .. 12: what divides 10**16 times a number of n + 1 digits before the point to leave six digits.
+_POWERS = [10 ** (n + 11) for n in range(-5, 13)]
+
+
+def _six_digits(v: Column) -> Column:
+    """(digits, power): six significant digits of a number, half to even on its decimal digits, and the power of ten of the first."""
+    power = F.floor(F.log10(F.abs(v))).cast("int")
+    divisor = F.get(F.array(*[F.lit(str(p)).cast("decimal(38,0)") for p in _POWERS]), power + 5)
+    scaled = (F.abs(v).cast("decimal(38,16)").cast("string"))
+    whole = F.replace(scaled, F.lit("."), F.lit("")).cast("decimal(38,0)")
+
+    def rounded(part: Column) -> Column:
+        rest, size = part["rest"], part["size"]
+        up = (rest * 2 > size) | ((rest * 2 == size) & (part["digits"] % 2 == 1))
+        full = part["digits"] + up.cast("int")
+        # 999999.5 and the like take up one more digit.
+        return F.when(full == 1_000_000, F.struct(F.lit(100_000).cast("bigint").alias("digits"), (part["power"] + 1).alias("power"))).otherwise(
+            F.struct(full.alias("digits"), part["power"].alias("power")))
+
+    def divided(pair: Column) -> Column:
+        count = F.floor(pair["whole"] / pair["size"]).cast("bigint")
+        return F.struct(count.alias("digits"), (pair["whole"] - count * pair["size"]).alias("rest"), pair["size"].alias("size"), pair["power"].alias("power"))
+
+    return bound(bound(F.struct(whole.alias("whole"), divisor.alias("size"), power.alias("power")), divided), rounded)
+
+
+def _without_zeros(text: Column) -> Column:
+    """A text with a point, without zeros at its end and without a point there."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def number_text(x: Column) -> Column:
     """Up to six significant digits without trailing zeros; exponent form outside 1e-4 .. 1e6."""
-    value = _six_digits(x.cast("double"))
-    scientific = F.format_string("%.5e", value)
-    mantissa = F.regexp_replace(F.regexp_extract(scientific, "^(-?[0-9.]+)e", 1), "\\.?0+$", "")
-    exponent = F.regexp_extract(scientific, "e([+-][0-9]+)$", 1)
-    plain = F.regexp_replace(scientific.cast("double").cast("decimal(20,10)").cast("string"), "\\.?0+$", "")
-    power = exponent.try_cast("int")
-    return (F.when(value.isNull(), F.lit(None).cast("string"))
-            .when((value == F.floor(value)) & (F.abs(value) < 1_000_000), value.cast("bigint").cast("string"))
-            .when((power < -4) | (power >= 6), F.concat(mantissa, F.lit("e"), exponent))
-            .otherwise(plain))
+    def laid_out(number: Column) -> Column:
+        digits, power = number["digits"].cast("string"), number["power"]
+        plain = (F.when(power >= 0, F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6))))
+                 .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)))
+        mantissa = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))
+        exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+        return F.when((power >= -4) & (power < 6), _without_zeros(plain)).otherwise(F.concat(_without_zeros(mantissa), exponent))
+
+    def far(text: Column) -> Column:
+        return F.concat(_without_zeros(F.regexp_extract(text, "^(-?[0-9.]+)e", 1)), F.regexp_extract(text, "(e[+-][0-9]+)$", 1))
+
+    def shown(v: Column) -> Column:
+        size = F.abs(v)
+        return (F.when(v.isNull(), F.lit(None).cast("string"))
+                .when((v == F.floor(v)) & (size < 1_000_000), v.cast("bigint").cast("string"))
+                .when((size >= 1e-5) & (size < 1e13), F.concat(F.when(v < 0, "-").otherwise(""), bound(_six_digits(v), laid_out)))
+                .otherwise(bound(F.format_string("%.5e", v), far)))
+
+    return bound(x.cast("double"), shown)
 
 
 def money_text(x: Column) -> Column:

@@ -43,9 +43,8 @@ def unit_ranges(units: DataFrame, keys: Sequence[str], number: str, per_row: int
             .agg(F.min(number).alias("_low"), F.max(number).alias("_high"), F.count(F.lit(1)).alias("_units")))
     low, high = F.col("_low").cast("string"), F.col("_high").cast("string")
     named = runs.withColumn("_text", F.when(F.col("_low") == F.col("_high"), low).otherwise(F.concat(low, F.lit("-"), high)))
-    texts = text_list(named, keys, "_text", "units", per_row, order=["_low"])
-    counts = named.groupBy(*keys).agg(F.sum("_units").alias("n_units"), F.count(F.lit(1)).alias("n_runs"))
-    return texts.join(counts, list(keys)).withColumns(on_first_page("n_units", "n_runs"))
+    texts = text_list(named, keys, "_text", "units", per_row, order=["_low"], totals={"n_units": F.col("_units"), "n_runs": F.lit(1)})
+    return texts.withColumns(on_first_page("n_units", "n_runs"))
 
 
 def verify(expected: DataFrame, packages: DataFrame, contents: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantledger.functions import quantities as Q
 from plantledger.functions import text as X
-from plantledger.operators.ordering import number_rows, on_first_page, text_list
+from plantledger.operators.ordering import number_rows, on_first_page, running_sums, text_list
 
 LINE_ORDER = ("order_id", "unit_no", "part_id", "supplier_id", "ship_date", "price")
 NO_PALLET = "NO PALLET"
@@ -155,9 +155,7 @@ def sale_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     """
     order = ["line_no", "product_id", "supplier_id", "ship_date", "price"]
     is_product = F.col("display_type").isNull()
-    positioned = number_rows(lines.withColumn("_extra", ~is_product), ["order_id"], order, "position")
-    # products sort before sections and notes here, so their numbers are 1, 2, ... among products
-    positioned = number_rows(positioned, ["order_id"], ["_extra", *order], "row_no")
+    positioned = running_sums(lines, ["order_id"], order, {"position": F.lit(1), "row_no": is_product.cast("int")})
     totals = lines.filter(is_product).groupBy("order_id").agg(
         F.round(F.sum("price_subtotal"), 2).alias("untaxed"), F.round(F.sum("tax"), 2).alias("tax_amount"),
         F.max(F.col("discount") > 0).alias("display_discount"))
