@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Mapping, Sequence
 from re import Pattern
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantledger.functions.text import scrub_times
+from plantledger.functions.trees import tree
 from plantledger.operators.ordering import number_rows
 from plantledger.sources.tables import stacked_counts
 
@@ -167,42 +167,39 @@ def drift_status(tables: DataFrame) -> DataFrame:
 
 
 LEAF = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "type", "value")]))
-TYPES = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
-
-
-def _leaves(text: str | None, volatile: Pattern) -> list[tuple[str, str, str]]:
-    """Every leaf of a document at any depth, without recursion."""
-    if text is None:
-        return []
-    try:
-        todo, found = [("$", json.loads(text))], []
-    except ValueError:
-        return [("$", "text", text)]
-    while todo:
-        path, node = todo.pop()
-        if isinstance(node, dict) and node:
-            todo += [(f"{path}.{k}", v) for k, v in node.items() if not volatile.search(k.lower())]
-            found += [(f"{path}.{k}", "volatile", "") for k in node if volatile.search(k.lower())]
-        elif isinstance(node, list) and node:
-            named = next((k for k in ELEMENT_KEYS if all(isinstance(e, dict) and isinstance(e.get(k), (str, int, float)) for e in node)), None)
-            todo += [(f"{path}[{named}={e[named]}]" if named else f"{path}[{i}]", e) for i, e in enumerate(node)]
-        else:
-            whole = isinstance(node, float) and node.is_integer()
-            found.append((path, TYPES[type(node)], node if isinstance(node, str) else json.dumps(int(node) if whole else node)))
-    return found
+
+
+def _erased(volatile: Sequence[str], suffix_only: bool) -> Pattern:
+    return re.compile("(" + "|".join(re.escape(fragment) for fragment in volatile) + ")" + ("$" if suffix_only else ""))
+
+
+def json_hash(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, suffix_only: bool = False) -> Column:
+    """Hash of a JSON text as a tree, the same for all texts without a difference in ``json_leaves``; NULL for NULL."""
+    erased = _erased(volatile, suffix_only)
+
+    def digest(document: str | None) -> str | None:
+        found = tree(document, erased, ELEMENT_KEYS)
+        return found.digest() if found else None
+
+    return F.coalesce(F.udf(digest, T.StringType(), useArrow=True)(text), F.concat(F.lit("text "), F.md5(scrub_times(text))))
 
 
 def json_leaves(text: Column, volatile: Sequence[str] = VOLATILE_KEYS, suffix_only: bool = False) -> Column:
-    """Array of (path, type, value) for every leaf of a JSON text, at any depth.
+    """Array of (path, type, value) for every leaf of a JSON text.
 
     Volatile keys keep their path and lose what they hold; a key is volatile if it contains one of the fragments
     anywhere, or ends with one under ``suffix_only``. Elements of a list of objects are named by the first
-    identifying field that all of them have instead of their position, so list order does not count. Empty objects and
-    lists are leaves. Text that is no JSON is one leaf of type ``text`` without its times.
+    identifying field that tells them apart, or else by their own hash, so list order does not count there; names that are not plain
+    words are quoted in a path. Empty objects and lists are leaves. Text that is no JSON, or has more than ``trees.DEEPEST``
+    levels, is one leaf of type ``text`` without its times.
     """
-    erased = re.compile("(" + "|".join(re.escape(fragment) for fragment in volatile) + ")" + ("$" if suffix_only else ""))
-    leaves = F.udf(lambda document: _leaves(document, erased), LEAF, useArrow=True)(text)
-    return F.transform(leaves, lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), F.when(
+    erased = _erased(volatile, suffix_only)
+
+    def leaves(document: str | None) -> list[tuple[str, str, str]]:
+        found = tree(document, erased, ELEMENT_KEYS)
+        return list(found.leaves()) if found else [] if document is None else [("$", "text", document)]
+
+    return F.transform(F.udf(leaves, LEAF, useArrow=True)(text), lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), F.when(
         x["type"] == "text", scrub_times(x["value"])).otherwise(x["value"]).alias("value")))
 
 
@@ -210,15 +207,20 @@ def json_diff(source: DataFrame, target: DataFrame, key: str, column: str,
               volatile: Sequence[str] = VOLATILE_KEYS, suffix_only: bool = False) -> DataFrame:
     """Paths added, removed or changed between two sets of JSON documents, with the types and values of both sides.
 
-    Documents are compared by the fingerprint of their sorted leaves; those that differ are taken apart and
-    their leaves compared as multisets: source counts one, target minus one, what does not cancel differs.
+    Three steps, each for what the one before has left: documents that are not equal as stored are compared by the hash of their trees; those
+    that still differ are taken apart and their leaves compared as multisets: source counts one, target minus
+    one, what does not cancel differs.
     """
-    leaves = json_leaves(F.col(column), volatile, suffix_only)
-    suspects = differing_keys(source.select(key, F.to_json(F.array_sort(leaves)).alias("_text")),
-                              target.select(key, F.to_json(F.array_sort(leaves)).alias("_text")), key, F.col("_text"))
+    text = F.col(column)
+    unequal = differing_keys(source, target, key, F.coalesce(F.concat(F.lit("="), text), F.lit("")))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.join(unequal, key, "left_semi").select(key, F.coalesce(json_hash(text, volatile, suffix_only), F.lit("")).alias("_tree"))
+
+    suspects = differing_keys(hashed(source), hashed(target), key, F.col("_tree"))
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        return df.join(suspects, key, "left_semi").select(key, F.inline(leaves)).withColumn("_sign", F.lit(sign))
+        return df.join(suspects, key, "left_semi").select(key, F.inline(json_leaves(text, volatile, suffix_only))).withColumn("_sign", F.lit(sign))
     net = (side(source, 1).unionByName(side(target, -1)).repartition(key, "path").groupBy(key, "path", "type", "value").agg(F.sum("_sign").alias("_net"))
            .filter(F.col("_net") != 0))
     pair = F.struct("type", "value")

@@ -390,11 +390,20 @@ def _deep(key, altered):
                     F.lit(f',"updated_at":"{"now" if altered else "then"}"' + "}}}}}"))
 
 
+def _odd(key, altered):
+    """Parts that look alike and are not: a name with a point, a repeated name, numbers no double holds, a name like an element; and
+    a list of objects in another order, which is the same."""
+    parts = [(139, '"p.q":1', '"p":{"q":1}'), (149, '"big":1e999', '"big":2e999'), (151, '"twice":1,"twice":2', '"twice":2'),
+             (157, '"at[0]":1', '"at":[1]'), (163, '"any":[{"v":1},{"v":2,"w":[]}]', '"any":[{"w":[],"v":2.0},{"v":1}]')]
+    return F.concat(*[F.when(key % every == 0, f",{b if altered else a}").otherwise("") for every, a, b in parts])
+
+
 def _with_deep(key, altered):
-    """The document with its deep part; a few are cut off and no JSON."""
+    """The document with its deep and its odd parts; a few are cut off and no JSON, or have too many levels."""
     cut = F.concat(F.lit('{"cut": '), key.cast("string"), F.lit(", " if altered else ""))
-    whole = F.concat(F.substring("doc", F.lit(1), F.length("doc") - 1), F.lit(","), "deep", F.lit("}"))
-    return F.when(key % 331 == 0, cut).otherwise(whole)
+    nested = F.concat(F.repeat(F.lit("["), F.lit(2_500)), key.cast("string"), F.repeat(F.lit("]"), F.lit(2_500 - altered)))
+    whole = F.concat(F.substring("doc", F.lit(1), F.length("doc") - 1), F.lit(","), "deep", _odd(key, altered), F.lit("}"))
+    return F.when(key % 331 == 0, cut).when(key % 337 == 0, nested).otherwise(whole)
 
 
 def _documents(spark, folder, altered):
@@ -419,19 +428,28 @@ def _documents(spark, folder, altered):
         _deep(key, True).alias("deep")).select("event_id", _with_deep(key, True).alias("doc"))
 
 
-@job("""WITH n AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+@job("""WITH n AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 331 > 0 AND event_id % 337 > 0)
 SELECT event_id, '$.k' AS path, 'changed' AS status, 'number' AS source_type, 'number' AS target_type,
   CAST(k AS VARCHAR) AS source_value, CAST(k + 1 AS VARCHAR) AS target_value
-FROM n WHERE event_id % 103 = 0 AND event_id % 331 > 0
-UNION ALL SELECT event_id, '$.type', 'removed', 'string', '', event_type, '' FROM n WHERE event_id % 107 = 0 AND event_id % 331 > 0
-UNION ALL SELECT event_id, '$.extra', 'added', '', 'string', '', 'x' FROM n WHERE event_id % 109 = 0 AND event_id % 331 > 0
+FROM n WHERE event_id % 103 = 0
+UNION ALL SELECT event_id, '$.type', 'removed', 'string', '', event_type, '' FROM n WHERE event_id % 107 = 0
+UNION ALL SELECT event_id, '$.extra', 'added', '', 'string', '', 'x' FROM n WHERE event_id % 109 = 0
 UNION ALL SELECT event_id, '$.rolls[roll_id=R2].w', 'changed', 'number', 'number', CAST(event_id * 2 AS VARCHAR), CAST(event_id * 2 + 1 AS VARCHAR)
-FROM n WHERE event_id % 113 = 0 AND event_id % 331 > 0
+FROM n WHERE event_id % 113 = 0
 UNION ALL SELECT event_id, '$.deep.a.b.c.d.n', 'changed', 'number', 'string', CAST(event_id AS VARCHAR), CAST(event_id AS VARCHAR)
-FROM n WHERE event_id % 127 = 0 AND event_id % 331 > 0
-UNION ALL SELECT event_id, '$.deep.a.b.c.d.on', 'changed', 'boolean', 'string', 'true', 'true' FROM n WHERE event_id % 131 = 0 AND event_id % 331 > 0
-UNION ALL SELECT event_id, '$.deep.a.b.none', 'removed', 'array', '', '[]', '' FROM n WHERE event_id % 137 = 0 AND event_id % 331 > 0
-UNION ALL SELECT event_id, '$', 'changed', 'text', 'text', '{"cut": ' || event_id, '{"cut": ' || event_id || ',' FROM n WHERE event_id % 331 = 0""")
+FROM n WHERE event_id % 127 = 0
+UNION ALL SELECT event_id, '$.deep.a.b.c.d.on', 'changed', 'boolean', 'string', 'true', 'true' FROM n WHERE event_id % 131 = 0
+UNION ALL SELECT event_id, '$.deep.a.b.none', 'removed', 'array', '', '[]', '' FROM n WHERE event_id % 137 = 0
+UNION ALL SELECT event_id, '$', 'changed', 'text', 'text', '{"cut": ' || event_id, '{"cut": ' || event_id || ',' FROM events WHERE event_id % 331 = 0
+UNION ALL SELECT event_id, '$', 'changed', 'text', 'text', repeat('[', 2500) || event_id || repeat(']', 2500), repeat('[', 2500) || event_id || repeat(']', 2499)
+FROM events WHERE event_id % 337 = 0 AND event_id % 331 > 0
+UNION ALL SELECT event_id, unnest(['$["p.q"]', '$.p.q']), unnest(['removed', 'added']), unnest(['number', '']), unnest(['', 'number']), unnest(['1', '']), unnest(['', '1'])
+FROM n WHERE event_id % 139 = 0
+UNION ALL SELECT event_id, '$.big', 'changed', 'number', 'number', '1e999', '2e999' FROM n WHERE event_id % 149 = 0
+UNION ALL SELECT event_id, unnest(['$.twice', '$.twice(2)']), unnest(['changed', 'removed']), 'number', unnest(['number', '']), unnest(['1', '2']), unnest(['2', ''])
+FROM n WHERE event_id % 151 = 0
+UNION ALL SELECT event_id, unnest(['$["at[0]"]', '$.at[0]']), unnest(['removed', 'added']), unnest(['number', '']), unnest(['', 'number']), unnest(['1', '']), unnest(['', '1'])
+FROM n WHERE event_id % 157 = 0""")
 def q_json_diff(spark, folder):
     return parity.json_diff(_documents(spark, folder, False), _documents(spark, folder, True), "event_id", "doc")
 

@@ -83,6 +83,50 @@ def test_json_at_any_depth_and_by_type(spark, rows):
     assert diff("at 2024-01-02T03:04:05Z", "at 2025-01-02T03:04:05Z") == [] and diff("1", "1.0") == []
 
 
+def paths(spark, a, b):
+    one, other = (spark.createDataFrame([(1, x)], "k int, doc string") for x in (a, b))
+    return parity.json_diff(one, other, "k", "doc").select("path", "status", "source_value", "target_value")
+
+
+def test_json_paths_tell_places_and_numbers_apart(spark, rows):
+    def diff(a, b):
+        return rows(paths(spark, a, b))
+    assert diff('{"a.b":1}', '{"a":{"b":1}}') == [("$.a.b", "added", "", "1"), ('$["a.b"]', "removed", "1", "")]
+    assert diff('{"a":[1]}', '{"a[0]":1}') == [("$.a[0]", "removed", "1", ""), ('$["a[0]"]', "added", "", "1")]
+    assert diff('{"a":1,"a":2}', '{"a":2}') == [("$.a", "changed", "1", "2"), ("$.a(2)", "removed", "2", "")]
+    assert diff('{"a":1e999}', '{"a":2e999}') == [("$.a", "changed", "1e999", "2e999")]
+    assert diff('{"a":[1.0,100,-0.50,1e2,0e9,12345678901234567890123]}', '{"a":[10e-1,1E2,-5e-1,100.00,0,12345678901234567890123.0]}') == []
+    assert diff('{"a":12345678901234567890123}', '{"a":12345678901234567890124}') != [] and diff('{"a":1e99999999999999999999}', '{"a":2e99999999999999999999}') != []
+    assert diff("null", "null ") == [] and diff("null", '"null"') == [("$", "changed", "null", "null")]
+
+
+def test_json_lists_of_objects_without_a_name_are_multisets(spark, rows):
+    def diff(a, b):
+        return rows(paths(spark, json.dumps(a), json.dumps(b)))
+    assert diff([{"w": 1}, {"w": 2, "l": [{"x": 1}, {"x": 2}]}], [{"l": [{"x": 2}, {"x": 1}], "w": 2}, {"w": 1}]) == []
+    gone, = diff([{"w": 1}, {"w": 1}, {"w": 2}], [{"w": 2}, {"w": 1}])
+    assert gone[1:] == ("removed", "1", "") and gone[0].startswith("$[*")
+    # the same leaves, dealt to the elements in another way
+    assert len(diff([{"a": 1, "b": 1}, {"a": 2, "b": 2}], [{"a": 1, "b": 2}, {"a": 2, "b": 1}])) == 8
+    assert len(diff([{"id": 1, "a": 1, "b": 1}, {"id": 1, "a": 2, "b": 2}], [{"id": 1, "a": 1, "b": 2}, {"id": 1, "a": 2, "b": 1}])) > 0
+    assert diff([{"id": "5", "v": 1}, {"id": 5, "v": 2}], [{"id": 5, "v": 2}, {"id": "5", "v": 3}]) == [('$[id="5"].v', "changed", "1", "3")]
+    assert diff([1, 2], [2, 1]) == [("$[0]", "changed", "1", "2"), ("$[1]", "changed", "2", "1")]
+
+
+def test_deep_json_is_one_leaf(spark, rows):
+    deep = "[" * 200_000 + "]" * 200_000
+    assert rows(paths(spark, deep, deep + " ")) == []
+    (path, status, a, b), = rows(paths(spark, deep, "[" * 3_000 + "1" + "]" * 3_000))
+    assert (path, status, len(a), len(b)) == ("$", "changed", 400_000, 6_001)
+    assert rows(paths(spark, "[" * 1_900 + "1" + "]" * 1_900, "[" * 1_900 + "2" + "]" * 1_900)) == [("$" + "[0]" * 1_900, "changed", "1", "2")]
+
+
+def test_json_null_and_missing_documents(spark, rows):
+    a = spark.createDataFrame([(1, None), (2, '{"x":1}'), (3, "{}")], "k int, doc string")
+    b = spark.createDataFrame([(1, None), (2, None), (4, "[]")], "k int, doc string")
+    assert rows(parity.json_diff(a, b, "k", "doc"), "k", "path", "status") == [(2, "$.x", "removed"), (3, "$", "removed"), (4, "$", "added")]
+
+
 def test_text_patch_twice_changes_nothing(spark, rows):
     rules = [X.Rule("price", r"p_retailprice(?!_net)", "p_retailprice_net"), X.Rule("brand", "Brand#([0-9])", "Brand-$1")]
     df = spark.createDataFrame([(1, "p_retailprice"), (2, "p_retailprice_net"), (3, "Brand#1")], "id int, t string")
