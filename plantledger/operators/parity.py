@@ -80,7 +80,7 @@ def differing_keys(source: DataFrame, target: DataFrame, key: str, text: Column)
     return sums.filter((F.col("_n") != 0) | (F.col("_h1") != 0) | (F.col("_h2") != 0)).select(key)
 
 
-def _row_text(df: DataFrame, columns: Sequence[str]) -> Column:
+def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
     """The row as text that tells all values apart: columns in name order, each value with its length, ``-`` for NULL."""
     def field(name: str) -> Column:
         value = F.col(name)
@@ -99,10 +99,10 @@ def row_diff(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     which adaptive execution can make untrue.)
     """
     columns = [c for c in source.columns if c != key and c in target.columns]
-    suspects = differing_keys(source, target, key, _row_text(source, columns))
+    suspects = differing_keys(source, target, key, row_text(source, columns))
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        return df.join(suspects, key, "left_semi").select(key, F.md5(_row_text(df, columns)).alias("_row"), F.lit(sign).alias("_sign"),
+        return df.join(suspects, key, "left_semi").select(key, F.md5(row_text(df, columns)).alias("_row"), F.lit(sign).alias("_sign"),
                                                           F.struct(*_as_text(df, columns)).alias("_cells"))
     net = (side(source, 1).unionByName(side(target, -1)).repartition(key, "_row").groupBy(key, "_row")
            .agg(F.sum("_sign").alias("_net"), F.first("_cells").alias("_cells")).filter(F.col("_net") != 0))
@@ -135,7 +135,7 @@ def window_parity(
     time make one row ``(no time)``.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(ts, F.col(value).cast("decimal(18,4)").alias("_v"), fingerprint(_row_text(df, columns or df.columns))[0].alias("_h"))
+        rows = df.select(ts, F.col(value).cast("decimal(18,4)").alias("_v"), fingerprint(row_text(df, columns or df.columns))[0].alias("_h"))
         totals = (F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_v"), F.sum("_h").alias("_h"))
         steps = rows.groupBy(F.window(ts, slide).getField("start").alias("_step")).agg(*totals)
         timed = steps.groupBy(F.window("_step", window, slide).getField("start").alias("_start")).agg(

@@ -351,9 +351,8 @@ windows AS (
   FROM spread GROUP BY start_s)"""
 
 
-@job(f"WITH {WINDOWS_SQL} SELECT * FROM windows")
-def q_window_parity(spark, folder):
-    """Differences in the value, in the time within its window, in props, and NULL against the text NULL; some rows have no time."""
+def parity_sides(spark, folder):
+    """events and a copy: differences in the value, in the time within its window, in props, and NULL against the text NULL; some rows have no time."""
     key = F.col("event_id")
 
     def typed(df):
@@ -362,7 +361,12 @@ def q_window_parity(spark, folder):
     target = typed(_altered_events(spark, folder)).withColumns({
         "ts": F.when(key % 107 == 0, F.col("ts") + F.expr("INTERVAL '0.000001' SECOND")).otherwise(F.col("ts")),
         "props": F.when(key % 113 == 0, F.when(key % 109 != 0, "NULL")).otherwise(F.when(key % 109 != 0, F.col("props")))})
-    return parity.window_parity(source, target, "ts", "value")
+    return source, target
+
+
+@job(f"WITH {WINDOWS_SQL} SELECT * FROM windows")
+def q_window_parity(spark, folder):
+    return parity.window_parity(*parity_sides(spark, folder), "ts", "value")
 
 
 @job(f"""WITH {WINDOWS_SQL},

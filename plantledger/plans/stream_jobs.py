@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from plantledger.plans.proof_jobs import WINDOWS_SQL, parity_sides
 from plantledger.plans.registry import job
 from plantledger.session import fresh_path
 from plantledger.sources import standins as S
 from plantledger.sources.tables import table
 from plantledger.streaming import replicate as R
 from plantledger.streaming import watch as watching
+from plantledger.streaming.windows import read_windows, window_parity_stream
 
 SLICES = 3
 #: Rows of a file of the feed, and files a micro-batch takes; both bound a micro-batch whatever the table holds.
@@ -27,19 +29,31 @@ def _spanned(rows, time):
     return rows.withColumn("slice", F.coalesce(F.floor((at - low) * SLICES / (high - low + 1)), F.lit(0)).cast("int")), low, high
 
 
-def _in_slices(spark, feed, key, run, slices=SLICES):
-    """Write the feed slice by slice; after each, ``run`` takes the stream up where it had stopped.
+def _in_slices(spark, feeds, key, run, slices=SLICES):
+    """Write the feeds slice by slice; after each slice ``run`` takes their streams up where it had stopped.
 
     The rows of a key stand in one file of a slice, and so reach one micro-batch.
     """
-    path = fresh_path(spark, "feed")
-    schema = feed.drop("slice").schema
-    sizes = dict(feed.groupBy("slice").count().collect())
+    paths = [fresh_path(spark, "feed") for _ in feeds]
+    sizes = [dict(feed.groupBy("slice").count().collect()) for feed in feeds]
     for i in range(slices):
-        files = max(1, -(-sizes.get(i, 0) // FILE_ROWS))
-        feed.filter(F.col("slice") == i).drop("slice").repartition(files, key).write.parquet(f"{path}/part={i}")
-        run(spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/part=*"))
-    return schema
+        for feed, path, size in zip(feeds, paths, sizes):
+            files = max(1, -(-size.get(i, 0) // FILE_ROWS))
+            feed.filter(F.col("slice") == i).drop("slice").repartition(files, key).write.parquet(f"{path}/part={i}")
+        run(*(spark.readStream.schema(feed.drop("slice").schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/part=*") for feed, path in zip(feeds, paths)))
+
+
+def _with_late_rows(spark, rows, key, time):
+    """The rows as a feed in which some come a slice late, closed by a poll that moves the watermark behind the last row;
+    and the lateness, in seconds, that allows for it."""
+    feed, low, high = _spanned(rows, time)
+    late = F.least(F.col("slice") + 1, F.lit(SLICES - 1))
+    feed = feed.withColumn("slice", F.when(F.col(key) % 29 == 0, late).otherwise(F.col("slice")))
+    lateness = 2 * (high - low) // SLICES // 1_000_000 + 1
+    polled = F.timestamp_micros(F.lit((high // 1000 + 1) * 1000 + lateness * 1_000_000)).cast("timestamp_ntz")
+    poll = spark.range(1).select(*(F.lit(None).cast(kind).alias(c) for c, kind in feed.drop("slice").dtypes if c != time),
+                                 polled.alias(time)).withColumn("slice", F.lit(SLICES))
+    return feed.unionByName(poll), lateness
 
 
 def _replicated(spark, folder, policy):
@@ -48,8 +62,8 @@ def _replicated(spark, folder, policy):
     order = ["changed_at", "event_id"]
     feed, _, _ = _spanned(table(spark, folder, "events"), "ts")
     feed = feed.withColumn("changed_at", F.when(F.col("event_id") % 97 != 0, F.date_trunc("minute", "ts").cast("timestamp_ntz")))
-    schema = _in_slices(spark, feed, "user_id", lambda stream: R.replicate(stream, path, ["user_id"], order, policy))
-    current = R.read_table(spark, path, schema, ["user_id"], order, policy)
+    _in_slices(spark, [feed], "user_id", lambda stream: R.replicate(stream, path, ["user_id"], order, policy))
+    current = R.read_table(spark, path, feed.drop("slice").schema, ["user_id"], order, policy)
     return current.withColumn("changed_at", F.coalesce(F.date_format("changed_at", "yyyy-MM-dd HH:mm"), F.lit("")))
 
 
@@ -116,15 +130,84 @@ WHERE seen + {SILENCE}000000 <= coalesce(next_at, polled)"""
 def q_state_watch(spark, folder):
     """Some rows come a slice late, which the stated lateness allows for; a poll at the end moves the watermark behind the last row."""
     events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    feed, low, high = _spanned(events, "ts")
-    late = F.least(F.col("slice") + 1, F.lit(SLICES - 1))
-    feed = feed.withColumn("slice", F.when(F.col("event_id") % 29 == 0, late).otherwise(F.col("slice")))
-    lateness = 2 * (high - low) // SLICES // 1_000_000 + 1
-    polled = (high // 1000 + 1) * 1000 + lateness * 1_000_000
-    poll = spark.range(1).select(*(F.lit(None).cast(kind).alias(c) for c, kind in feed.drop("slice").dtypes if c != "ts"),
-                                 F.timestamp_micros(F.lit(polled)).cast("timestamp_ntz").alias("ts")).withColumn("slice", F.lit(SLICES))
+    feed, lateness = _with_late_rows(spark, events, "event_id", "ts")
     path = fresh_path(spark, "watch")
-    schema = _in_slices(spark, feed.unionByName(poll), "user_id", lambda stream: watching.watch(
+    _in_slices(spark, [feed], "user_id", lambda stream: watching.watch(
         stream, path, "user_id", "ts", ["event_id"], ["event_type", "value"], f"{lateness} seconds", SILENCE), SLICES + 1)
     text = [StructField(c, StringType()) for c in ("field", "old_value", "new_value")]
-    return watching.read_changes(spark, path, StructType([schema["user_id"], schema["event_id"], *text]))
+    return watching.read_changes(spark, path, StructType([feed.schema["user_id"], feed.schema["event_id"], *text]))
+
+
+@job(f"WITH {WINDOWS_SQL} SELECT * FROM windows")
+def q_window_parity_stream(spark, folder):
+    """The sides of ``q_window_parity`` as two streams whose rows come late now and then; the last poll stands two windows behind the last row."""
+    sides = parity_sides(spark, folder)
+    feeds, latenesses = zip(*(_with_late_rows(spark, side, "event_id", "ts") for side in sides))
+    lateness = max(latenesses)
+    last = F.when(F.col("event_id").isNull(), F.col("ts") + F.expr(f"INTERVAL {lateness + 1200} SECONDS")).otherwise(F.col("ts"))
+    path = fresh_path(spark, "windows")
+    _in_slices(spark, [feed.withColumn("ts", last) for feed in feeds], "event_id", lambda source, target: window_parity_stream(
+        source, target, path, "event_id", "ts", "value", f"{lateness} seconds"), SLICES + 1)
+    return read_windows(spark, path)
+
+
+#: What each table of the cycle shows of a row; the same text on both sides.
+SHOWN = {
+    "events": "event_id || '|' || user_id || '|' || event_type || '|' || CAST(CAST(value AS DECIMAL(18,2)) AS {text}) || '|' || coalesce(props, '-') || '|' || CAST(ts AS {text})",
+    "orders": "o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {text}) || '|' || CAST(o_orderdate AS {text}) || '|' || o_orderpriority",
+    "customer": "c_custkey || '|' || c_name || '|' || c_nationkey || '|' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS {text}) || '|' || c_mktsegment",
+}
+CYCLE_SQL = f"""ev AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {SLICES} // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS slice FROM events),
+od AS (SELECT *, (epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) OVER ()) * {SLICES} // (max(epoch_us(o_orderdate)) OVER () - min(epoch_us(o_orderdate)) OVER () + 1) AS slice
+  FROM orders),
+cu AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal + n AS c_acctbal, c_mktsegment, n AS slice FROM customer, range({SLICES}) AS cycles(n) WHERE c_custkey % 10 >= n)"""
+
+
+def _cycles(spark, folder):
+    """Three tables in one cycle, run once per slice: events by the newest version per user, orders by the first that arrived per customer, and customer,
+    which has no watermark, anew each time, other balances and some customers gone. A fourth cannot be read and fails."""
+    path, keys = fresh_path(spark, "cycle"), {"events": ["user_id"], "orders": ["o_custkey"], "customer": ["c_custkey"]}
+    events, _, _ = _spanned(table(spark, folder, "events"), "ts")
+    orders, _, _ = _spanned(table(spark, folder, "orders"), "o_orderdate")
+    customer = table(spark, folder, "customer")
+    number, done = iter(range(SLICES)), []
+
+    def run(event_stream, order_stream):
+        n = next(number)
+        now = customer.filter(F.col("c_custkey") % 10 >= n).withColumn("c_acctbal", F.col("c_acctbal") + n)
+        replicas = [R.Replica("events", lambda: event_stream, keys["events"], ["ts", "event_id"]),
+                    R.Replica("orders", lambda: order_stream, keys["orders"], ["o_orderdate", "o_orderkey"], "skip"),
+                    R.Replica("customer", lambda: now, keys["customer"], policy="refresh"),
+                    R.Replica("closed", lambda: event_stream.select("closed_at"), ["user_id"], ["closed_at"])]
+        done[:] = replicas, R.cycle(spark, replicas, path, n)
+
+    # Of a slice each customer's orders and each user's events reach one micro-batch.
+    feeds = [events.withColumn("_deal", F.col("user_id")), orders.withColumn("_deal", F.col("o_custkey"))]
+    _in_slices(spark, feeds, "_deal", lambda e, o: run(e.drop("_deal"), o.drop("_deal")))
+    return path, *done
+
+
+@job(f"""WITH {CYCLE_SQL},
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM ev),
+o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY slice, o_orderdate, o_orderkey) AS n FROM od)
+SELECT 'events' AS table_name, {SHOWN["events"].format(text="VARCHAR")} AS body FROM e WHERE n = 1
+UNION ALL SELECT 'orders', {SHOWN["orders"].format(text="VARCHAR")} FROM o WHERE n = 1
+UNION ALL SELECT 'customer', {SHOWN["customer"].format(text="VARCHAR")} FROM cu WHERE slice = {SLICES - 1}""")
+def q_replicate_tables(spark, folder):
+    path, replicas, _ = _cycles(spark, folder)
+    found = [R.replica_rows(spark, r, path, table(spark, folder, r.name).schema, SLICES - 1).select(
+        F.lit(r.name).alias("table_name"), F.expr(SHOWN[r.name].format(text="STRING")).alias("body")) for r in replicas if r.name in SHOWN]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@job(f"""WITH {CYCLE_SQL}
+SELECT 'events' AS table_name, 'ok' AS status, count(*) FILTER (WHERE slice = {SLICES - 1}) AS rows_last, count(*) AS rows_total, 0::BIGINT AS deleted,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS watermark FROM ev
+UNION ALL SELECT 'orders', 'ok', count(*) FILTER (WHERE slice = {SLICES - 1}), count(*), 0, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM od
+UNION ALL SELECT 'customer', 'ok', count(*) FILTER (WHERE slice = {SLICES - 1}), count(*),
+  count(*) FILTER (WHERE slice = {SLICES - 2}) - count(*) FILTER (WHERE slice = {SLICES - 1}), '' FROM cu
+UNION ALL SELECT 'closed', 'failed', 0, 0, 0, ''""")
+def q_replication_state(spark, folder):
+    _, _, state = _cycles(spark, folder)
+    return state.select("table_name", "status", "rows_last", "rows_total", "deleted",
+                        F.coalesce(F.date_format(F.col("watermark").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("watermark"))

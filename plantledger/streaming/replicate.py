@@ -8,7 +8,9 @@ new base from time to time, so a batch costs its own rows and not those of the w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -82,26 +84,89 @@ def state(spark: SparkSession, path: str) -> DataFrame:
                     F.sum("rows_last").alias("rows_total"))
 
 
-def full_refresh(source: DataFrame, path: str) -> None:
-    """Tables without a watermark are written anew each cycle, which also carries deletes over."""
-    source.write.mode("overwrite").parquet(path)
-
-
 def deleted_keys(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys the target still has and the source has lost."""
     return target.select(*keys).join(source.select(*keys), list(keys), "left_anti")
 
 
-def cycle(jobs: dict[str, object]) -> list[tuple[str, str]]:
-    """Run one replication job per table; a failing table is reported and the others still run."""
-    outcome = []
-    for name, run in jobs.items():
+class Replica(NamedTuple):
+    """One table of a cycle: ``read`` gives its stream, or under the policy ``refresh``, for tables without a watermark, all its rows.
+
+    ``order`` is the watermark and what tells its ties apart.
+    """
+
+    name: str
+    read: Callable[[], DataFrame]
+    keys: Sequence[str]
+    order: Sequence[str] = ()
+    policy: str = "update"
+
+
+STATE = "table_name string, status string, error string, rows_last bigint, rows_total bigint, deleted bigint, watermark string"
+CYCLE = "_cycle"
+
+
+def _table_state(spark: SparkSession, path: str) -> tuple[int, int, int, str | None]:
+    found = state(spark, path).first()
+    return found["rows_last"] or 0, found["rows_total"] or 0, 0, found["last_watermark"]
+
+
+def _refreshed(spark: SparkSession, replica: Replica, path: str, number: int, before: int | None) -> tuple[int, int, int, str | None]:
+    """All rows of the source as the next snapshot; readers go on with the last one until the cycle's state names this one.
+
+    The key is compared with the snapshot of cycle ``before``, so what the source has lost is counted and is gone.
+    """
+    seen, source = Observation(), replica.read()
+    source.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/rows/{CYCLE}={number}")
+    taken = spark.read.schema(source.schema).parquet(f"{path}/rows/{CYCLE}={number}")
+    lost = 0 if before is None else deleted_keys(taken, spark.read.schema(source.schema).parquet(f"{path}/rows/{CYCLE}={before}"), replica.keys).count()
+    rows = seen.get["rows"]
+    return rows, rows, lost, None
+
+
+def cycle(spark: SparkSession, replicas: Sequence[Replica], path: str, number: int, at_once: int = 4) -> DataFrame:
+    """Replicate all tables once, side by side, into folders below ``path``; one state row per table, also kept there.
+
+    Each table is a query of its own with its own key, watermark, policy and checkpoint, so one that fails is
+    told in its row and the others complete. ``rows_last`` are the rows of this cycle's last batch, ``rows_total``
+    those of all cycles, both counted while they were written; a cycle that runs again replaces its state.
+    """
+    earlier = {r["table_name"]: r for r in states(spark, path, number - 1).collect()} if number else {}  # one row per table
+
+    def run(replica: Replica) -> tuple:
+        own, last = f"{path}/{replica.name}", earlier.get(replica.name)
+        done, total = (last["snapshot"], last["rows_total"]) if last else (None, 0)
         try:
-            run()
-            outcome.append((name, "ok"))
+            if replica.policy == "refresh":
+                rows, more, lost, watermark = _refreshed(spark, replica, own, number, done)
+                return replica.name, "ok", "", rows, total + more, lost, watermark, number
+            replicate(replica.read(), own, replica.keys, replica.order, replica.policy)
+            return replica.name, "ok", "", *_table_state(spark, own), None
         except Exception as error:  # noqa: BLE001
-            outcome.append((name, f"failed: {type(error).__name__}: {error}"))
-    return outcome
+            kept = last["watermark"] if last else None
+            return replica.name, "failed", f"{type(error).__name__}: {error}", 0, total, 0, kept, done
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(run, replicas))
+    found = spark.createDataFrame(rows, f"{STATE}, snapshot int")
+    found.coalesce(1).write.mode("overwrite").parquet(f"{path}/state/{CYCLE}={number}")
+    return states(spark, path, number)
+
+
+def states(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The state rows of one cycle; ``snapshot`` is the cycle that a refreshed table was last complete in."""
+    return spark.read.schema(f"{STATE}, snapshot int").parquet(f"{path}/state/{CYCLE}={number}")
+
+
+def replica_rows(spark: SparkSession, replica: Replica, path: str, schema: StructType, number: int) -> DataFrame:
+    """Current rows of a replicated table after cycle ``number``; none for a table that was never complete."""
+    own = f"{path}/{replica.name}"
+    if replica.policy != "refresh":
+        return read_table(spark, own, schema, replica.keys, replica.order, replica.policy)
+    row = states(spark, path, number).filter(F.col("table_name") == replica.name).first()
+    if row is None or row["snapshot"] is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{own}/rows/{CYCLE}={row['snapshot']}")
 
 
 def replication_lag(source: DataFrame, target: DataFrame, table_column: str, watermark: str, limit_s: int = 90) -> DataFrame:
