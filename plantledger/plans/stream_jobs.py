@@ -8,6 +8,7 @@ from plantledger.plans.registry import job
 from plantledger.session import fresh_path
 from plantledger.sources import standins as S
 from plantledger.sources.tables import table
+from plantledger.streaming import queue
 from plantledger.streaming import replicate as R
 from plantledger.streaming import watch as watching
 from plantledger.streaming.windows import read_windows, window_parity_stream
@@ -94,14 +95,34 @@ def q_replication_lag(spark, folder):
     return R.replication_lag(events, copied, "event_type", "ts")
 
 
-@job("""SELECT entity, arg_max(job_id, job_id) AS job_id, arg_max(status, job_id) AS status, arg_max(retries, job_id) AS retries,
+QUEUE_SQL = """SELECT entity, arg_max(job_id, job_id) AS job_id, arg_max(status, job_id) AS status, arg_max(retries, job_id) AS retries,
   strftime(arg_max(updated_at, job_id), '%Y-%m-%d %H:%M:%S') AS updated_at, arg_max(status, job_id) IN ('done', 'permanently_failed') AS terminal
-FROM queue GROUP BY entity""", "queue")
+FROM queue GROUP BY entity"""
+
+
+@job(QUEUE_SQL, "queue")
 def q_queue_state(spark, folder):
     state = R.queue_state(S.queue(spark, folder))
     return state.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+#: A job that has not moved for so many seconds is over or stalled.
+QUEUE_TIMEOUT = 86_400
+
+
+@job(QUEUE_SQL.replace("\nFROM", """,
+  arg_max(status, job_id) NOT IN ('done', 'permanently_failed') AND arg_max(epoch_us(updated_at), job_id) + 86400000000
+    <= (SELECT (max(epoch_us(updated_at)) // 1000 + 1) * 1000 FROM queue) AS stalled\nFROM"""), "queue")
+def q_queue_stream(spark, folder):
+    """The rows of ``q_queue_state`` from a stream in which some jobs come a slice late; a finished entity leaves the state after a day."""
+    jobs = S.queue(spark, folder)
+    feed, lateness = _with_late_rows(spark, jobs, "job_id", "updated_at")
+    path = fresh_path(spark, "queue")
+    _in_slices(spark, [feed], "entity", lambda stream: queue.follow(stream, path, f"{lateness} seconds", QUEUE_TIMEOUT), SLICES + 1)
+    state = queue.current(spark, path, dict(jobs.dtypes)["entity"])
+    return state.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 DELTAS_SQL = """WITH p AS (
   SELECT user_id, event_id, event_type, CAST(value AS VARCHAR) AS value, lag(event_type) OVER w AS type_before,
     lag(CAST(value AS VARCHAR)) OVER w AS value_before, lag(event_id) OVER w AS id_before

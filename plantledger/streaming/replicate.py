@@ -20,6 +20,8 @@ from plantledger.operators.ordering import latest
 
 BATCH = "_batch"
 POLICIES = ("update", "skip")
+#: States in which a job has come to an end.
+TERMINAL = ("done", "permanently_failed")
 
 
 def replicate(
@@ -191,4 +193,4 @@ def replication_lag(source: DataFrame, target: DataFrame, table_column: str, wat
 def queue_state(jobs: DataFrame) -> DataFrame:
     """Latest job per entity and whether it has come to an end. ``jobs``: job_id, entity, status, retries, updated_at."""
     last = latest(jobs, ["entity"], ["job_id"])
-    return last.withColumn("terminal", F.col("status").isin("done", "permanently_failed"))
+    return last.withColumn("terminal", F.col("status").isin(*TERMINAL))

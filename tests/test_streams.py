@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plantledger.operators.ordering import latest
 from plantledger.streaming import replicate as R
 from plantledger.operators import parity
-from plantledger.streaming import watch, windows
+from plantledger.streaming import queue, watch, windows
 
 ORDER = ["ts", "id"]
 
@@ -173,3 +173,24 @@ def test_window_parity_of_streams_equals_the_tables(spark, tmp_path):
         windows.window_parity_stream(*streams, out, "id", "ts", "v", "12000 seconds")
     want = parity.window_parity(df, other, "ts", "v")
     assert sorted(map(tuple, windows.read_windows(spark, out).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_queue_state_leaves_with_the_last_word(spark, tmp_path):
+    schema = "job_id long, entity string, status string, retries int, updated_at timestamp"
+
+    def deliver(n, *given):
+        spark.createDataFrame(given, "job_id long, entity string, status string, retries int, s int").select(
+            "job_id", "entity", "status", "retries", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("updated_at")).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        queue.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/part=*"), str(tmp_path / "out"), "10 seconds", 100)
+        found = {r.entity: (r.job_id, r.status, r.retries, r.terminal, r.stalled) for r in queue.current(spark, str(tmp_path / "out"), "string").collect()}
+        assert spark.read.parquet(str(tmp_path / "out/changes")).count() == changes[n]
+        return found
+
+    changes = [2, 4, 5, 6]
+    assert deliver(0, (1, "a", "pending", 0, 0), (2, "b", "done", 1, 5)) == {"a": (1, "pending", 0, False, False), "b": (2, "done", 1, True, False)}
+    # an older job of a that comes late changes nothing
+    assert deliver(1, (0, "a", "done", 9, 1), (4, "a", "permanently_failed", 3, 30), (5, "c", "pending", None, 30), (None, None, None, None, 50))["a"] == (4, "permanently_failed", 3, True, False)
+    # all are over their time: a and b leave, c is told as stalled
+    assert deliver(2, (None, None, None, None, 500))["c"] == (5, "pending", None, False, True)
+    # b is back with a new job
+    assert deliver(3, (9, "b", "pending", 0, 600))["b"] == (9, "pending", 0, False, False)
