@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from plantledger.operators.ordering import latest
+from plantledger.sources import versions
 
 
 def negative_stock(quants: DataFrame, locations: DataFrame, kits: DataFrame) -> DataFrame:
@@ -28,25 +30,32 @@ def zero_adjustments(negatives: DataFrame) -> DataFrame:
                      F.col("quantity").cast("double").alias("quantity")))
 
 
-def kit_flip(boms: DataFrame, marker: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Recipes with phantom ones turned normal, and the marker of the touched ids.
+MARKED = StructType([StructField("product_id", LongType()), StructField("old_type", StringType())])
 
-    Refuses while a marker from an earlier flip exists, since it would lose those ids.
-    """
-    if marker is not None and not marker.isEmpty():
-        raise ValueError("a marker of flipped recipes exists; restore it first")
-    phantom = F.col("bom_type") == "phantom"
-    flipped = boms.withColumn("old_type", F.col("bom_type")).withColumn(
-        "bom_type", F.when(phantom, "normal").otherwise(F.col("bom_type")))
-    return flipped, boms.filter(phantom).select("product_id")
 
+def kit_flip(boms: DataFrame, markers: str, run_id: str) -> DataFrame:
+    """Recipes with phantom ones turned normal; the touched ids are recorded at ``markers`` first.
 
-def kit_restore(boms: DataFrame, marker: DataFrame) -> DataFrame:
-    """Outcome of a restore per marked id: flipped back, already phantom, or missing."""
-    current = boms.select("product_id", F.col("bom_type").alias("_type"))
-    joined = marker.join(current, "product_id", "left")
-    return joined.select("product_id", F.when(F.col("_type").isNull(), "missing")
-                         .when(F.col("_type") == "normal", "flipped").otherwise("already").alias("outcome"))
+    Refuses while a marker of an earlier flip is open, since it would lose those ids.
+    """
+    if not versions.open_entries(boms.sparkSession, markers, MARKED, ["product_id"]).isEmpty():
+        raise ValueError("a marker of flipped recipes is open; restore it first")
+    phantom = F.col("bom_type") == "phantom"
+    versions.record(boms.filter(phantom).select(F.col("product_id").cast("bigint").alias("product_id"), F.col("bom_type").alias("old_type")), markers, run_id)
+    return boms.withColumn("old_type", F.col("bom_type")).withColumn("bom_type", F.when(phantom, "normal").otherwise(F.col("bom_type")))
+
+
+def kit_restore(boms: DataFrame, markers: str, run_id: str) -> DataFrame:
+    """Outcome of a restore per open marker: flipped back, already phantom, or missing. The markers are closed by this run, so a
+    second restore finds none; the outcomes are kept as the log of the run and read from there."""
+    spark, current = boms.sparkSession, boms.select("product_id", F.col("bom_type").alias("_type"))
+    open_ = versions.open_entries(spark, markers, MARKED, ["product_id"])
+    outcome = F.when(F.col("_type").isNull(), "missing").when(F.col("_type") == "normal", "flipped").otherwise("already")
+    log = open_.join(current, "product_id", "left").select(F.col(versions.RUN).alias("marked_by"), "product_id", outcome.alias("outcome"))
+    versions.record(log, f"{markers}/log", run_id)
+    told = versions.entries(spark, f"{markers}/log", log.schema, run_id)
+    versions.retire(told.select(F.col("marked_by").alias(versions.RUN), "product_id"), markers, ["product_id"], run_id)
+    return told.select("product_id", "outcome")
 
 
 def onhand_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,12 @@ def _typed(name: str, kind: str) -> tuple[Column, Column]:
     return text, F.lit(False)
 
 
-def coerce(df: DataFrame, target: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Text rows to typed rows. Returns (good, rejects).
+def judged(df: DataFrame, target: Mapping[str, str]) -> tuple[DataFrame, Column]:
+    """Every row with its typed columns, its ``text`` as a map, and in ``reason`` the columns that cannot be read; and whether a row
+    holds malformed JSON.
 
-    Columns the target lacks are dropped. ``''`` is NULL for numbers, dates, flags and JSON. Malformed
-    JSON is kept as text and marked in ``<column>_malformed``. A row with an unreadable number or date is
-    rejected, keeps its text and names the columns at fault in ``reason``.
+    Columns the target lacks are dropped. ``''`` is NULL for numbers, dates, flags and JSON. Malformed JSON is kept as text and marked in
+    ``<column>_malformed``.
     """
     columns = {c: kind for c, kind in target.items() if c in df.columns}
     typed, faults = [], []
@@ -44,10 +45,20 @@ def coerce(df: DataFrame, target: Mapping[str, str]) -> tuple[DataFrame, DataFra
             typed.append(V.json_malformed(F.col(name)).alias(f"{name}_malformed"))
         if kind in ("date", "bigint", "double"):
             faults.append(F.when(bad, F.lit(name)))
-    reason = F.concat_ws(", ", *faults)
-    good = df.filter(reason == "").select(*typed)
-    rejects = df.filter(reason != "").select(*columns, reason.alias("reason"))
-    return good, rejects
+    text = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])
+    malformed = reduce(lambda a, b: a | b, [F.coalesce(f"{c}_malformed", F.lit(False)) for c, kind in columns.items() if kind == "json"], F.lit(False))
+    return df.select(*typed, text.alias("text"), F.concat_ws(", ", *faults).alias("reason")), malformed
+
+
+def coerce(df: DataFrame, target: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Text rows to typed rows. Returns (good, rejects); see ``judged``.
+
+    A row with an unreadable number or date is rejected, keeps its text and names the columns at fault in ``reason``.
+    """
+    rows, _ = judged(df, target)
+    good = rows.filter(F.col("reason") == "").drop("text", "reason")
+    columns = [c for c in target if c in df.columns]
+    return good, rows.filter(F.col("reason") != "").select(*(F.col("text")[c].alias(c) for c in columns), "reason")
 
 
 def first_wins(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str]) -> DataFrame:

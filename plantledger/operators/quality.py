@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantledger.functions import values as V
@@ -96,20 +98,68 @@ def overlap(sources: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
         .filter(F.col("n_sources") > 1))
 
 
-def preflight(
-    rows: DataFrame, orphans: DataFrame, mismatches: DataFrame, mixed: DataFrame, duplicates: DataFrame
-) -> DataFrame:
-    """Summary per table. Each input is (table_name, n); orphans, mismatches and duplicate keys
-    block, mixed dates only warn, empty tables are left out."""
-    parts = {"n_rows": rows, "n_orphans": orphans, "n_mismatched": mismatches, "n_mixed_dates": mixed,
-             "n_duplicate_keys": duplicates}
-    long = None
-    for name, part in parts.items():
-        tagged = part.select("table_name", F.lit(name).alias("_what"), "n")
-        long = tagged if long is None else long.unionByName(tagged)
-    out = long.groupBy("table_name").agg(*[
-        F.coalesce(F.sum(F.when(F.col("_what") == name, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
-        for name in parts]).filter(F.col("n_rows") > 0)
-    blockers = F.col("n_orphans") + F.col("n_mismatched") + F.col("n_duplicate_keys")
-    return out.withColumn("status", F.when(blockers > 0, "BLOCKER").when(F.col("n_mixed_dates") > 0, "WARN")
-                          .otherwise("OK"))
+class Audit(NamedTuple):
+    """What is checked of one table: its key, its foreign keys as (column, parent rows, parent key), the declared type of its text
+    columns, and its date columns. A parent that does not exist is None."""
+
+    rows: DataFrame
+    key: Sequence[str]
+    links: Sequence[tuple[str, DataFrame | None, str]] = ()
+    declared: Mapping[str, str] = {}
+    dates: Sequence[str] = ()
+
+
+CHECKS = ("n_rows", "n_orphans", "n_mismatched", "n_mixed_dates", "n_duplicate_keys", "n_null_keys")
+
+
+def _audited(name: str, audit: Audit) -> DataFrame:
+    """All checks of a table from one scan of it.
+
+    Each row is stacked into a cell per key, per foreign key and per text or date column (value or class); one aggregate counts
+    the cells, combined before the shuffle, and the checks read its groups.
+    """
+    rows = audit.rows
+    key = [F.col(k).cast("string") for k in audit.key]
+    whole = F.concat_ws("", *(F.concat(F.length(k).cast("string"), F.lit(":"), k) for k in key))
+    complete = reduce(lambda a, b: a & b, [k.isNotNull() for k in key])
+    cells = [F.struct(F.lit("key").alias("what"), F.lit("").alias("column_name"), F.when(complete, whole).alias("value"))]
+    cells += [F.struct(F.lit("link").alias("what"), F.lit(fk).alias("column_name"), F.col(fk).cast("string").alias("value"))
+              for fk, parent, _ in audit.links if parent is not None]
+    cells += [F.struct(F.lit("type").alias("what"), F.lit(c).alias("column_name"), V.storage_class(F.col(c)).alias("value"))
+              for c, kind in audit.declared.items() if V.accepted_storage(kind)]
+    cells += [F.struct(F.lit("date").alias("what"), F.lit(c).alias("column_name"), F.when(F.col(c).isNotNull(), V.date_class(F.col(c))).alias("value"))
+              for c in audit.dates]
+    counted = rows.select(F.inline(F.array(*cells))).groupBy("what", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    used = counted.filter((F.col("what") != "link") | F.col("value").isNotNull())
+    parents = None
+    for fk, parent, pk in audit.links:
+        if parent is not None:
+            part = parent.select(F.lit("link").alias("what"), F.lit(fk).alias("column_name"), F.col(pk).cast("string").alias("value"), F.lit(True).alias("_found"))
+            parents = part if parents is None else parents.unionByName(part)
+    marked = used.withColumn("_found", F.lit(None).cast("boolean")) if parents is None else used.join(parents, ["what", "column_name", "value"], "left")
+    accepted = {c: V.accepted_storage(kind) for c, kind in audit.declared.items() if V.accepted_storage(kind)}
+    fits = reduce(lambda a, b: a | b, [(F.col("column_name") == c) & F.col("value").isin(*kinds) for c, kinds in accepted.items()], F.lit(False))
+    what, n, present = F.col("what"), F.col("n"), F.col("value").isNotNull()
+
+    def total(where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, n)), F.lit(0))
+
+    per_column = marked.groupBy("what", "column_name").agg(
+        total(F.lit(True)).alias("rows"), total((what == "link") & F.col("_found").isNull()).alias("orphans"),
+        total((what == "type") & present & ~fits).alias("unfit"), F.count_if((what == "date") & present).alias("formats"),
+        F.count_if((what == "key") & present & (n > 1)).alias("repeated"), total((what == "key") & ~present).alias("keyless"))
+    one = F.when(what == "key", F.col("rows"))
+    return per_column.agg(
+        F.coalesce(F.sum(one), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("orphans"), F.lit(0)).alias("n_orphans"),
+        F.count_if(F.col("unfit") > 0).alias("n_mismatched"), F.count_if(F.col("formats") > 1).alias("n_mixed_dates"),
+        F.coalesce(F.sum("repeated"), F.lit(0)).alias("n_duplicate_keys"), F.coalesce(F.sum("keyless"), F.lit(0)).alias("n_null_keys"),
+    ).select(F.lit(name).alias("table_name"), *(F.col(c).cast("bigint").alias(c) for c in CHECKS))
+
+
+def preflight(audits: Mapping[str, Audit]) -> DataFrame:
+    """Every check of every table, one scan per table: rows, orphan rows, columns with values their declared type does not accept, date
+    columns of several formats, keys held by several rows, and rows without a key. Orphans, mismatches and keys block, mixed dates only warn; empty
+    tables are left out."""
+    out = reduce(DataFrame.unionByName, [_audited(name, audit) for name, audit in audits.items()])
+    blockers = F.col("n_orphans") + F.col("n_mismatched") + F.col("n_duplicate_keys") + F.col("n_null_keys")
+    return out.filter(F.col("n_rows") > 0).withColumn("status", F.when(blockers > 0, "BLOCKER").when(F.col("n_mixed_dates") > 0, "WARN").otherwise("OK"))

@@ -7,7 +7,7 @@ from plantledger.functions.values import date_columns
 from plantledger.operators import migrate, parity, quality, textjobs
 from plantledger.plans.registry import job
 from plantledger.session import fresh_path
-from plantledger.sources import sinks
+from plantledger.sources import load, sinks, versions
 from plantledger.sources.tables import table
 
 
@@ -151,38 +151,43 @@ def q_source_overlap(spark, folder):
     return quality.overlap({"first": first, "second": second}, ["c_custkey"])
 
 
-@job(f"""WITH {ORPHANS_SQL}, {MIXED_SQL}, {MISMATCH_SQL}, {DATEMIX_SQL},
-n AS (SELECT 'lineitem' AS table_name, count(*) AS n_rows FROM lineitem
-  UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events
-  UNION ALL SELECT 'customer', count(*) FROM customer),
-dups AS (
-  SELECT 'lineitem' AS table_name, count(*) AS d FROM (
-    SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
-  UNION ALL SELECT 'orders', count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)),
-found AS (
-  SELECT table_name, n_rows,
-    coalesce((SELECT CAST(sum(n_orphans) AS BIGINT) FROM orphans o WHERE o.table_name = n.table_name), 0) AS n_orphans,
-    CASE WHEN table_name = 'events' THEN (SELECT count(*) FROM mismatches) ELSE 0 END AS n_mismatched,
-    CASE WHEN table_name = 'events' THEN (SELECT count(*) FROM datemix) ELSE 0 END AS n_mixed_dates,
-    coalesce((SELECT d FROM dups WHERE dups.table_name = n.table_name), 0) AS n_duplicate_keys
-  FROM n)
-SELECT *, CASE WHEN n_orphans + n_mismatched + n_duplicate_keys > 0 THEN 'BLOCKER'
-  WHEN n_mixed_dates > 0 THEN 'WARN' ELSE 'OK' END AS status FROM found WHERE n_rows > 0""")
+#: Key columns of the given tables, and the foreign keys between them.
+AUDIT_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
+              "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"],
+              "pages": ["page_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"]}
+AUDIT_LINKS = {"nation": [("n_regionkey", "region", "r_regionkey")], "customer": [("c_nationkey", "nation", "n_nationkey")],
+               "supplier": [("s_nationkey", "nation", "n_nationkey")], "orders": [("o_custkey", "customer", "c_custkey")],
+               "lineitem": [("l_partkey", "part", "p_partkey"), ("l_orderkey", "orders", "o_orderkey"), ("l_suppkey", "supplier", "s_suppkey")],
+               "labels": [("doc_id", "documents", "doc_id")]}
+#: Parents that lack some rows here.
+THIN = {"part": "p_partkey % 7 <> 0", "orders": "o_orderkey % 11 <> 0"}
+
+
+def _audit_sql(name):
+    keys, links = AUDIT_KEYS[name], AUDIT_LINKS.get(name, [])
+    orphans = " + ".join(f"""(SELECT count(*) FROM {name} c WHERE c.{fk} IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk} AND {THIN.get(parent, "true")}))""" for fk, parent, pk in links) or "0"
+    mixed = name == "events"
+    return f"""SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS n_rows, {orphans} AS n_orphans,
+  {"(SELECT count(*) FROM mismatches)" if mixed else "0"} AS n_mismatched, {"(SELECT count(*) FROM datemix)" if mixed else "0"} AS n_mixed_dates,
+  (SELECT count(*) FROM (SELECT 1 FROM {name} WHERE {" AND ".join(f"{k} IS NOT NULL" for k in keys)} GROUP BY {", ".join(keys)} HAVING count(*) > 1)) AS n_duplicate_keys,
+  (SELECT count(*) FROM {name} WHERE {" OR ".join(f"{k} IS NULL" for k in keys)}) AS n_null_keys"""
+
+
+@job(f"""WITH {MIXED_SQL}, {MISMATCH_SQL}, {DATEMIX_SQL}, found AS ({" UNION ALL ".join(_audit_sql(name) for name in AUDIT_KEYS)})
+SELECT *, CASE WHEN n_orphans + n_mismatched + n_duplicate_keys + n_null_keys > 0 THEN 'BLOCKER' WHEN n_mixed_dates > 0 THEN 'WARN' ELSE 'OK' END AS status
+FROM found WHERE n_rows > 0""")
 def q_preflight(spark, folder):
-    names = ("lineitem", "orders", "events", "customer")
-    rows = None
-    for name in names:
-        part = table(spark, folder, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        rows = part if rows is None else rows.unionByName(part)
-    orphans = q_fk_orphans(spark, folder).select("table_name", F.col("n_orphans").alias("n"))
-    mixed = mixed_text(spark, folder)
+    """Every given table; events as loose text, and two parents with rows missing."""
+    def parent(name):
+        rows = table(spark, folder, name)
+        return rows.filter(THIN[name]) if name in THIN else rows
 
-    def counted(df, name):
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-    duplicates = counted(q_duplicate_keys(spark, folder), "lineitem").unionByName(
-        counted(quality.duplicate_keys(table(spark, folder, "orders"), ["o_orderkey"]), "orders"))
-    return quality.preflight(rows, orphans, counted(quality.type_mismatches(mixed, DECLARED), "events"),
-                             counted(quality.datetime_mix(mixed, ["created_at", "day"]), "events"), duplicates)
+    audits = {name: quality.Audit(table(spark, folder, name), keys, [(fk, parent(p), pk) for fk, p, pk in AUDIT_LINKS.get(name, [])])
+              for name, keys in AUDIT_KEYS.items()}
+    audits["events"] = quality.Audit(mixed_text(spark, folder), ["event_id"], declared=DECLARED, dates=["created_at", "day"])
+    audits["orders"] = audits["orders"]._replace(links=[*audits["orders"].links, ("o_clerk", None, "clerk_id")])
+    return quality.preflight(audits)
 
 
 TARGET = {"event_id": "bigint", "user_id": "bigint", "created_at": "date", "value": "double", "active": "bool",
@@ -218,6 +223,44 @@ def q_coerce_load(spark, folder):
     return loaded.unionByName(refused)
 
 
+#: One reject per row here, so that every kind is met: orders with a bad key, total or date.
+ORDER_TEXT = {"o_orderkey": "bigint", "o_totalprice": "double", "o_orderdate": "date", "o_orderstatus": "text"}
+
+
+def _orders_text(spark, folder):
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, folder, "orders").select(
+        F.when(key % 53 == 0, F.concat(key.cast("string"), F.lit("x"))).otherwise(key.cast("string")).alias("o_orderkey"),
+        F.when(key % 59 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        F.when(key % 61 == 0, "soon").otherwise(day).alias("o_orderdate"), "o_orderstatus")
+
+
+@job(f"""WITH {MIXED_SQL},
+ev AS (SELECT NOT regexp_matches(user_id, '^\\d+$') AS bad_key, created_at <> '' AND regexp_matches(created_at, '^\\d+$') AS bad_date, value = 'n/a' AS bad_number FROM mixed),
+od AS (SELECT o_orderkey % 53 = 0 AS bad_key, o_orderkey % 61 = 0 AS bad_date, o_orderkey % 59 = 0 AS bad_number FROM orders),
+judged AS (SELECT 'events' AS table_name, * FROM ev UNION ALL SELECT 'orders', * FROM od)
+SELECT table_name, 'ok' AS status, count(*) AS rows_read, count(*) FILTER (WHERE NOT (bad_key OR bad_date OR bad_number)) AS rows_loaded,
+  count(*) FILTER (WHERE bad_key OR bad_date OR bad_number) AS rows_rejected,
+  count(*) FILTER (WHERE bad_key) AS bad_bigint, count(*) FILTER (WHERE bad_date) AS bad_date, count(*) FILTER (WHERE bad_number) AS bad_double,
+  count(*) FILTER (WHERE NOT (bad_key OR bad_date OR bad_number)) AS rows_stored, count(*) FILTER (WHERE bad_key OR bad_date OR bad_number) AS rejects_stored
+FROM judged GROUP BY table_name
+UNION ALL SELECT 'closed', 'failed', 0, 0, 0, 0, 0, 0, 0, 0""")
+def q_load_stats(spark, folder):
+    """Two tables of loose text and one that cannot be read; the stored rows are counted again from what was written."""
+    path = fresh_path(spark, "load")
+    jobs = [load.Load("events", lambda: mixed_text(spark, folder), TARGET), load.Load("orders", lambda: _orders_text(spark, folder), ORDER_TEXT),
+            load.Load("closed", lambda: spark.read.schema("id string").parquet(f"{path}/no-such-folder"), {"id": "bigint"})]
+    stats = load.load_all(spark, jobs, path, "first")
+    found = None
+    for job_ in jobs:
+        counted = load.outcomes(spark, path, job_.name).agg(F.count_if(F.col("outcome") == "loaded").alias("rows_stored"),
+                                                            F.count_if(F.col("outcome") == "rejected").alias("rejects_stored"))
+        part = counted.select(F.lit(job_.name).alias("table_name"), "rows_stored", "rejects_stored")
+        found = part if found is None else found.unionByName(part)
+    return stats.join(found, "table_name").drop("error", "kept_malformed", "run_id")
+
+
 @job(f"""WITH {HALVES_SQL} SELECT c_custkey, arg_min(c_name, rank) AS c_name, arg_min(c_nationkey, rank) AS c_nationkey,
   arg_min(c_acctbal, rank) AS c_acctbal, arg_min(c_mktsegment, rank) AS c_mktsegment, arg_min(source, rank) AS source FROM halves GROUP BY c_custkey""")
 def q_first_wins_merge(spark, folder):
@@ -572,6 +615,13 @@ def q_log_tail(spark, folder):
     return tail.withColumn("logged_at", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _snapshot(rows, label):
+    """The rows as a later run finds them: recorded under a run's id and read back."""
+    path = fresh_path(rows.sparkSession, label)
+    versions.record(rows, path, "before")
+    return versions.entries(rows.sparkSession, path, rows.schema, "before").drop(versions.RUN)
+
+
 @job("""WITH src AS (
   SELECT p_partkey AS packaging_id, CASE WHEN p_size % 2 = 0 THEN 'Roll' ELSE 'Case' END AS name, p_size AS qty,
     p_partkey AS product_id, CASE WHEN p_partkey % 4 <> 0 THEN 'C' || p_partkey END AS code FROM part
@@ -602,7 +652,7 @@ def q_packaging_migrate(spark, folder):
     targets = part.filter(key % 7 != 0).select(
         F.when(key % 3 == 0, key + 100000000).otherwise(key).alias("product_id"), code.alias("code"))
     existing = part.filter(key % 5 == 0).select(key.alias("product_id"), F.lit("Roll").alias("name"))
-    return migrate.packaging_plan(source, targets, existing)
+    return migrate.packaging_plan(_snapshot(source, "packagings"), targets, existing)
 
 
 @job("""WITH saved AS (SELECT 'MO-' || o_orderkey AS name, CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE AS value FROM orders WHERE o_orderkey % 2 = 0),
@@ -616,4 +666,4 @@ def q_value_restore(spark, folder):
     saved = orders.filter(F.col("o_orderkey") % 2 == 0).select(name, F.col("o_totalprice").alias("value"))
     now = orders.filter(F.col("o_orderkey") % 11 != 0).select(
         name, F.when(F.col("o_orderkey") % 6 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("value"))
-    return migrate.restore_values(saved, now, "name", "value")
+    return migrate.restore_values(_snapshot(saved, "values"), now, "name", "value")

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from plantledger.operators import inventory
 from plantledger.plans.registry import job
+from plantledger.session import fresh_path
 from plantledger.sources import standins as S
+from plantledger.sources import versions
 from plantledger.sources.tables import table
 
 NEGATIVE_SQL = """negative AS (
@@ -28,21 +30,32 @@ def q_zero_adjustments(spark, folder):
 @job("""SELECT product_id, 'normal' AS bom_type, bom_type AS old_type, bom_type = 'phantom' AS marked
 FROM product""", "product")
 def q_kit_flip(spark, folder):
-    boms = S.product(spark, folder).select("product_id", "bom_type")
-    flipped, marker = inventory.kit_flip(boms)
-    marked = marker.withColumn("marked", F.lit(True))
+    boms, path = S.product(spark, folder).select("product_id", "bom_type"), fresh_path(spark, "markers")
+    flipped = inventory.kit_flip(boms, path, "flip")
+    marked = versions.open_entries(spark, path, inventory.MARKED, ["product_id"]).select("product_id", F.lit(True).alias("marked"))
     return flipped.join(marked, "product_id", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
 
 
-@job("""SELECT CASE WHEN product_id % 7 = 0 THEN 'missing' WHEN product_id % 5 = 0 THEN 'already' ELSE 'flipped' END AS outcome,
-  count(*) AS n FROM product WHERE bom_type = 'phantom' GROUP BY 1""", "product")
+@job("""SELECT 'restore' AS step, CASE WHEN product_id % 7 = 0 THEN 'missing' WHEN product_id % 5 = 0 THEN 'already' ELSE 'flipped' END AS outcome,
+  count(*) AS n FROM product WHERE bom_type = 'phantom' GROUP BY 2
+UNION ALL SELECT 'open markers', 'before', count(*) FILTER (WHERE bom_type = 'phantom') FROM product
+UNION ALL SELECT unnest(['open markers', 'second restore']), unnest(['after', 'any']), 0""", "product")
 def q_kit_restore(spark, folder):
-    boms = S.product(spark, folder).select("product_id", "bom_type")
-    flipped, marker = inventory.kit_flip(boms)
+    """The restore closes the markers it has read back, so a second one finds nothing."""
+    boms, path = S.product(spark, folder).select("product_id", "bom_type"), fresh_path(spark, "markers")
+    flipped = inventory.kit_flip(boms, path, "flip")
     by_hand = F.when((F.col("product_id") % 5 == 0) & (F.col("old_type") == "phantom"), "phantom")
     current = flipped.filter(F.col("product_id") % 7 != 0).select(
         "product_id", F.coalesce(by_hand, F.col("bom_type")).alias("bom_type"))
-    return inventory.kit_restore(current, marker).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+    def open_markers(when):
+        n = versions.open_entries(spark, path, inventory.MARKED, ["product_id"]).count()
+        return "open markers", when, n
+    before = open_markers("before")
+    first = inventory.kit_restore(current, path, "restore-1").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    second = inventory.kit_restore(current, path, "restore-2").count()
+    told = spark.createDataFrame([before, open_markers("after"), ("second restore", "any", second)], "step string, outcome string, n bigint")
+    return first.select(F.lit("restore").alias("step"), "outcome", "n").unionByName(told)
 
 
 @job("""WITH b AS (SELECT l_partkey AS product_id, sum(l_quantity) AS q FROM lineitem GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plantledger.functions import text as X
 from plantledger.operators import inventory, migrate, parity, quality, textjobs
-from plantledger.sources import sinks
+from plantledger.sources import load, sinks, versions
 from plantledger.sources.tables import by_ids, missing_and_extra, read_snapshot, read_snapshot_folder, search
 
 
@@ -142,13 +142,37 @@ def test_text_drift_forgives_serialiser_noise(spark, rows):
         (1, "OK", 0), (2, "OK", 0), (3, "DRIFT", 2), (4, "missing in target", 0)]
 
 
-def test_kit_flip_restore_round_trip(spark, rows):
-    boms = spark.createDataFrame([(1, "phantom"), (2, "normal"), (3, "phantom")], "product_id int, bom_type string")
-    flipped, marker = inventory.kit_flip(boms)
+def test_kit_flip_restore_round_trip(spark, rows, tmp_path):
+    boms, path = spark.createDataFrame([(1, "phantom"), (2, "normal"), (3, "phantom")], "product_id int, bom_type string"), str(tmp_path / "m")
+    flipped = inventory.kit_flip(boms, path, "one")
     assert rows(flipped, "product_id", "bom_type") == [(1, "normal"), (2, "normal"), (3, "normal")]
     with pytest.raises(ValueError):
-        inventory.kit_flip(boms, marker)
-    assert rows(inventory.kit_restore(flipped.filter("product_id <> 3"), marker)) == [(1, "flipped"), (3, "missing")]
+        inventory.kit_flip(boms, path, "two")
+    assert rows(inventory.kit_restore(flipped.filter("product_id <> 3"), path, "back")) == [(1, "flipped"), (3, "missing")]
+    assert rows(inventory.kit_restore(flipped, path, "back again")) == []
+    # closed markers do not stand in the way of the next flip, and a run's id is used once
+    inventory.kit_flip(boms, path, "three")
+    with pytest.raises(Exception):
+        versions.record(boms, path, "one")
+    assert rows(versions.open_entries(spark, path, inventory.MARKED, ["product_id"]), "run_id", "product_id") == [("three", 1), ("three", 3)]
+
+
+def test_load_counts_while_it_writes(spark, rows, tmp_path):
+    text = spark.createDataFrame([("1", "2024-01-02", "1.5", "{}"), ("x", "soon", "2", "{"), ("3", "", "n/a", None), ("4", None, "", "{")],
+                                 "id string, day string, v string, j string")
+    target = {"id": "bigint", "day": "date", "v": "double", "j": "json"}
+    jobs = [load.Load("good", lambda: text, target), load.Load("gone", lambda: spark.read.parquet(str(tmp_path / "none")), target)]
+    for run in ("a", "a", "b"):  # a run that is repeated writes over itself
+        stats = load.load_all(spark, jobs, str(tmp_path / "load"), run)
+    found = {r.table_name: r for r in stats.collect()}
+    good = found["good"]
+    assert (good.status, good.rows_read, good.rows_loaded, good.rows_rejected, good.bad_bigint, good.bad_date, good.bad_double, good.kept_malformed) == ("ok", 4, 2, 2, 1, 1, 1, 1)
+    assert found["gone"].status == "failed" and found["gone"].rows_read == 0 and "none" in found["gone"].error
+    typed = migrate.judged(text, target)[0].drop("text", "reason").schema
+    assert rows(load.loaded(spark, str(tmp_path / "load"), "good", typed), "id", "v") == [(1, 1.5)] * 2 + [(4, None)] * 2
+    refused = load.rejected(spark, str(tmp_path / "load"), "good").filter("run = 'a'")
+    assert rows(refused.select(F.col("text")["id"], "reason")) == [("3", "v"), ("x", "id, day")]
+    assert load.outcomes(spark, str(tmp_path / "load"), "gone").count() == 0
 
 
 def test_packaging_plan(spark, rows):
