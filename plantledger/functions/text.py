@@ -36,6 +36,11 @@ def pallet_number(package: Column) -> Column:
     return F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(NO_NUMBER).cast("decimal(38,0)"))
 
 
+def strip_prefix(text: Column, prefix: str) -> Column:
+    """The text without ``prefix`` at its start; other texts stay as they are."""
+    return F.when(F.startswith(text, F.lit(prefix)), F.substring(text, F.lit(len(prefix) + 1), F.length(text))).otherwise(text)
+
+
 def first_line(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.split(text, "\\R"), F.lit(1)), F.lit(""))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from plantledger.functions.text import strip_prefix
 from plantledger.operators.ordering import latest
 from plantledger.sources import versions
 
@@ -125,6 +126,14 @@ def search(products: DataFrame, text: str, n: int = 30) -> DataFrame:
             .orderBy(F.desc("exact"), "product_id").limit(n))
 
 
+def search_as_written(products: DataFrame, text: str, pattern: str, prefix: str) -> DataFrame:
+    """Products whose name holds ``text`` in these very letters (``like``), or fits the whole ``pattern`` with ``%`` and ``_``
+    (``=like``), and their names without a known ``prefix``."""
+    name = F.col("name")
+    return (products.select("product_id", "name", F.contains(name, F.lit(text)).alias("holds"), name.like(pattern).alias("fits"))
+            .filter("holds or fits").withColumn("short_name", strip_prefix(name, prefix)))
+
+
 def newest_with_free_stock(productions: DataFrame, quants: DataFrame, least: float) -> DataFrame:
     """Newest order whose finished lot has at least ``least`` free and unpacked in stock, over all orders.
 

@@ -143,11 +143,12 @@ def rewire_plan(lines: DataFrame, pallets: DataFrame, tolerance: float = 0.001)
 
 
 def open_unassigned(lines: DataFrame, lots_made: DataFrame) -> DataFrame:
-    """Open outgoing lines with a lot and no package, counted per (lot, picking, product), with the
-    order that makes the lot. ``lots_made``: order_no and the array of lots it produces."""
+    """Open outgoing lines with a lot and no package, counted per (lot, picking, product) and placed by falling count, ties by key;
+    with the order that makes the lot. ``lots_made``: a row of order_no and lot_name for each lot an order produces."""
     open_lines = lines.filter(F.col("package_name").isNull() & F.col("lot_name").isNotNull() & (F.col("state") != "done"))
     counted = open_lines.groupBy("lot_name", "picking_id", "product_id").agg(F.count(F.lit(1)).alias("n_cases"))
-    made = lots_made.select("order_no", F.explode("lot_names").alias("lot_name")).groupBy("lot_name").agg(
-        F.min("order_no").alias("made_by"))
-    return counted.join(made, "lot_name", "left").select(
+    made = lots_made.groupBy("lot_name").agg(F.min("order_no").alias("made_by"))
+    named = counted.join(made, "lot_name", "left").select(
         "lot_name", "picking_id", "product_id", "n_cases", F.coalesce("made_by", F.lit("")).alias("made_by"))
+    placed = number_rows(named.withColumn("_all", F.lit(0)), ["_all"], ["-n_cases", "lot_name", "picking_id", "product_id"], "place")
+    return placed.drop("_all")

@@ -14,11 +14,11 @@ NO_PALLET = "NO PALLET"
 
 
 def _picked(lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Lines with batch, unit label and piece count; the label falls back to the line's unit."""
+    """Lines with batch, unit label and piece count; the label is the move's own packaging, else the product's, else the line's unit."""
     joined = lines.join(products, "product_id", "left")
     return (joined
             .withColumn("batch", F.coalesce(X.batch_of(F.col("lot_name")), F.lit("")))
-            .withColumn("unit_label", F.coalesce("packaging_name", "uom"))
+            .withColumn("unit_label", F.coalesce(*([F.col("move_packaging")] if "move_packaging" in lines.columns else []), "packaging_name", "uom"))
             .withColumn("_fall", F.when(F.col("package_name").isNotNull(), -F.col("quantity")).otherwise(F.lit(0.0)))
             .withColumn("pieces", Q.pieces_of(F.col("quantity"), F.col("uom"), F.col("count_per_unit"))))
 
@@ -236,14 +236,18 @@ def invoice_balance(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     return entries.unionByName(balance)
 
 
-def pallet_sheet(lines: DataFrame, packages: DataFrame, products: DataFrame) -> DataFrame:
-    """Pallet header (first order, dimensions, weight, finish time) over its numbered contents."""
+def pallet_sheet(lines: DataFrame, packages: DataFrame, products: DataFrame, lines_per_page: int = 500) -> DataFrame:
+    """Pallet header (first order, lots, dimensions, weight, finish time) over its numbered contents; a page of as many lines
+    has as many lots in its header, so all are named and none is on a page without lines."""
     inside = lines.filter(F.col("package_name").isNotNull())
     keys = ["picking_id", "package_name"]
     numbered = number_rows(inside, keys, [*LINE_ORDER, "quantity", "uom"], "line_no")
     head = inside.groupBy(*keys).agg(F.min("order_no").alias("first_order"), F.count(F.lit(1)).alias("case_count"))
-    return (numbered.join(head.join(packages, keys), keys).join(products, "product_id", "left")
-            .select("picking_id", X.display_id(F.col("package_name")).alias("pallet"), "first_order", "case_count",
+    lots = text_list(inside.select(*keys, "lot_name"), keys, "lot_name", "lots", lines_per_page)
+    page = (F.floor((F.col("line_no") - 1) / lines_per_page) + 1).cast("bigint")
+    return (numbered.withColumn("page", page).join(head.join(packages, keys), keys).join(products, "product_id", "left")
+            .join(lots, [*keys, "page"], "left")
+            .select("picking_id", X.display_id(F.col("package_name")).alias("pallet"), "first_order", "case_count", F.coalesce("lots", F.lit("")).alias("lots"),
                     X.dims_text(F.col("length"), F.col("width"), F.col("height")).alias("dims"),
                     X.weight_text(F.col("gross_weight_lb")).alias("weight"),
                     F.date_format("finalized_at", "MM/dd/yyyy HH:mm").alias("finalized"),

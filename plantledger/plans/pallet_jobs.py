@@ -177,10 +177,9 @@ def q_rewire_plan(spark, folder):
     return pallets.rewire_plan(mixed, wanted)
 
 
-@job("""SELECT lot_name, picking_id, product_id, count(*) AS n_cases, min(regexp_replace(lot_name, '-[^-]*$', '')) AS made_by
+@job("""SELECT lot_name, picking_id, product_id, count(*) AS n_cases, min(regexp_replace(lot_name, '-[^-]*$', '')) AS made_by,
+  row_number() OVER (ORDER BY count(*) DESC, lot_name, picking_id, product_id) AS place
 FROM move_line WHERE package_name IS NULL AND lot_name IS NOT NULL AND state <> 'done' GROUP BY lot_name, picking_id, product_id""", "move_line")
 def q_open_unassigned(spark, folder):
     lines = S.move_line(spark, folder)
-    # seven unit numbers per order: the array of lots an order produces has seven entries at most
-    made = lines.filter(F.col("lot_name").isNotNull()).groupBy("order_no").agg(F.collect_set("lot_name").alias("lot_names"))
-    return pallets.open_unassigned(lines, made)
+    return pallets.open_unassigned(lines, lines.filter(F.col("lot_name").isNotNull()).select("order_no", "lot_name").distinct())

@@ -10,7 +10,7 @@ from plantledger.sources.tables import table
 
 PICKED = f"""picked AS (
   SELECT m.*, p.product_name, p.display_name, p.packaging_name, p.packaging_qty, p.count_per_unit,
-    coalesce({BATCH.format('lot_name')}, '') AS batch, coalesce(p.packaging_name, m.uom) AS unit_label,
+    coalesce({BATCH.format('lot_name')}, '') AS batch, coalesce(m.move_packaging, p.packaging_name, m.uom) AS unit_label,
     {PIECES} AS pieces
   FROM move_line m LEFT JOIN product p USING (product_id))"""
 DIMS = "format('{:g} x {:g} x {:g}', length, width, height)"
@@ -198,9 +198,10 @@ def q_invoice_balance(spark, folder):
 
 
 @job(f"""WITH head AS (
-  SELECT picking_id, package_name, min(order_no) AS first_order, count(*) AS case_count
+  SELECT picking_id, package_name, min(order_no) AS first_order, count(*) AS case_count,
+    coalesce(string_agg(DISTINCT lot_name, ', ' ORDER BY lot_name), '') AS lots
   FROM move_line WHERE package_name IS NOT NULL GROUP BY ALL)
-SELECT picking_id, replace(replace(package_name, 'WH/MO/', ''), 'WH/', '') AS pallet, first_order, case_count,
+SELECT picking_id, replace(replace(package_name, 'WH/MO/', ''), 'WH/', '') AS pallet, first_order, case_count, lots,
   {DIMS} AS dims, printf('%.1f', gross_weight_lb) AS weight, strftime(finalized_at, '%m/%d/%Y %H:%M') AS finalized,
   row_number() OVER (PARTITION BY picking_id, package_name ORDER BY {LINE_ORDER}, quantity, uom) AS line_no,
   coalesce(lot_name, '-') AS lot, split_part(display_name, chr(10), 1) AS product,

@@ -135,3 +135,21 @@ WHERE p_name ILIKE '%red widget%' ORDER BY exact DESC, product_id LIMIT 30""")
 def q_product_search(spark, folder):
     products = table(spark, folder, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"))
     return inventory.search(products, "RED Widget", 30)
+
+
+@job("""SELECT p_partkey AS product_id, p_name AS name, contains(p_name, 'widget') AS holds, p_name LIKE 'red %_t' AS fits,
+  regexp_replace(p_name, '^red ', '') AS short_name FROM part WHERE contains(p_name, 'widget') OR p_name LIKE 'red %_t'""")
+def q_product_like(spark, folder):
+    products = table(spark, folder, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"))
+    return inventory.search_as_written(products, "widget", "red %_t", "red ")
+
+
+@job("""WITH free AS (SELECT lot_name AS lot, sum(quantity) AS free FROM move_line WHERE package_name IS NULL AND quantity > 0 AND lot_name IS NOT NULL
+  GROUP BY lot_name HAVING sum(quantity) >= 4)
+SELECT production_id, lot, free FROM (SELECT max(order_id) AS production_id, lot_name AS lot FROM move_line GROUP BY lot_name) JOIN free USING (lot)
+ORDER BY production_id DESC, lot LIMIT 1""", "move_line")
+def q_newest_free(spark, folder):
+    """Newest order whose lot has enough free stock, all orders searched."""
+    lines = S.move_line(spark, folder)
+    made = lines.groupBy(F.col("lot_name").alias("lot")).agg(F.max("order_id").alias("production_id"))
+    return inventory.newest_with_free_stock(made, lines.select(F.col("lot_name").alias("lot"), "quantity", "package_name"), 4.0)

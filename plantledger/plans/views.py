@@ -27,7 +27,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     CASE l_returnflag WHEN 'A' THEN 'lb' WHEN 'N' THEN 'Thousands' ELSE 'Case' END AS uom,
     CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'assigned' END AS state,
     l_orderkey AS order_id, l_linenumber AS unit_no, l_partkey AS part_id, l_suppkey AS supplier_id,
-    l_shipdate AS ship_date, l_extendedprice AS price
+    l_shipdate AS ship_date, l_extendedprice AS price, CASE WHEN l_partkey % 9 = 0 THEN 'Bundle' END AS move_packaging
   FROM lineitem"""),
     "move": (("move_line",), f"""
   SELECT picking_id, product_id, sum(quantity) AS ordered,

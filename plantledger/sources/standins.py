@@ -36,6 +36,7 @@ def move_line(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("supplier_id"),
         F.col("l_shipdate").alias("ship_date"),
         F.col("l_extendedprice").alias("price"),
+        F.when(F.col("l_partkey") % 9 == 0, "Bundle").alias("move_packaging"),
     )
 
 
