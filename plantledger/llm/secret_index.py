@@ -27,7 +27,8 @@ class Rule(NamedTuple):
 
     Shorter matches are dropped but still use up their characters. The secret group must end the match. Letters are
     taken as they stand; write both cases as a class where either will do. ``ahead``: masked before the other rules, as
-    its matches may hold theirs and a mark inside would break them.
+    its matches may hold theirs and a mark inside would break them. A match never follows a character of the class ``after``, so a
+    run of these characters is looked at once and not from each of its places.
     """
 
     kind: str
@@ -35,6 +36,11 @@ class Rule(NamedTuple):
     secret: int = 0
     shortest: int = 1
     ahead: bool = False
+    after: str = ""
+
+    @property
+    def searched(self) -> str:
+        return (f"(?<![{self.after}])" if self.after else "") + f"(?:{self.pattern})"
 
 
 def _either_case(words: str) -> str:
@@ -48,22 +54,23 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-# A private key goes from its header line over lines "Name: value" to the END line. Without an END line it goes over all
-# lines of base64 that follow, also where they are indented, quoted or have their line ends written as \\n; of a line that
+# A private key goes from its header line to the END line over whatever holds fewer than KEY_DASHES runs of dashes shorter than those of
+# the END line, as lines "Name: value" may. Without an END line it goes over such lines and all lines of base64 that follow, also where they are indented, quoted or have their line ends written as \\n; of a line that
 # goes on with something else, the base64 at its front counts from 16 characters. No loop runs over lines, so that
 # Java's stack does not grow with the text.
 KEY_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
-KEY_FIELDS = r"(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z][A-Za-z0-9-]*: [^\r\n\\]*){0,9}"
-KEY_TO_END = r"""(?:[^-]*|[A-Za-z0-9+/= \t\r\n\\>"',:|-]*)-----END [A-Z ]*PRIVATE KEY-----"""
+KEY_FIELDS = r"(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z][A-Za-z0-9-]*: [^\r\n\\]*){0,99}"
+KEY_DASHES = 400
+KEY_TO_END = rf"[^-]*(?:-{{1,4}}[^-]+){{0,{KEY_DASHES}}}-----END [A-Z ]*PRIVATE KEY-----"
 KEY_LINES = (r"""(?:[A-Za-z0-9+/= \t\r\n\\>"',|]*[A-Za-z0-9+/=]{32,})?"""
              r"(?:[\r\n][A-Za-z0-9+/=\r\n]*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/=](?:[\r\n]|$)))?"
              r"(?:(?:[\r\n]|\\n){0,4}[ \t>]*[A-Za-z0-9+/=]+(?:[\r\n\\]|$))?")
 ADDED = (
-    Rule("private_key", f"{KEY_HEADER}{KEY_FIELDS}(?:{KEY_TO_END}|{KEY_LINES})", ahead=True),
+    Rule("private_key", f"{KEY_HEADER}(?:{KEY_TO_END}|{KEY_FIELDS}{KEY_LINES})", ahead=True),
     Rule("hosting_token", r"(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40, after="A-Za-z0-9_-"),
 )
 RULES = BASE + ADDED
 
@@ -129,11 +136,11 @@ def candidates(texts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def _matches(text: Column, rule: Rule) -> Column:
     """Consecutive parts of the text, each ending with a match."""
-    return F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)(?:{rule.pattern})"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?){rule.searched}"), F.lit(0))
 
 
 def _secret(part: Column, rule: Rule) -> Column:
-    return F.regexp_extract(part, rule.pattern, rule.secret)
+    return F.regexp_extract(part, rule.searched, rule.secret)
 
 
 def _total(numbers: Column) -> Column:
@@ -161,7 +168,7 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
     def of_parts(parts: Column) -> Column:
         ends = _bound(F.transform(parts, F.char_length), _ends)
         whole = F.zip_with(parts, ends, lambda part, end: F.struct(
-            (end - F.char_length(F.regexp_extract(part, rule.pattern, 0))).alias("start"), F.lit(number).alias("number"),
+            (end - F.char_length(F.regexp_extract(part, rule.searched, 0))).alias("start"), F.lit(number).alias("number"),
             F.lit(rule.kind).alias("kind"), end.alias("end"), F.char_length(_secret(part, rule)).alias("size")))
         kept = F.filter(whole, lambda x: x["size"] >= rule.shortest)
         return F.transform(kept, lambda x: F.struct(x["start"], x["number"], x["kind"], x["end"]))
@@ -235,9 +242,9 @@ def spans_sql(rules: Sequence[Rule] = RULES, base: int = len(BASE)) -> str:
         return pattern.replace("'", "''")
     lists = []
     for n, rule in enumerate(rules):
+        whole = f"(?s)(.*?{f'(?:^|[^{rule.after}])' if rule.after else ''})({quoted(rule.pattern)})"
         lists.append(f"""list_transform(list_zip(
-  regexp_extract_all(body, '(?s)(.*?)({quoted(rule.pattern)})', 1), regexp_extract_all(body, '(?s)(.*?)({quoted(rule.pattern)})', 2),
-  regexp_extract_all(body, '(?s)(.*?)({quoted(rule.pattern)})', {rule.secret + 2})), lambda x, i: struct_pack(
+  regexp_extract_all(body, '{whole}', 1), regexp_extract_all(body, '{whole}', 2), regexp_extract_all(body, '{whole}', {rule.secret + 2})), lambda x, i: struct_pack(
   gap := length(x[1]), size := length(x[2]), keep := length(x[3]) >= {rule.shortest})) AS m{n}""")
     starts = []
     for n, rule in enumerate(rules):
