@@ -60,7 +60,7 @@ BASE = (
 # Java's stack does not grow with the text.
 KEY_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
 KEY_FIELDS = r"(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z][A-Za-z0-9-]*: [^\r\n\\]*){0,99}"
-KEY_DASHES = 400
+KEY_DASHES = 240
 KEY_TO_END = rf"[^-]*(?:-{{1,4}}[^-]+){{0,{KEY_DASHES}}}-----END [A-Z ]*PRIVATE KEY-----"
 KEY_LINES = (r"""(?:[A-Za-z0-9+/= \t\r\n\\>"',|]*[A-Za-z0-9+/=]{32,})?"""
              r"(?:[\r\n][A-Za-z0-9+/=\r\n]*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/=](?:[\r\n]|$)))?"
