@@ -1,5 +1,10 @@
+import math
+import random
+import time
+
 import pytest
 
+from plantledger.llm import html_density
 from plantledger.llm.html_density import extract_pages, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -86,3 +91,106 @@ def test_attributes_leave_out(attributes):
 def test_raw_elements_end_where_they_do(raw):
     page = f"<body><div><p>{'İ' * 40} önce</p><{raw}>var a = '<p>no</{raw}s>'</{raw.title()} ><p>sonra {'İ' * 9}</p></div></body>"
     assert main_text(page).split("\n\n") == ["İ" * 40 + " önce", "sonra " + "İ" * 9]
+
+
+BODY = f"<h1>The heading</h1>{LONG * 4}"
+
+
+@pytest.mark.parametrize("wrapped", [
+    f'<div class="layout with-sidebar"><article>{BODY}</article></div>', f'<div class="no-sidebar"><main>{BODY}</main></div>',
+    f'<div class="content-sidebar-wrap"><article>{BODY}</article></div>', f'<div id="page" class="has-banner"><article>{BODY}</article></div>',
+    f'<div class="elementor-widget elementor-widget-text-editor">{BODY}</div>', f'<form id="aspnetForm"><input><article>{BODY}</article></form>',
+    f'<form id="aspnetForm"><div>{BODY}</div></form>', f'<div class="header-footer-group">{BODY}</div>', f'<div role="search"><main>{BODY}</main></div>',
+    f'<div class="comments-open"><main>{BODY}</main></div>', f'<div class="ad-free"><article>{BODY}</article></div>'])
+def test_wrappers_do_not_take_the_article_along(wrapped):
+    page = f"<body><nav><a href=/>Menu</a></nav>{wrapped}<div class=sidebar><p>Beside it all.</p></div><div class='cookie-notice'>We use cookies.</div></body>"
+    assert main_text(page).split("\n\n") == main_text(f"<article>{BODY}</article>").split("\n\n")
+
+
+def test_parts_of_an_article_are_left_out_by_name_only_if_thin():
+    page = f"<article>{BODY}<section id='related-work'><h2>Related work</h2>{LONG * 3}</section><div class='share-buttons'>Share this</div><div class='related-posts'>" \
+        "<a href=/1>One of many other stories</a> <a href=/2>Another of many</a></div><div class=related>Read on</div><div class='ad-slot'>" + LONG + "</div></article>"
+    parts = main_text(page).split("\n\n")
+    assert len(parts) == 5 + 4 and "Related work" in parts and not {"Share this", "Read on"} & set(parts) and "Another" not in main_text(page)
+
+
+def test_comments_stay_out_even_as_articles():
+    page = f"<body><article>{BODY}</article><section class=comments>" + f"<article class=comment-body>{LONG * 9}</article>" * 3 + "</section></body>"
+    assert main_text(page) == main_text(f"<article>{BODY}</article>")
+
+
+def test_density_decides_between_articles(monkeypatch):
+    teasers = "".join(f"<article><h2><a href=/{i}>A teaser</a></h2><p>Short.</p></article>" for i in range(6))
+    page = f"<body>{teasers}<article>{BODY}</article>{teasers}</body>"
+    assert main_text(page).split("\n\n")[0] == "The heading" and "teaser" not in main_text(page)
+    monkeypatch.setattr(html_density, "_densities", lambda page: ([1.0] * len(page.parent), [1.0] * len(page.parent), [False] * len(page.parent)))
+    assert "teaser" in main_text(page)
+
+
+@pytest.mark.parametrize("page", [
+    "<article>" + "<p>a few words here</p>" * 40_000 + "</article>", "<div>" * 40_000 + "x" + "</span>" * 40_000, "<div>" * 20_000 + "<li>a" * 20_000 + "</div>" * 20_000,
+    "<article>" * 20_000 + "<p class=ad>x" * 20_000, "<div class=sidebar>" * 40_000 + "text"])
+def test_time_in_proportion_to_the_elements(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 4
+
+
+class Node:
+    """A random page as a tree, and the method on it by plain recursion."""
+
+    def __init__(self, rng, depth=0):
+        self.text = " ".join("word" + "s" * rng.randrange(9) for _ in range(rng.choice([0, 0, 2, 5, 30, 80])))
+        self.link = " ".join("link" for _ in range(rng.choice([0, 0, 0, 1, 6])))
+        self.children = [Node(rng, depth + 1) for _ in range(rng.randrange(4 if depth < 4 else 1))]
+
+    def html(self):
+        link = f"<a href=x>{self.link}</a>" if self.link else ""
+        return f"<div>{self.text} {link}{''.join(c.html() for c in self.children)}</div>"
+
+    def own(self):
+        return (len((self.text + self.link).replace(" ", "")), int(bool(self.link)) + len(self.children), len(self.link.replace(" ", "")), int(bool(self.link)))
+
+    def counts(self):
+        return tuple(map(sum, zip(self.own(), *(c.counts() for c in self.children))))
+
+    def nodes(self):
+        return [self, *(n for c in self.children for n in c.nodes())]
+
+
+def plain_blocks(root):
+    body = [sum(x) for x in zip(root.counts(), (0, 1, 0, 0))]  # the body around the root
+    share = body[2] / body[0] if body[0] else 0.0
+
+    def density(c, t, lc, lt):
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0) + 1.0) / max(math.log(base), 1.0)
+
+    def total(node):
+        return density(*node.own()) + sum(density(*c.counts()) for c in node.children)
+
+    def best(node):
+        return max(node.nodes(), key=total)
+
+    order = root.nodes()
+    core = best(root) if total(best(root)) > density(*body) else None
+    path = {id(n) for n in order if core in n.nodes()} if core else set()
+    threshold = min([density(*body)] + [density(*n.counts()) for n in order if id(n) in path])
+    chosen = {id(m) for n in order if density(*n.counts()) >= threshold and density(*n.counts()) > 0 for m in best(n).nodes()}
+    return [n for n in order if id(n) in chosen and (n.text or n.link)]
+
+
+def test_blocks_of_the_plain_method_stay():
+    """The core and all that is dense enough, by plain recursion; what stands beside it may come along."""
+    rng, more = random.Random(5), 0
+    for _ in range(300):
+        root = Node(rng)
+        got = main_text(f"<html><body>{root.html()}</body></html>").split("\n\n")
+        want = [" ".join(f"{n.text} {n.link}".split()) for n in plain_blocks(root)]
+        at = iter(got)
+        assert all(any(w == g for g in at) for w in want), (want, got)
+        more += len(got) > len(want)
+    assert more < 300
