@@ -32,8 +32,8 @@ def pieces_of(quantity: Column, uom: Column, count_per_unit: Column) -> Column:
     factor = F.when(F.lower(uom).contains("million"), F.lit(1_000_000.0)).otherwise(F.lit(1000.0))
     usable = F.coalesce(count_per_unit, F.lit(0)) != 0
     converted = F.rint(qty * factor / F.when(usable, count_per_unit.cast("double")))
-    pieces = (F.when(_names_any(uom, MEASURE_NAMES), F.lit(1.0))
-              .when(_names_any(uom, AGGREGATE_NAMES), F.coalesce(F.greatest(F.lit(1.0), converted), F.lit(1.0)))
+    kind = unit_class(uom)
+    pieces = (F.when(kind == "measure", F.lit(1.0)).when(kind == "aggregate", F.coalesce(F.greatest(F.lit(1.0), converted), F.lit(1.0)))
               .otherwise(F.greatest(F.lit(1.0), F.rint(qty))))
     return pieces.cast("bigint")
 

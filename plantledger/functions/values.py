@@ -68,6 +68,16 @@ def storage_class(text: Column) -> Column:
             .otherwise("text"))
 
 
+def cutoff(newest: Column, seconds: int) -> Column:
+    """The time so many seconds before the newest."""
+    return newest - F.make_dt_interval(secs=F.lit(seconds))
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds from one time to the other, as a run's duration is told."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000).cast("bigint")
+
+
 def to_bool(text: Column) -> Column:
     """Truth of a stored flag: ``''`` is NULL, ``0 / f / false / n / no`` false, all else true."""
     lowered = F.lower(F.trim(text))

@@ -118,39 +118,49 @@ def _audited(name: str, audit: Audit) -> DataFrame:
     Each row is stacked into a cell per key, per foreign key and per text or date column (value or class); one aggregate counts
     the cells, combined before the shuffle, and the checks read its groups.
     """
-    rows = audit.rows
-    key = [F.col(k).cast("string") for k in audit.key]
-    whole = F.concat_ws("", *(F.concat(F.length(k).cast("string"), F.lit(":"), k) for k in key))
-    complete = reduce(lambda a, b: a & b, [k.isNotNull() for k in key])
-    cells = [F.struct(F.lit("key").alias("what"), F.lit("").alias("column_name"), F.when(complete, whole).alias("value"))]
-    cells += [F.struct(F.lit("link").alias("what"), F.lit(fk).alias("column_name"), F.col(fk).cast("string").alias("value"))
-              for fk, parent, _ in audit.links if parent is not None]
-    cells += [F.struct(F.lit("type").alias("what"), F.lit(c).alias("column_name"), V.storage_class(F.col(c)).alias("value"))
-              for c, kind in audit.declared.items() if V.accepted_storage(kind)]
-    cells += [F.struct(F.lit("date").alias("what"), F.lit(c).alias("column_name"), F.when(F.col(c).isNotNull(), V.date_class(F.col(c))).alias("value"))
-              for c in audit.dates]
-    counted = rows.select(F.inline(F.array(*cells))).groupBy("what", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    used = counted.filter((F.col("what") != "link") | F.col("value").isNotNull())
-    parents = None
-    for fk, parent, pk in audit.links:
-        if parent is not None:
-            part = parent.select(F.lit("link").alias("what"), F.lit(fk).alias("column_name"), F.col(pk).cast("string").alias("value"), F.lit(True).alias("_found"))
-            parents = part if parents is None else parents.unionByName(part)
-    marked = used.withColumn("_found", F.lit(None).cast("boolean")) if parents is None else used.join(parents, ["what", "column_name", "value"], "left")
-    accepted = {c: V.accepted_storage(kind) for c, kind in audit.declared.items() if V.accepted_storage(kind)}
-    fits = reduce(lambda a, b: a | b, [(F.col("column_name") == c) & F.col("value").isin(*kinds) for c, kinds in accepted.items()], F.lit(False))
-    what, n, present = F.col("what"), F.col("n"), F.col("value").isNotNull()
+    rows, kinds = audit.rows, dict(audit.rows.dtypes)
+    none, number = F.lit(None), F.lit(None).cast("bigint")
+
+    def cell(code: int, first: Column = number, second: Column = number, text: Column = none) -> Column:
+        return F.struct(F.lit(code).alias("cell"), first.alias("a"), second.alias("b"), text.cast("string").alias("text"))
+
+    # Whole numbers stay numbers, which hash and compare faster than text.
+    if len(audit.key) <= 2 and all(kinds[k] in ("int", "bigint") for k in audit.key):
+        first, second = [*(F.col(k).cast("bigint") for k in audit.key), number, number][:2]
+        complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in audit.key])
+        cells = [cell(0, F.when(complete, first), F.when(complete, second))]
+    else:
+        texts = [F.col(k).cast("string") for k in audit.key]
+        complete = reduce(lambda a, b: a & b, [t.isNotNull() for t in texts])
+        cells = [cell(0, text=F.when(complete, F.concat(*(F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts))))]
+    links = [(fk, parent, pk) for fk, parent, pk in audit.links if parent is not None]
+    accepted = [V.accepted_storage(kind) for kind in audit.declared.values() if V.accepted_storage(kind)]
+    typed = [c for c, kind in audit.declared.items() if V.accepted_storage(kind)]
+    at_type = 1 + len(links)
+    at_date = at_type + len(typed)
+    cells += [cell(1 + i, text=F.col(fk)) if kinds[fk] not in ("int", "bigint") else cell(1 + i, F.col(fk).cast("bigint")) for i, (fk, _, _) in enumerate(links)]
+    cells += [cell(at_type + i, text=V.storage_class(F.col(c))) for i, c in enumerate(typed)]
+    cells += [cell(at_date + i, text=F.when(F.col(c).isNotNull(), V.date_class(F.col(c)))) for i, c in enumerate(audit.dates)]
+    counted = rows.select(F.inline(F.array(*cells))).groupBy("cell", "a", "b", "text").agg(F.count(F.lit(1)).alias("n"))
+    code, n, present = F.col("cell"), F.col("n"), F.col("a").isNotNull() | F.col("text").isNotNull()
+    counted = counted.filter((code == 0) | (code >= at_type) | present)
+    found = F.lit(True)
+    for i, (fk, parent, pk) in enumerate(links):
+        whole = kinds[fk] in ("int", "bigint")
+        keys = parent.select(F.lit(1 + i).alias("_cell"), F.col(pk).cast("bigint" if whole else "string").alias("_value"), F.lit(True).alias(f"_found_{i}")).distinct()
+        counted = counted.join(keys, (code == F.col("_cell")) & (F.col("a" if whole else "text") == F.col("_value")), "left").drop("_cell", "_value")
+        found = F.when(code == 1 + i, F.col(f"_found_{i}")).otherwise(found)
+    fits = reduce(lambda a, b: a | b, [(code == at_type + i) & F.col("text").isin(*kinds_) for i, kinds_ in enumerate(accepted)], F.lit(False))
+    typing, dating, link = (code >= at_type) & (code < at_date), code >= at_date, (code > 0) & (code < at_type)
 
     def total(where: Column) -> Column:
         return F.coalesce(F.sum(F.when(where, n)), F.lit(0))
 
-    per_column = marked.groupBy("what", "column_name").agg(
-        total(F.lit(True)).alias("rows"), total((what == "link") & F.col("_found").isNull()).alias("orphans"),
-        total((what == "type") & present & ~fits).alias("unfit"), F.count_if((what == "date") & present).alias("formats"),
-        F.count_if((what == "key") & present & (n > 1)).alias("repeated"), total((what == "key") & ~present).alias("keyless"))
-    one = F.when(what == "key", F.col("rows"))
-    return per_column.agg(
-        F.coalesce(F.sum(one), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("orphans"), F.lit(0)).alias("n_orphans"),
+    per_cell = counted.groupBy("cell").agg(
+        total(code == 0).alias("rows"), total(link & found.isNull()).alias("orphans"), total(typing & present & ~fits).alias("unfit"),
+        F.count_if(dating & present).alias("formats"), F.count_if((code == 0) & present & (n > 1)).alias("repeated"), total((code == 0) & ~present).alias("keyless"))
+    return per_cell.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("orphans"), F.lit(0)).alias("n_orphans"),
         F.count_if(F.col("unfit") > 0).alias("n_mismatched"), F.count_if(F.col("formats") > 1).alias("n_mixed_dates"),
         F.coalesce(F.sum("repeated"), F.lit(0)).alias("n_duplicate_keys"), F.coalesce(F.sum("keyless"), F.lit(0)).alias("n_null_keys"),
     ).select(F.lit(name).alias("table_name"), *(F.col(c).cast("bigint").alias(c) for c in CHECKS))

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantledger.operators.ordering import latest
-from plantledger.session import fresh_path
+from plantledger.operators.ordering import latest, number_rows
 
 
 def append(good: DataFrame, rejects: DataFrame, path: str) -> None:
@@ -42,13 +41,6 @@ def merge_by_key(
     raise ValueError(f"unknown conflict policy {policy!r}")
 
 
-def swap_in(df: DataFrame, label: str) -> str:
-    """Write a new version of a table to its own path and return that path (readers switch to it)."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def write_snapshot(packagings: DataFrame, products: DataFrame, values: DataFrame, path: str) -> None:
     """Snapshot of packagings, each with its product's code, and of saved values, as JSON lines."""
     coded = packagings.join(products.select("product_id", "product_code"), "product_id", "left")
@@ -61,6 +53,17 @@ def write_report(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
+def markdown_lines(results: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The same for people: a line of a Markdown table per row, numbered in the given order behind the two lines of the header."""
+    def line(cells: Sequence[Column]) -> Column:
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    columns = results.columns
+    head = results.sparkSession.createDataFrame([(1, f"| {' | '.join(columns)} |"), (2, "|" + "---|" * len(columns))], "line_no bigint, line string")
+    shown = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+    rows = number_rows(results.withColumn("_all", F.lit(0)), ["_all"], order, "line_no").select((F.col("line_no") + 2).alias("line_no"), line(shown).alias("line"))
+    return head.unionByName(rows)
+
+
 def write_marker(touched: DataFrame, path: str, run_id: str) -> None:
     """Ids a run touched, kept under its own id until they are restored; an existing one is not overwritten."""
     touched.write.mode("errorifexists").parquet(f"{path}/run_id={run_id}")

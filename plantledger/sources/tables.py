@@ -35,6 +35,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def catalog(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder, each a Parquet file or a folder of them; only paths are read."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*.parquet").select(F.regexp_extract("path", r"/([^/]+)\.parquet(?:/|$)", 1).alias("name"))
+    return sorted(r["name"] for r in files.distinct().collect())  # a name per table
+
+
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table the library writes itself; without rows as long as nothing has been written."""
     try:
@@ -51,6 +57,18 @@ def missing_and_extra(df: DataFrame, declared: T.StructType) -> tuple[list[str],
     return sorted(want - have), sorted(have - want)
 
 
+def shared(a: DataFrame, b: DataFrame) -> list[str]:
+    """Columns both sides have, under the same type, in the order of ``a``."""
+    other = dict(b.dtypes)
+    return [name for name, kind in a.dtypes if other.get(name) == kind]
+
+
+def shared_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that both sides hold in their shared columns, once each; NULL equals NULL."""
+    columns = shared(a, b)
+    return a.select(*columns).intersect(b.select(*columns))
+
+
 def search(
     df: DataFrame,
     where: Column | None = None,

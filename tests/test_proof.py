@@ -157,6 +157,16 @@ def test_kit_flip_restore_round_trip(spark, rows, tmp_path):
     assert rows(versions.open_entries(spark, path, inventory.MARKED, ["product_id"]), "run_id", "product_id") == [("three", 1), ("three", 3)]
 
 
+def test_preflight_of_each_kind_of_key(spark, rows):
+    parent = spark.createDataFrame([(1,), (None,), (1,)], "k int")
+    names = spark.createDataFrame([("a",), ("b",)], "k string")
+    child = spark.createDataFrame([(1, 1, "a", "1", "2024-01-02"), (1, 1, "z", "x", "1700000000"), (2, 9, None, None, None), (None, None, "a", "2.5", "")],
+                                  "id int, fk bigint, name string, n string, day string")
+    audits = {"c": quality.Audit(child, ["id"], [("fk", parent, "k"), ("name", names, "k"), ("id", None, "x")], {"n": "INTEGER", "name": "TEXT"}, ["day"]),
+              "text": quality.Audit(child, ["name", "n"], [], {}, []), "three": quality.Audit(child.limit(1), ["id", "fk", "name"]), "none": quality.Audit(child.limit(0), ["id"])}
+    assert rows(quality.preflight(audits)) == [("c", 4, 2, 1, 1, 1, 1, "BLOCKER"), ("text", 4, 0, 0, 0, 0, 1, "BLOCKER"), ("three", 1, 0, 0, 0, 0, 0, "OK")]
+
+
 def test_load_counts_while_it_writes(spark, rows, tmp_path):
     text = spark.createDataFrame([("1", "2024-01-02", "1.5", "{}"), ("x", "soon", "2", "{"), ("3", "", "n/a", None), ("4", None, "", "{")],
                                  "id string, day string, v string, j string")
