@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result; other columns are not read.
 
     Texts are sorted by ranges of ids in one shuffle. A partition lacks only the row after its last; each hands on
-    its two border rows, and these, two a partition, are matched in a second small step.
+    its two border rows, and these, two a partition, meet by the number of their partition in a second small join.
     """
     spark = docs.sparkSession
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -137,27 +137,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = source.repartitionByRange(places, *order).sortWithinPartitions(*order, "_text")
     rows = written(ranged.mapInArrow(walk, schema), "fingerprints")
     done = rows.where("_state = 'done'").select(*NAMES[:7])
-    border = rows.where("_state <> 'done'").coalesce(1).sortWithinPartitions("_place", F.col("_state"))
+    # The row after a partition's last is the first of the next partition that has rows; after the last comes the first.
+    held = sorted(r["_place"] for r in rows.where("_state = 'head'").select("_place").collect())  # a number per partition
+    follows = spark.createDataFrame(list(zip(held, held[1:] + held[:1])), f"_place {dict(rows.dtypes)['_place']}, _next_place {dict(rows.dtypes)['_place']}")
+    heads = rows.where("_state = 'head'").select(F.col("_place").alias("_next_place"), F.col("_text").alias("_next_text"), F.col("fingerprint").alias("_next_mark"))
+    border = (rows.where("_state = 'tail'").select("_place", "_id", "_text", "fingerprint").join(F.broadcast(follows), "_place")
+              .join(heads, "_next_place").select("_id", "_text", "fingerprint", "_next_text", "_next_mark"))
 
     def join_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow = to_arrow_schema(T.StructType(schema.fields[:7]))
-        first = before = None
-
-        def result(tail, head):
-            row = _row(tail["_id"], 0, tail["_text"], head["_text"], tail["fingerprint"], head["fingerprint"])
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
-
         for source in batches:
             for at in range(source.num_rows):
-                row = source.slice(at, 1).to_pylist()[0]
-                if row["_state"] == "tail":
-                    before = row
-                elif first is None:
-                    first = row
-                else:
-                    yield result(before, row)
-        if before is not None:
-            yield result(before, first)
+                number, text, mark, next_text, next_mark = (column[0].as_py() for column in source.slice(at, 1).columns)
+                row = _row(number, 0, text, next_text, mark, next_mark)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
     return done.unionByName(border.mapInArrow(join_borders, T.StructType(schema.fields[:7])))
