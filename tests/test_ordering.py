@@ -99,3 +99,17 @@ def test_amounts_stand_on_the_first_page(spark, rows):
 def test_no_rows(spark):
     for empty in (spark.createDataFrame([], "k int, n int"), spark.range(5).selectExpr("id k", "id n").filter("false")):
         assert O.number_rows(empty, ["k"], ["n"]).count() == 0 and O.with_previous(empty, ["k"], ["n"], ["n"]).count() == 0
+
+
+def test_a_task_orders_a_bounded_number_of_rows(spark, monkeypatch):
+    """Keys without a heavy one: partitions follow the rows, whatever adaptive execution would join."""
+    monkeypatch.setattr("plantledger.session.TASK_ROWS", 100)
+    units = spark.range(4_000).select((F.col("id") % 1_000).alias("k"), (F.floor(F.col("id") / 1_000) * 2).cast("int").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        sliced = O._sliced(units, ["k"], ["n"])
+        sizes = [r["count"] for r in sliced.rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert len(sizes) >= 30 and max(sizes) < 300
+        assert pallets.unit_ranges(units, ["k"], "n").select("units", "n_units").distinct().collect() == [("0, 2, 4, 6", 4)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
