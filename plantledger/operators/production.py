@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantledger.functions import quantities as Q
+from plantledger.session import dealt
 
 
 def bom_demand(orders: DataFrame, bom: DataFrame, lines: DataFrame) -> DataFrame:
     """Scaled component demand per order, with the order's total of pound components.
 
     ``orders``: order_id, product_id, quantity. ``bom``: product_id, bom_qty. ``lines``: product_id and an
-    array ``components`` of (component_id, qty, uom): a recipe is read with its product, one row each.
+    array ``components`` of (component_id, qty, uom): a recipe is read with its product, one row each. Rows are counted
+    first, so that each shuffle deals them to tasks of bounded size. Rows without an order have a total of 0.
     """
-    per_product = orders.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("quantity"))
+    rows = orders.count()
+    demanded = int(rows * (lines.agg(F.avg(F.size("components"))).first()[0] or 0))
+    pair, triple = ["order_id", "product_id"], ["order_id", "component_id", "uom"]
+    per_product = dealt(orders, rows, *pair).groupBy(*pair).agg(F.sum("quantity").alias("quantity"))
     scaled = (per_product.join(bom, "product_id").join(lines, "product_id")
               .select("order_id", Q.scale(F.col("quantity"), F.col("bom_qty")).alias("_scale"), F.inline("components"))
               .withColumn("demand", F.col("qty") * F.col("_scale")))
-    per_component = scaled.groupBy("order_id", "component_id", "uom").agg(F.sum("demand").alias("demand"))
-    pounds = per_component.filter(F.lower("uom").isin(*Q.POUND_NAMES)).groupBy("order_id").agg(
-        F.sum("demand").alias("total_lb"))
-    return per_component.join(pounds, "order_id", "left").withColumn("total_lb", F.coalesce("total_lb", F.lit(0.0)))
+    per_component = dealt(scaled, demanded, *triple).groupBy(*triple).agg(F.sum("demand").alias("demand"))
+    # One row per component of an order, so an order is a short group however many lines it has.
+    pounds = F.sum(F.when(F.lower("uom").isin(*Q.POUND_NAMES) & F.col("order_id").isNotNull(), F.col("demand")))
+    return dealt(per_component, demanded, "order_id").withColumn("total_lb", F.coalesce(pounds.over(W.partitionBy("order_id")), F.lit(0.0)))
 
 
 def pack_plan(orders: DataFrame, packaging: DataFrame, per_pallet: int) -> DataFrame:

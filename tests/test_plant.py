@@ -28,6 +28,20 @@ def test_bom_demand(spark, rows):
         ("blend", 3500.0, 3500.0), ("core", 812.5, 3500.0), ("plug", 100.0, 3500.0)]
 
 
+def test_bom_demand_deals_rows_to_bounded_tasks(spark, rows, monkeypatch):
+    """Orders without a number, repeated lines and a component in two units; more tasks than adaptive execution would leave."""
+    monkeypatch.setattr("plantledger.session.TASK_ROWS", 20)
+    orders = spark.range(400).select(F.when(F.col("id") % 40 != 0, F.col("id") % 200).alias("order_id"), (F.col("id") % 25).alias("product_id"), F.lit(2.0).alias("quantity"))
+    bom = spark.range(25).select(F.col("id").alias("product_id"), F.lit(1.0).alias("bom_qty"))
+    lines = bom.select("product_id", F.expr("array(named_struct('component_id', product_id % 3, 'qty', 1D, 'uom', 'lb'), "
+                                            "named_struct('component_id', product_id % 3, 'qty', 3D, 'uom', 'Units'))").alias("components"))
+    demand = production.bom_demand(orders, bom, lines)
+    assert demand.rdd.getNumPartitions() == 40
+    per_order = {r[0]: (r[1], r[2]) for r in demand.groupBy("order_id").agg(F.max("total_lb"), F.sum(F.when(F.col("uom") == "lb", F.col("demand")))).collect()}
+    assert per_order.pop(None) == (0.0, 20.0)
+    assert len(per_order) == 195 and all(total == pounds == 4.0 for total, pounds in per_order.values())
+
+
 def test_pack_plan(spark, rows):
     orders = spark.createDataFrame([(1, 5, 3500.0), (2, 6, 26.0)], "order_id int, product_id int, quantity double")
     packs = spark.createDataFrame([(5, "ROLL", 70, 2), (5, "roll", 10, 3), (6, "Case", 10, 1)],
