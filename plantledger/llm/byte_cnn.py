@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantledger.llm.common import text_or_empty
+from plantledger.llm.common import text_or_empty, written
 
 #: Bytes in a window; neighbours share all but the first byte of the widest filter, so no place is left out.
 WINDOW = 128
@@ -188,15 +188,32 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(_predicted(model), f"_id {kind}, _lang string, _score double")
 
 
+def _ranked(scores: DataFrame, rank: int) -> float:
+    """The score with so many before it in ascending order. Each turn counts the scores by 12 more binary digits within the
+    cell that holds the rank, so at most 4,097 rows come back, however many scores there are."""
+    score, inside, before = F.col("_score"), F.lit(True), 0
+    for digits in range(12, 61, 12):
+        cell = F.floor(score * float(1 << digits))
+        found = scores.where(inside).groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"), F.min(score).alias("_low"), F.max(score).alias("_high"))
+        for row in sorted(found.collect()):
+            if before + row["_n"] > rank:
+                break
+            before += row["_n"]
+        if row["_low"] == row["_high"]:
+            break
+        inside = cell == row["_cell"]
+    return row["_low"]
+
+
 def least_score(model: Model, held_out: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> float:
-    """The score below which a text is of no known language, measured on labelled rows that the model has not seen; 0
-    without such rows. At most about ``SAMPLE`` of them are scored, those with the smallest hash of the id."""
-    rows = held_out.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.xxhash64(id_col).alias("_hash"), F.col(text_col).alias("_body"))
-    chosen = rows.select("_hash").orderBy("_hash").limit(SAMPLE).agg(F.max("_hash")).first()[0] if model.labels else None
-    if chosen is None:
+    """The score below which a text is of no known language, measured on all labelled rows that the model has not seen; 0
+    without such rows. Their scores are written and ranked where they stand."""
+    if not model.labels:
         return 0.0
-    scores = [r["_score"] for r in identify(rows.where(F.col("_hash") <= chosen), model, "_hash", "_body").select("_score").limit(2 * SAMPLE).collect()]
-    return min(LEAST_SCORE, float(np.quantile(scores, LEAST_SHARE, method="lower")))
+    rows = held_out.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    scores = written(identify(rows, model, id_col, text_col).select("_score"), "held-out-scores")
+    total = scores.count()
+    return min(LEAST_SCORE, _ranked(scores, int(LEAST_SHARE * (total - 1)))) if total else 0.0
 
 
 def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:

@@ -97,3 +97,17 @@ def test_a_model_that_learned_little_rejects_little(spark, model):
     assert drop_unidentified(frame, weak).count() < 0.9 * 300
     assert drop_unidentified(frame, weak, least=least_score(weak, frame)).count() >= 0.97 * 300
     assert least_score(weak, frame.limit(0)) == 0.0 and 0 < least_score(model, frame) <= LEAST_SCORE
+
+
+def test_the_least_score_is_measured_on_all_held_out_rows(spark, monkeypatch):
+    from plantledger.llm import byte_cnn
+
+    seen = rows(120, 3)
+    model = train([r[1].encode()[:WINDOW] for r in seen], [r[2] for r in seen])
+    frame = spark.createDataFrame([*rows(300, 4), (900, "q x", "en", 0, "x"), (900, "z", "de", 0, "x"), (None, "vw kk", "fr", 0, "x")], SCHEMA)
+    scores = [r["_score"] for r in identify(frame, model).collect()]
+    monkeypatch.setattr(byte_cnn, "SAMPLE", 5)
+    for share in (0.0, 0.01, 0.3, 0.7):
+        monkeypatch.setattr(byte_cnn, "LEAST_SHARE", share)
+        monkeypatch.setattr(byte_cnn, "LEAST_SCORE", 1.0)
+        assert least_score(model, frame) == np.quantile(scores, share, method="lower")
