@@ -256,3 +256,16 @@ def test_window_parity_hashes_whole_rows_and_rows_without_time(spark, rows):
     assert [r[-1] for r in rows(parity.window_parity(a, changed, "ts", "v"), "window_start", "match")] == [True, False, False]
     short = spark.createDataFrame(data[:2], schema)
     assert rows(parity.window_parity(a, short, "ts", "v"), "window_start", "source_n", "target_n", "match")[0] == ("(no time)", 2, 1, False)
+
+
+def test_hashing_a_document_does_not_grow_with_equal_names(monkeypatch):
+    """Field names are looked at once, and whole numbers need no decimal; the hash is the one it always was."""
+    from plantledger.functions import trees
+
+    looked = []
+    volatile = type("Volatile", (), {"search": lambda self, name: looked.append(name)})()
+    monkeypatch.setattr(trees, "Decimal", None)
+    found = [trees.tree('{"a": [{"id": %d, "b": 12}, {"id": 7, "b": "x"}]}' % i, volatile, ("id",)).digest() for i in (1, 2, 3)]
+    assert len(set(found)) == 3 and sorted(looked) == ["a", "b", "id"]
+    monkeypatch.undo()
+    assert [trees.plain_number(n) for n in ("-0", "0", "00", "120", "9" * 25 + "0", "1.50", "1e2")] == ["0", "0", "0", "120", "9" * 25 + "0", "1.5", "100"]
