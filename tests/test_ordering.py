@@ -113,3 +113,10 @@ def test_a_task_orders_a_bounded_number_of_rows(spark, monkeypatch):
         assert pallets.unit_ranges(units, ["k"], "n").select("units", "n_units").distinct().collect() == [("0, 2, 4, 6", 4)]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+def test_a_cut_key_beside_a_column_named_at(skewed):
+    """The column of the earlier sums had that name, which failed wherever a key was cut."""
+    named = skewed.withColumn("_at", F.col("id"))
+    assert O._sliced(named, ["k"], ["ts", "id"]).cut
+    assert O.number_rows(named, ["k"], ["ts", "id"]).filter("k = 'hot'").agg(F.count_distinct("row_no") == F.max("row_no")).first()[0]
