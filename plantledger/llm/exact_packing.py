@@ -14,16 +14,18 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import cache, partial
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantledger.llm.common import raw_digest, text_or_empty, written
+from plantledger.llm.common import raw_digest, text_or_empty, text_slices, written
 
 CAPACITY = 2048
 #: Closes every document.
@@ -33,17 +35,21 @@ END_ID = 0
 WORDS_KEPT = 150_000
 #: A word of one token that stands between words which are encoded together.
 MARK = "|"
-STOPS = b".,;:!?"
 LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
-ROWS_AT_ONCE = 256
+#: A token never goes on from such a letter to such a sign or digit, so a word ends between them; signs of contractions and
+#: of special tokens are not among these.
+CLOSED = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-&(-;=?@\[-`{}~])"
+#: Bytes of text encoded at a time; a longer text is encoded alone.
+BYTES_AT_ONCE = 8 << 20
 
 
 class Encoder:
     """Token ids of whole texts, word by word.
 
     The tokenizer lowers case, drops white space and never looks across it, so the ids of a text are those of its
-    words in order, and words met before are looked up. Words are what stands between ASCII white space; a stop after
-    an ASCII letter is a token of its own. All else is left to the tokenizer.
+    words in order, and words met before are looked up. Words are what stands between ASCII white space, and where
+    ``CLOSED`` ends one. All else is left to the tokenizer. Python handles each distinct word of some texts once; their
+    single words are split, numbered and put together as arrays.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,31 +62,32 @@ class Encoder:
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)  # tokens that end a word
         self._closes[[i for piece, i in self._tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-        self._known: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._mark = self._ids(MARK)[0]
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        decoded = [w.decode() for w in words]
-        plain = [LETTERS.fullmatch(w) is not None for w in decoded]
-        self._learn_letters([w for w, p in zip(words, plain) if p], [w.lower() for w, p in zip(decoded, plain) if p])
-        self._learn_any([w for w, p in zip(words, plain) if not p])
+    def _learn(self, words: list[str]) -> None:
+        plain, rest = [], []
+        for word in words:
+            (plain if LETTERS.fullmatch(word) else rest).append(word)
+        self._learn_letters(plain, [w.lower() for w in plain])
+        self._learn_any(rest)
 
-    def _learn_letters(self, words: list[bytes], lower: list[str]) -> None:
+    def _learn_letters(self, words: list[str], lower: list[str]) -> None:
         ids = np.array(self._letters.encode_batch_fast([" ".join(lower)], add_special_tokens=False)[0].ids, dtype="<u4")
         body, begin = ids.tobytes(), 0
         for word, end in zip(words, (np.flatnonzero(self._closes[ids]) * 4 + 4).tolist(), strict=True):
             self._known[word] = body[begin:end]
             begin = end
 
-    def _learn_any(self, words: list[bytes]) -> None:
+    def _learn_any(self, words: list[str]) -> None:
         """Encodes words in one text, a mark after each; where the mark is also a part of some word, one by one."""
         for at in range(0, len(words), 500):
             some = words[at:at + 500]
-            ids = np.array(self._ids("".join(f"{w.decode()} {MARK} " for w in some)), dtype="<u4")
+            ids = np.array(self._ids("".join(f"{w} {MARK} " for w in some)), dtype="<u4")
             ends = np.flatnonzero(ids == self._mark).tolist()
             if len(ends) == len(some):
                 body, begin = ids.tobytes(), 0
@@ -89,27 +96,41 @@ class Encoder:
                     begin = end * 4 + 4
             else:
                 for word in some:
-                    self._known[word] = np.array(self._ids(word.decode()), dtype="<u4").tobytes()
+                    self._known[word] = np.array(self._ids(word), dtype="<u4").tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        # Lower case leaves special tokens written in capitals alone, so texts that may hold one stay as they are.
-        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words."""
         if len(self._known) > WORDS_KEPT:
             self._known, self._old = {}, self._known
         known, old = self._known, self._old
-        new = {w for line in words for w in line if w not in known}
-        back = [w for w in new if w in old]
-        new.difference_update(back)
-        for word in back:
-            known[word] = old[word]
-        ended = [w for w in new if w[-1] in STOPS and len(w) > 1 and 97 <= w[-2] <= 122]
-        new.difference_update(ended)
-        new.update(w for word in ended for w in (word[:-1], word[-1:]) if w not in known)
-        self._learn(list(new))
-        for word in ended:
-            known[word] = known[word[:-1]] + known[word[-1:]]
-        return [b"".join(map(known.__getitem__, line)) for line in words]
+        known[""] = b""
+        new = []
+        for word in [w for w in words if w not in known]:
+            if word in old:
+                known[word] = old[word]
+            else:
+                new.append(word)
+        self._learn(new)
+        return [known[w] for w in words]
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        bodies = pa.array(texts, pa.binary()).cast(pa.string())
+        # Lower case leaves special tokens written in capitals alone, so texts that may hold one stay as they are.
+        bodies = pc.if_else(pc.match_substring(bodies, "<|"), bodies, pc.ascii_lower(bodies))
+        lines = pc.ascii_split_whitespace(pc.replace_substring_regex(bodies, CLOSED, r"\1 \2"))
+        words = lines.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")[0].as_py()
+        found = self._looked_up(distinct.split(" "))
+        number = words.indices.to_numpy()
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(counts) - counts  # in the ids of the distinct words
+        sizes = counts[number]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        shift = (first[number] - ends[:-1]).astype(np.int32)  # a text has fewer than 2 ** 31 bytes
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(shift, sizes) + np.arange(ends[-1], dtype=np.int32)]
+        borders = ends[lines.offsets.to_numpy()].tolist()
+        return [ids[begin:end].tobytes() for begin, end in pairwise(borders)]
 
 
 @cache
@@ -119,23 +140,21 @@ def encoder(path: str) -> Encoder:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     size, closing = capacity * 4, np.array([END_ID], dtype="<u4").tobytes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, ROWS_AT_ONCE)
-            rows, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder(path).encode(part.column("_text").to_pylist())):
-                ids += closing
-                for k, begin in enumerate(range(0, len(ids), size)):
-                    body = ids[begin:begin + size]
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(begin // 4)
-                    length.append(len(body) // 4)
-                    crc.append(zlib.crc32(body))
-            taken = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_id").take(taken), part.column("_raw").take(taken), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["_id", "_raw", "piece", "start", "length", "ids_crc32"])
+    for part in text_slices(batches, "_text", BYTES_AT_ONCE):
+        rows, piece, start, length, crc = [], [], [], [], []
+        for i, ids in enumerate(encoder(path).encode(part.column("_text"))):
+            ids += closing
+            for k, begin in enumerate(range(0, len(ids), size)):
+                body = ids[begin:begin + size]
+                rows.append(i)
+                piece.append(k)
+                start.append(begin // 4)
+                length.append(len(body) // 4)
+                crc.append(zlib.crc32(body))
+        taken = pa.array(rows, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [part.column("_id").take(taken), part.column("_raw").take(taken), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+             pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["_id", "_raw", "piece", "start", "length", "ids_crc32"])
 
 
 class Pattern(NamedTuple):

@@ -30,6 +30,19 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_signs_after_a_letter_end_a_word(tokenizer):
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~1\u0338"
+    texts = [f"{word}{a}{b} {word}{a}x" for word in ("roll", "É", "İ", "mill's", "<|endoftext", "<|endoftext|>") for a in signs for b in signs]
+    encoder, learned = Encoder(PATH), []
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    known = Encoder(PATH)
+    learn = known._learn
+    known._learn = lambda words: (learned.extend(words), learn(words))
+    known.encode([b"Roll roll. roll%% roll&&, \xc3\xa9t\xc3\xa9:", b"roll roll;"])
+    assert sorted(learned) == sorted(["roll", ".", "%%", "&&,", "été", ":", ";"])  # the word once, whatever follows it
+
+
 def test_plan_uses_every_piece_and_is_tight():
     rng = random.Random(8)
     for capacity in (10, 64, 2048):
