@@ -38,17 +38,15 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
     on_pallet = picked.filter(F.col("package_name").isNotNull())
     loose = picked.filter(F.col("package_name").isNull())
 
-    # both per-pallet breakdowns come from one aggregate, which Spark computes once
-    base = on_pallet.groupBy("picking_id", "package_name", "product_id", "batch", "unit_label").agg(
-        F.sum("pieces").alias("pieces"), _first("_fall", *LINE_ORDER).alias("_seen"))
-    contents = base.groupBy("picking_id", "package_name", "product_id", "batch").agg(
-        F.sum("pieces").alias("pieces"), _first("_seen", "unit_label").alias("_first"))
+    # hardly two lines of a pallet share all of product, batch and unit label, so each breakdown comes from the lines in one step
+    keys = ["picking_id", "package_name"]
+    contents = on_pallet.groupBy(*keys, "product_id", "batch").agg(
+        F.sum("pieces").alias("pieces"), F.min(F.struct(F.struct("_fall", *LINE_ORDER).alias("_seen"), "unit_label")).alias("_first"))
     contents = contents.withColumn("unit_label", F.col("_first.unit_label"))
-    contents = number_rows(contents, ["picking_id", "package_name"], ["_first", "product_id", "batch"], "content_no")
-    labels = base.groupBy("picking_id", "package_name", "unit_label").agg(
-        F.sum("pieces").alias("n"), F.min("_seen").alias("_at"))
+    contents = number_rows(contents, keys, ["_first", "product_id", "batch"], "content_no")
+    labels = on_pallet.groupBy(*keys, "unit_label").agg(F.sum("pieces").alias("n"), _first("_fall", *LINE_ORDER).alias("_at"))
     # labels are packaging and unit names, a short fixed vocabulary, so one list per pallet stays small
-    units = labels.groupBy("picking_id", "package_name").agg(F.array_join(F.transform(
+    units = labels.groupBy(*keys).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_at", "unit_label", "n"))),
         lambda r: F.concat(r["n"].cast("string"), F.lit(" "), r["unit_label"])), " | ").alias("units"))
 
@@ -59,7 +57,7 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
         X.dims_text(F.col("length"), F.col("width"), F.col("height")).alias("dims"),
         X.weight_text(F.col("gross_weight_lb")).alias("weight"))
     pallets = number_rows(pallets, ["picking_id"], ["_prefix", "_number", "package_name"], "row_no")
-    n_pallets = packages.groupBy("picking_id").agg(F.count(F.lit(1)).alias("_pallets"))
+    n_pallets = pallets.groupBy("picking_id").agg(F.count(F.lit(1)).alias("_pallets"))  # of the rows that were written to be numbered
 
     loose = number_rows(loose, ["picking_id"], [*LINE_ORDER, "pieces"], "_loose_no")
     loose_rows = loose.join(n_pallets, "picking_id", "left").select(
@@ -70,7 +68,7 @@ def pick_checklist(lines: DataFrame, products: DataFrame, packages: DataFrame) -
         F.concat(F.col("pieces").cast("string"), F.lit(" "), "unit_label").alias("units"),
         F.lit("-").alias("dims"), F.lit("-").alias("weight"))
     pallet_rows = (contents.join(products.select("product_id", "product_name"), "product_id", "left")
-                   .join(pallets.join(units, ["picking_id", "package_name"]), ["picking_id", "package_name"])
+                   .join(pallets.join(units, keys), keys)
                    .select("picking_id", "row_no", X.display_id(F.col("package_name")).alias("pallet"), "content_no",
                            "product_name", X.number_text(F.col("pieces")).alias("qty"), "unit_label",
                            F.when(F.col("batch") != "", F.col("batch")).otherwise("-").alias("batch"),

@@ -171,3 +171,24 @@ def test_matrix_is_computed(spark, rows):
     found = spark.createDataFrame([("a", True, "blocker"), ("a", True, "minor"), ("b", False, "minor"), ("b", False, "major")],
                                   "stage string, ok boolean, severity string")
     assert rows(checks.matrix(found)) == [("(all)", "FAIL", 4, 2, "major"), ("a", "PASS", 2, 0, ""), ("b", "FAIL", 2, 2, "major")]
+
+
+def test_pick_sheet_aggregates_lines_once_for_each_breakdown(spark):
+    lines = spark.createDataFrame(
+        [(1, 7, "A-PAL-1", "A-1", 5.0, "Case", order, 1, 3, 2, "2024-01-01", 9.0, pack) for order, pack in ((1, None), (1, None), (2, "Bundle"))]
+        + [(1, 8, "A-PAL-1", None, 4.0, "Case", 1, 2, 3, 2, "2024-01-01", 9.0, None), (1, 7, None, "B-1", 2.0, "Case", 3, 1, 3, 2, "2024-01-01", 9.0, None),
+           (2, 7, None, "B-1", 2.0, "Case", 3, 1, 3, 2, "2024-01-01", 9.0, None)],
+        "picking_id long, product_id long, package_name string, lot_name string, quantity double, uom string, order_id long, unit_no long, part_id long, "
+        "supplier_id long, ship_date string, price double, move_packaging string")
+    products = spark.createDataFrame([(7, "seven", None, "Roll")], "product_id long, product_name string, count_per_unit long, packaging_name string")
+    packages = spark.createDataFrame([(1, "A-PAL-1", 40.0, 48.0, 52.0, 64.0), (1, "A-PAL-2", 40.0, 48.0, 52.0, 50.0)],
+                                     "picking_id long, package_name string, length double, width double, height double, gross_weight_lb double")
+    sheet = paper.pick_checklist(lines, products, packages)
+    units = "10 Roll | 5 Bundle | 4 Case"
+    assert sorted(map(tuple, sheet.collect()), key=repr) == sorted([
+        (1, 1, "A-PAL-1", 1, "seven", "15", "Roll", "A", units, "40 x 48 x 52", "64.0"),
+        (1, 1, "A-PAL-1", 2, None, "4", "Case", "-", units, "40 x 48 x 52", "64.0"),
+        (1, 3, "NO PALLET", 1, "seven", "2", "Roll", "B", "2 Roll", "-", "-"),
+        (2, 1, "NO PALLET", 1, "seven", "2", "Roll", "B", "2 Roll", "-", "-")], key=repr)
+    plan = sheet._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3  # labels, their lists, pallets of a picking
