@@ -192,3 +192,14 @@ def test_pick_sheet_aggregates_lines_once_for_each_breakdown(spark):
         (2, 1, "NO PALLET", 1, "seven", "2", "Roll", "B", "2 Roll", "-", "-")], key=repr)
     plan = sheet._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 3  # labels, their lists, pallets of a picking
+
+
+def test_matrix_doubles_stages_and_not_checks(spark, rows):
+    """A stage may be null, and the row of all stages keeps the gravest failure."""
+    found = spark.createDataFrame([("a", True, "blocker"), ("a", False, "minor"), (None, False, "major"), (None, True, "minor"), ("b", True, "blocker")],
+                                  "stage string, ok boolean, severity string")
+    matrix = checks.matrix(found)
+    assert rows(matrix, "stage", "status", "n_checks", "n_failed", "severity") == sorted([
+        ("(all)", "FAIL", 5, 2, "major"), ("a", "FAIL", 2, 1, "minor"), ("b", "PASS", 1, 0, ""), (None, "FAIL", 2, 1, "major")], key=repr)
+    assert checks.matrix(found.filter("false")).count() == 0
+    assert "Aggregate" in matrix._jdf.queryExecution().optimizedPlan().toString().split("Expand")[1]
